@@ -185,7 +185,7 @@ def match_rows(automaton):
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 spans, items = found.search(words)
-                places = [m.span() for m in WORD.finditer(text)] if spans else []
+                places = [m.span() for m in WORD.finditer(text.translate(LOWER))] if spans else []
                 firsts, lasts = [places[a][0] for a, _ in spans], [places[b][1] for _, b in spans]
                 rows.append((text, len(words), [{"first": a, "last": b} for a, b in spans], sorted(items), firsts, lasts))
             yield _rows(batch.column("row"), rows)

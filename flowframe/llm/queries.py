@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from flowframe.llm.decontamination import op5_benchmark_decontamination
+from flowframe.llm.mil_quality import op10_quality_classifier
 from flowframe.llm.packing import op6_best_fit_packing
+from flowframe.llm.quality_rules import op7_quality_rules
+from flowframe.llm.simhash import op9_simhash_near_dedup
+from flowframe.llm.substring_dedup import op4_substring_dedup
 from flowframe.llm.token_counts import op8_token_counts
 from flowframe.llm.token_store import op2_token_store
 
@@ -11,9 +15,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_token_store,
+        op4_substring_dedup,
         op5_benchmark_decontamination,
         op6_best_fit_packing,
+        op7_quality_rules,
         op8_token_counts,
+        op9_simhash_near_dedup,
+        op10_quality_classifier,
     )
 }
 ORACLE_SQL: dict[str, str] = {}

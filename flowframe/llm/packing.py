@@ -38,15 +38,16 @@ def piece_rows(vocabulary: str, end_id: int, sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from flowframe.llm.tokens import encoder
 
-        enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        enc = encoder(vocabulary)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
-                ids += end
-                n, start = len(ids) // 4, 0
+            offsets, ids = enc.encode(batch.column("text"), end_id)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            for doc_id, at, n in zip(batch.column("doc_id").to_pylist(), offsets.tolist(), np.diff(offsets).tolist()):
+                start = 0
                 for piece in range(-(-n // sequence)):
                     length = n % sequence or sequence if piece == 0 else sequence
-                    rows.append((doc_id, piece, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])))
+                    rows.append((doc_id, piece, start, length, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + length)])))
                     start += length
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = [pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [()] * 5, kinds)]

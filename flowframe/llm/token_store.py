@@ -34,16 +34,13 @@ def encode_rows(vocabulary: str, end_id: int):
 
         from flowframe.llm.tokens import encoder
 
-        shard, before, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        shard, before = TaskContext.get().partitionId(), 0
         enc = encoder(vocabulary)
         for batch in batches:
-            found = [ids + end for ids in enc.encode(batch.column("text").to_pylist())]
-            n = np.fromiter(map(len, found), np.int64, len(found)) // 4
-            ends = np.cumsum(n)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)),
-            )
+            ends, ids = enc.encode(batch.column("text"), end_id)
+            n = np.diff(ends)
+            ends = ends[1:]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))
             columns = [
                 batch.column("doc_id").cast(pa.int64()),
                 pa.array(np.full(len(n), shard, np.int32)),

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowframe import schema
 from flowframe.functions import clock, flags, media, tags, timerange
 from flowframe.operators import filters, flow, meta, payload, rtp, segment, temporal, timing, typed
+from flowframe.operators import media as kernels
+from flowframe.plans.builder import Pipeline
+from flowframe.sources import generators
+from flowframe.streaming import operators as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 MINUTE, HOUR = 60_000_000_000, 3_600_000_000_000
 #: Events as buffers, in SQL.
-E = """e as (select user_id as stream_id, event_id as sequence, epoch_us(ts) * 1000 as pts,
+E = """e as (select cast(user_id as int) as stream_id, event_id as sequence, epoch_us(ts) * 1000 as pts,
   case when event_type = 'purchase' then 1 else 0 end as flags, props as payload, event_type, value, ts from events)"""
 
 
@@ -44,10 +47,6 @@ def text(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(c).cast("string").alias(c) if c == "payload" else F.col(c) for c in columns))
 
 
-def typed_(df: DataFrame, *types: tuple[str, str]) -> DataFrame:
-    return df.select(*(F.col(c).cast(t).alias(c) for c, t in types))
-
-
 # --- sources, sinks, folds
 
 
@@ -148,7 +147,7 @@ def sample_random(spark, sf):
     return filters.random_percent(events(spark, sf), 30).select("stream_id", "sequence")
 
 
-@query("select user_id as stream_id, event_id as sequence from events where user_id = 3 and event_id between 10 and 900")
+@query("select cast(user_id as int) as stream_id, event_id as sequence from events where user_id = 3 and event_id between 10 and 900")
 def metadata_filter(spark, sf):
     return filters.by_metadata(events(spark, sf), 3, 10, 900).select("stream_id", "sequence")
 
@@ -597,7 +596,7 @@ def rtp_jitter(spark, sf):
     return rtp.interarrival_jitter(e).select("sequence", F.round(F.col("jitter") / 1e6, 2).alias("jitter"))
 
 
-@query("select user_id as stream_id, count(*) as packets, cast(sum(strlen(props)) as bigint) as octets from events group by 1")
+@query("select cast(user_id as int) as stream_id, count(*) as packets, cast(sum(strlen(props)) as bigint) as octets from events group by 1")
 def sender_stats(spark, sf):
     return rtp.sender_stats(events(spark, sf), "stream_id")
 
@@ -684,3 +683,158 @@ def media_functions(spark, sf):
     return table(spark, sf, "part").select(
         "p_partkey", media.video_frame_size(F.col("p_size") * 16, F.lit(3), "Rgb24").alias("rgb"), media.video_frame_size(w, F.lit(3), "I420").alias("i420"), media.padded_stride(w, 64).alias("stride"), media.latitude(F.col("p_retailprice") / 20).alias("lat")
     )
+
+
+# --- sources, payload functions, pipelines
+
+
+@query("select range as sequence, repeat('00', 24) as hex from range(0, 50)")
+def source_null(spark, sf):
+    return generators.null_source(spark, 50, 24).select("sequence", F.hex("payload").alias("hex"))
+
+
+@query("select range as sequence, repeat('55AA', 5) as hex from range(0, 20)")
+def source_alternating(spark, sf):
+    return generators.pattern_source(spark, "alternating", 20, 10).select("sequence", F.hex("payload").alias("hex"))
+
+
+@query("select s as sequence, string_agg(printf('%02X', (s * 20 + i) % 256), '' order by i) as hex from (select range as s from range(0, 40)), (select range as i from range(0, 20)) group by s")
+def source_counter(spark, sf):
+    return generators.pattern_source(spark, "counter", 40, 20).select("sequence", F.hex("payload").alias("hex"))
+
+
+@query("select s as sequence, substr('the quick brown fox', (s % 4) * 5 + 1, 5) as payload from (select range as s from range(0, 12))")
+def source_data(spark, sf):
+    return text(generators.data_source(spark, b"the quick brown fox", 5, 2), "sequence", "payload")
+
+
+@query()
+def source_random(spark, sf):
+    return generators.pattern_source(spark, "random", 20, 32).select("sequence", F.hex("payload").alias("hex"))
+
+
+@query()
+def source_video(spark, sf):
+    frames = generators.video_test_source(spark, "bars", 64, 32, 10)
+    return frames.select("sequence", "pts", F.octet_length("payload").alias("size"), F.crc32("payload").alias("crc"))
+
+
+@query("select page_id as sequence, upper(url) || '!' as payload from pages")
+def map_bytes(spark, sf):
+    return text(payload.map_bytes(pages(spark, sf), lambda p: F.concat(F.upper(p.cast("string")), F.lit("!")).cast("binary")), "sequence", "payload")
+
+
+@query("with p as (select page_id, unnest([left(url, 4), right(url, 4)]) as part, unnest([0, 1]) as k from pages) select row_number() over (order by page_id, k) - 1 as sequence, part as payload from p")
+def flat_map_bytes(spark, sf):
+    ends = payload.flat_map_bytes(pages(spark, sf), lambda p: F.array(F.left(p.cast("string"), F.lit(4)).cast("binary"), F.right(p.cast("string"), F.lit(4)).cast("binary")))
+    return text(ends, "sequence", "payload")
+
+
+@query("""with p as (select page_id, unnest(string_split(url, '.')) as part, generate_subscripts(string_split(url, '.'), 1) as k, len(string_split(url, '.')) as n from pages), q as (select page_id, k, case when k < n then part || '.' else part end as part from p)
+select row_number() over (order by page_id, k) - 1 as sequence, part as payload from q where part <> ''""")
+def split_keep_delimiter(spark, sf):
+    return text(payload.split(pages(spark, sf), ".", True), "sequence", "payload")
+
+
+@query("select event_id as sequence from events where event_type in ('view', 'login') and value > 10")
+def filter_predicate(spark, sf):
+    kept = filters.predicate(events(spark, sf), F.col("event_type").isin("view", "login") & (F.col("value") > 10), Observation())
+    return kept.select("sequence")
+
+
+@query(f"with {E} select stream_id, string_agg(payload, ';' order by sequence) as payload, count(*) as n_buffers from e group by stream_id")
+def join_whole_stream(spark, sf):
+    return text(payload.join_with(events(spark, sf), ";"), "stream_id", "payload", "n_buffers")
+
+
+@query(f"with {E}, r as (select *, row_number() over (partition by stream_id order by sequence) - 1 as s from e where event_type = 'purchase') select stream_id, s // 10 as sequence, string_agg(payload, '' order by s) as payload from r group by 1, 2")
+def pipeline_parsed(spark, sf):
+    description = f"parquetsrc path={sf} table=events ! filter expr=\"meta['event_type'] = 'purchase'\" ! sequence ! batch count=10 ! collect"
+    return text(Pipeline.parse(description).run(spark), "stream_id", "sequence", "payload")
+
+
+@query("select count(*) as n_buffers, cast(sum(strlen(props)) as bigint) as n_bytes from events where event_type in ('view', 'purchase')")
+def pipeline_graph(spark, sf):
+    graph = Pipeline().source(lambda s: events(s, sf), "events")
+    graph.then(lambda df: df.where("event_type = 'view'"), "views", "events").then(lambda df: df.where("event_type = 'purchase'"), "purchases", "events")
+    both = [n for n in graph.nodes if n.startswith(("views", "purchases"))]
+    graph.then(flow.funnel, "funnel", both).sink(lambda df: df.agg(F.count("*").alias("n_buffers"), F.sum(F.octet_length("payload")).alias("n_bytes")))
+    return graph.run(spark)
+
+
+@query("select event_id as sequence, event_id * 3000 as ticks, cast(event_id * 3000 * 1000000000 // 90000 as bigint) as ns, (event_id * 37 % 65536 + 1) % 65536 as following from events")
+def rtp_clock(spark, sf):
+    ticks, seq = F.col("sequence") * 3000, F.col("sequence") * 37 % 65536
+    return events(spark, sf).select("sequence", ticks.alias("ticks"), rtp.timestamp_to_clock(ticks).alias("ns"), rtp.next_seq(seq).alias("following"))
+
+
+@query("select event_id as sequence, '060E2B34' || printf('%02X', strlen(props)) || hex(props) as hex from events where strlen(props) < 128")
+def klv_packets(spark, sf):
+    e = events(spark, sf).where(F.octet_length("payload") < 128).select("sequence", "payload")
+    return kernels.klv_packets(e, bytes.fromhex("060E2B34")).select("sequence", F.hex("payload").alias("hex"))
+
+
+@query()
+def audio_convert(spark, sf):
+    samples = generators.pattern_source(spark, "random", 20, 64)
+    return kernels.convert_audio(samples, "S16LE", "F32LE", 2, 1).select("sequence", F.hex("payload").alias("hex"))
+
+
+@query()
+def audio_resample(spark, sf):
+    samples = generators.pattern_source(spark, "counter", 20, 96)
+    return kernels.resample_audio(samples, "U8", 48000, 44100, quality="cubic").select("sequence", F.hex("payload").alias("hex"))
+
+
+@query()
+def video_convert(spark, sf):
+    frames = generators.video_test_source(spark, "bars", 64, 32, 5)
+    return kernels.convert_video(frames, "Rgb24", "I420", 64, 32).select("sequence", F.crc32("payload").alias("crc"))
+
+
+@query()
+def video_scale(spark, sf):
+    frames = generators.video_test_source(spark, "gradient", 64, 32, 5)
+    return kernels.scale_video(frames, 64, 32, 32, 16).select("sequence", F.octet_length("payload").alias("size"), F.crc32("payload").alias("crc"))
+
+
+# --- streams
+
+
+def event_stream(spark, sf) -> DataFrame:
+    """The events table as a stream of files."""
+    kind = spark.read.parquet(f"{sf}/events.parquet").schema
+    return schema.from_events(spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{sf}/events*.parquet"))
+
+
+@query(f"with {E} select stream_id, time_bucket(interval 1 day, ts) as slot, count(*) as n_buffers, cast(sum(strlen(payload)) as bigint) as n_bytes from e group by 1, 2")
+def stream_slots(spark, sf):
+    out = streaming.run_once(streaming.slots(event_stream(spark, sf), "1 day"), "complete")
+    return out.select("stream_id", F.col("slot").cast("timestamp_ntz").alias("slot"), "n_buffers", "n_bytes")
+
+
+@query(ORACLE_SQL["throttle"])
+def stream_throttle(spark, sf):
+    return streaming.run_once(streaming.throttle(event_stream(spark, sf), 6 * HOUR)).select("stream_id", "sequence")
+
+
+@query(f"with {E}, r as (select *, (row_number() over (partition by stream_id order by sequence) - 1) // 7 as batch from e) select stream_id, batch, string_agg(payload, '' order by sequence) as payload from r group by stream_id, batch having count(*) = 7")
+def stream_batch_count(spark, sf):
+    return text(streaming.run_once(streaming.batch_by_count(event_stream(spark, sf), 7)), "stream_id", "batch", "payload")
+
+
+@query("select event_id as sequence, upper(event_type) as kind from events where value > 50")
+def stream_stateless(spark, sf):
+    return streaming.run_once(event_stream(spark, sf).where("value > 50").select("sequence", F.upper("event_type").alias("kind")))
+
+
+@query("select a.event_id as l, b.event_id as r from events a join events b on a.user_id = b.user_id and a.event_type = 'view' and b.event_type = 'purchase' and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600000000")
+def stream_interval_join(spark, sf):
+    a, b = (event_stream(spark, sf).where(F.col("event_type") == k).select("stream_id", "sequence", "ts") for k in ("view", "purchase"))
+    out = streaming.run_once(streaming.interval_join(a, b, "stream_id", "6 hours", "40 days"))
+    return out.select(F.col("left.sequence").alias("l"), F.col("right.sequence").alias("r"))
+
+
+@query("select distinct props as payload from events")
+def stream_dedup(spark, sf):
+    return text(streaming.run_once(streaming.drop_duplicates(event_stream(spark, sf), delay="40 days").select("payload")), "payload")

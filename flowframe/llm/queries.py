@@ -5,6 +5,7 @@ from __future__ import annotations
 from flowframe.llm.chat import op3_chat_format
 from flowframe.llm.decontamination import op5_benchmark_decontamination
 from flowframe.llm.mil_quality import op10_quality_classifier
+from flowframe.llm.oracle import ORACLE_SQL
 from flowframe.llm.packing import op6_best_fit_packing
 from flowframe.llm.quality_rules import op7_quality_rules
 from flowframe.llm.simhash import op9_simhash_near_dedup
@@ -28,4 +29,5 @@ QUERIES = {
         op10_quality_classifier,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

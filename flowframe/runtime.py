@@ -29,8 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/flowframe/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; what is written there goes when the application ends."""
+    folder = f"{shared_dir(spark)}/flowframe-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(place):
+        files.deleteOnExit(place)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -221,3 +221,12 @@ def avcc_to_annexb(data: bytes) -> bytes:
         out.append(b"\x00\x00\x00\x01" + data[at + 4 : at + 4 + n])
         at += 4 + n
     return b"".join(out)
+
+
+def parameter_sets(data: bytes) -> dict[str, list[bytes]]:
+    """The sequence and picture parameter sets among H.264 units (types 7 and 8)."""
+    found: dict[str, list[bytes]] = {"sps": [], "pps": []}
+    for unit in annexb_units(data):
+        if kind := {7: "sps", 8: "pps"}.get(unit[0] & 0x1F):
+            found[kind].append(unit)
+    return found

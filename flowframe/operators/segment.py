@@ -67,3 +67,17 @@ def playlist(rows: list, target_seconds: float, ended: bool = True) -> str:
 def write_segments(segmented: DataFrame, path: str) -> None:
     """A folder for each stream and segment."""
     segmented.write.partitionBy("stream_id", "segment").parquet(path)
+
+
+def dash_manifest(rows: list, stream: str = "0", timescale: int = 1000) -> str:
+    """A static DASH manifest with a segment timeline from manifest rows of one stream, in order."""
+    ms = [round(r["duration"] * timescale / 1e9) for r in rows]
+    entries = "".join(f'<S t="{sum(ms[:k])}" d="{d}"/>' for k, d in enumerate(ms))
+    number = rows[0]["segment"] if rows else 0
+    return (
+        '<?xml version="1.0" encoding="UTF-8"?>\n'
+        f'<MPD xmlns="urn:mpeg:dash:schema:mpd:2011" type="static" mediaPresentationDuration="PT{sum(ms) / timescale:.3f}S">'
+        f'<Period><AdaptationSet><Representation id="{stream}">'
+        f'<SegmentTemplate timescale="{timescale}" media="segment$Number%05d$.m4s" startNumber="{number}"><SegmentTimeline>{entries}</SegmentTimeline></SegmentTemplate>'
+        "</Representation></AdaptationSet></Period></MPD>\n"
+    )

@@ -72,3 +72,13 @@ register("collect", "sink", lambda df: df, gives="rows")
 register("count", "sink", _sum, gives="rows")
 register("consolesink", "sink", lambda df, format="metadata": meta.console_text(df, format), gives="rows")
 register("filesink", "sink", lambda df, location: df.write.mode("overwrite").parquet(location), gives="nothing")
+
+
+def element(name: str, kind: str = "transform", takes: str = "buffer", gives: str = "buffer"):
+    """Decorator: register a function of DataFrames (or of a session, for a source) as an element."""
+
+    def add(f: Callable) -> Callable:
+        register(name, kind, f, takes, gives)
+        return f
+
+    return add

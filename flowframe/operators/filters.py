@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowframe.plans.scan import annotate
+from flowframe.plans.scan import annotate, stream_index
 from flowframe.schema import ORDER, STREAM
 
 #: Seed of the exact random sample (fixed value).
@@ -27,21 +27,19 @@ def predicate(df: DataFrame, keep: Column, observation: Observation | None = Non
     return df.where(kept)
 
 
-def _place(partition_by, order_by) -> Column:
-    return F.row_number().over(W.partitionBy(*partition_by).orderBy(*order_by)) - 1
-
-
-def every_nth(df: DataFrame, n: int, partition_by=STREAM, order_by=ORDER) -> DataFrame:
-    """Rows 0, n, 2n... of each stream; ``n`` below 1 counts as 1."""
-    return df.withColumn("_i", _place(partition_by, order_by)).where(F.col("_i") % max(n, 1) == 0).drop("_i")
+def every_nth(df: DataFrame, n: int, partition_by=STREAM, order_by=ORDER, spread: bool = False) -> DataFrame:
+    """Rows 0, n, 2n... of each stream; ``n`` below 1 counts as 1. ``spread``: see ``stream_index``."""
+    return stream_index(df, partition_by, order_by, "_i", spread).where(F.col("_i") % max(n, 1) == 0).drop("_i")
 
 
 def first_n(df: DataFrame, n: int, partition_by=STREAM, order_by=ORDER) -> DataFrame:
-    return df.withColumn("_i", _place(partition_by, order_by)).where(F.col("_i") < n).drop("_i")
+    """The first ``n`` rows of each stream; each task keeps no more of a stream before the shuffle."""
+    nth = F.row_number().over(W.partitionBy(*partition_by).orderBy(*order_by))
+    return df.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
 
 
-def skip_first(df: DataFrame, n: int, partition_by=STREAM, order_by=ORDER) -> DataFrame:
-    return df.withColumn("_i", _place(partition_by, order_by)).where(F.col("_i") >= n).drop("_i")
+def skip_first(df: DataFrame, n: int, partition_by=STREAM, order_by=ORDER, spread: bool = False) -> DataFrame:
+    return stream_index(df, partition_by, order_by, "_i", spread).where(F.col("_i") >= n).drop("_i")
 
 
 def random_percent(df: DataFrame, percent: float, seed: int = 42) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowframe.plans.scan import annotate
+from flowframe.plans.scan import annotate, stream_index
 from flowframe.schema import ORDER, STREAM, floor_div
 
 
-def sequence_number(df: DataFrame, start: int = 0, increment: int = 1, partition_by=STREAM, order_by=ORDER) -> DataFrame:
-    """``sequence`` becomes ``start + i * increment`` along each stream."""
-    i = F.row_number().over(W.partitionBy(*partition_by).orderBy(*order_by)).cast("long") - 1
-    return df.withColumn("sequence", F.lit(start) + i * increment)
+def sequence_number(df: DataFrame, start: int = 0, increment: int = 1, partition_by=STREAM, order_by=ORDER, spread: bool = False) -> DataFrame:
+    """``sequence`` becomes ``start + i * increment`` along each stream. ``spread``: see ``stream_index``."""
+    placed = stream_index(df, partition_by, order_by, "_i", spread)
+    return placed.withColumn("sequence", F.lit(start) + F.col("_i") * increment).drop("_i")
 
 
 def timestamper(df: DataFrame, mode: str = "system", base: Column | None = None) -> DataFrame:

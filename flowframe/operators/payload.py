@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowframe import schema
-from flowframe.plans.scan import annotate
+from flowframe.plans.scan import annotate, stream_index
 from flowframe.schema import ORDER, STREAM
 
 
@@ -20,10 +20,6 @@ def part(column: str, start: Column, length: Column) -> Column:
     return F.substring(F.col(column), (start + 1).cast("int"), length.cast("int"))
 
 
-def place(partition_by=STREAM, order_by=ORDER) -> Column:
-    return F.row_number().over(W.partitionBy(*partition_by).orderBy(*order_by)) - 1
-
-
 def map_bytes(df: DataFrame, f) -> DataFrame:
     """``f`` takes the payload column to a new one; all else stays."""
     return df.withColumn("payload", f(F.col("payload")))
@@ -110,16 +106,19 @@ def _gather(df: DataFrame, group: list[str], order_by, delimiter: str) -> DataFr
     )
 
 
-def join_with(df: DataFrame, delimiter: str, count: int | None = None, flush_tail: bool = True, partition_by=STREAM, order_by=ORDER) -> DataFrame:
+def join_with(df: DataFrame, delimiter: str, count: int | None = None, flush_tail: bool = True, partition_by=STREAM, order_by=ORDER, spread: bool = False) -> DataFrame:
     """``count`` payloads in a row joined by ``delimiter`` (all of a stream without ``count``)."""
-    bucket = F.lit(0) if count is None else schema.floor_div(place(partition_by, order_by).cast("long"), count)
-    out = _gather(df.withColumn("batch", bucket.cast("long")), [*partition_by, "batch"], order_by, delimiter)
+    if count is None:
+        placed = df.withColumn("batch", F.lit(0).cast("long"))
+    else:
+        placed = stream_index(df, partition_by, order_by, "batch", spread).withColumn("batch", schema.floor_div(F.col("batch"), count))
+    out = _gather(placed, [*partition_by, "batch"], order_by, delimiter)
     return out if flush_tail else out.where(F.col("n_buffers") == (count or 0))
 
 
-def batch_by_count(df: DataFrame, count: int, flush_tail: bool = True, partition_by=STREAM, order_by=ORDER) -> DataFrame:
-    """``count`` payloads in a row as one; the first one's metadata."""
-    return join_with(df, "", count, flush_tail, partition_by, order_by)
+def batch_by_count(df: DataFrame, count: int, flush_tail: bool = True, partition_by=STREAM, order_by=ORDER, spread: bool = False) -> DataFrame:
+    """``count`` payloads in a row as one; the first one's metadata. ``spread``: see ``stream_index``."""
+    return join_with(df, "", count, flush_tail, partition_by, order_by, spread)
 
 
 concat_by_count = batch_by_count

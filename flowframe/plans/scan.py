@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -75,9 +76,25 @@ def with_index(df: DataFrame, order_by, name: str = "index") -> DataFrame:
     )
     table, _ = runtime.write_table(packed, "indexed")
     sizes = table.groupBy("part").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window as W
-
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # one row for each range partition
     return table.join(F.broadcast(bases), "part").select("row.*", (F.col("base") + F.col("local")).alias(name))
+
+
+def stream_index(df: DataFrame, partition_by, order_by, name: str = "index", spread: bool = False) -> DataFrame:
+    """``df`` with each row's place in its stream, from 0.
+
+    By default a window by stream. Where one stream may hold a large share of all rows use ``spread``: the place in
+    the order of (stream, order) comes from range partitions, which cut through streams, and the stream's first
+    place, a minimum with partial results, is taken from it.
+    """
+    if not spread:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*partition_by).orderBy(*order_by)).cast("long") - 1)
+    placed = with_index(df, [*partition_by, *order_by], "_place")
+    first = placed.groupBy(*partition_by).agg(F.min("_place").alias("_first"))
+    if not partition_by:
+        return placed.withColumnRenamed("_place", name)
+    keyed = first.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(partition_by)), "_first")
+    joined = placed.join(keyed, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(partition_by)])
+    return joined.withColumn(name, F.col("_place") - F.col("_first")).select(*df.columns, name)

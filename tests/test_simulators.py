@@ -4,7 +4,7 @@ import random
 
 from flowframe import schema
 from flowframe.operators import temporal, timing
-from flowframe.plans.scan import annotate, with_index
+from flowframe.plans.scan import annotate, stream_index, with_index
 
 
 def frame(spark, rows, columns):
@@ -60,3 +60,12 @@ def test_scan_without_rows_and_null_keys(spark):
 def test_with_index(spark):
     df = spark.range(1000).selectExpr("id * 7919 % 1000 as v").repartition(8)
     assert all(r["v"] == r["index"] for r in with_index(df, ["v"]).collect())
+
+
+def test_stream_index_spread(spark):
+    rng = random.Random(6)
+    rows = [(s, i) for s in (None, 1, 1, 1, 1, 2) for i in rng.sample(range(10_000), 120)]
+    rows = list({(s, i) for s, i in rows})
+    df = spark.createDataFrame(rows, "stream_id int, sequence bigint").repartition(5)
+    plain = {tuple(r) for r in stream_index(df, ["stream_id"], ["sequence"]).collect()}
+    assert {tuple(r) for r in stream_index(df, ["stream_id"], ["sequence"], spread=True).collect()} == plain

@@ -2,17 +2,61 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import sys
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_row(docs: DataFrame, *named: str) -> DataFrame:
-    """``row``, a struct of all columns as they came, beside ``text`` as a string and the ``named`` columns.
+def with_row(docs: DataFrame, text_back: bool = False) -> DataFrame:
+    """``row``, a struct of the columns as they came, so that what an operator adds can never clash with them.
 
-    What an operator adds can so never clash with a column of the input.
+    With ``text_back`` the struct holds the text too; else the text (as a string) is a column of its own and ends
+    with the Python stage, so it is sent one way only.
     """
-    columns = [docs[c] for c in docs.columns]
-    return docs.select(F.struct(*columns).alias("row"), docs["text"].cast("string").alias("text"), *(docs[c] for c in named))
+    text = docs["text"].cast("string").alias("text")
+    if text_back:
+        return docs.select(F.struct(*(text if c == "text" else docs[c] for c in docs.columns)).alias("row"))
+    rest = [docs[c] for c in docs.columns if c != "text"] or [F.lit(0).alias("none")]
+    return docs.select(F.struct(*rest).alias("row"), text)
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch that :func:`with_row` has laid out."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+
+
+def frugal(run):
+    """For functions of ``mapInArrow``: give memory back before and after a task, for Spark keeps its Python workers.
+
+    Before it the worker's vocabularies and what it remembers of them go, which only other stages need; then what
+    the allocators hold without use goes back to the system.
+    """
+
+    @functools.wraps(run)
+    def bounded(batches):
+        tokens = sys.modules.get("flowframe.llm.tokens")
+        if tokens is not None:
+            tokens._ENCODERS.clear()
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return bounded
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def replace_text(df: DataFrame, columns: list[str], new: str) -> DataFrame:

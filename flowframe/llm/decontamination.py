@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowframe import runtime
-from flowframe.llm.common import replace_text, with_row
+from flowframe.llm.common import frugal, replace_text, texts_of, with_row
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A to Z and what they become.
@@ -29,9 +29,9 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 8
 #: Words of items in one automaton; its tables take about 200 bytes a word.
 BLOCK_WORDS = 500_000
-FOUND = "text string, n_words long, spans array<struct<first:int,last:int>>, items array<string>, starts array<int>, ends array<int>"
+FOUND = "clean string, n_words long, spans array<struct<first:int,last:int>>, items array<string>, starts array<int>, ends array<int>"
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-KINDS = {"text": pa.string(), "n_words": pa.int64(), "spans": SPANS, "items": pa.list_(pa.string()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
+KINDS = {"clean": pa.string(), "n_words": pa.int64(), "spans": SPANS, "items": pa.list_(pa.string()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -175,28 +175,36 @@ def _rows(row: pa.Array, found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([row, *columns], names=["row", *KINDS])
 
 
-def match_rows(automaton):
-    """For ``mapInArrow`` over (row, text): hits of each document; ``automaton`` is a broadcast."""
+def without(text: str | None, starts: list[int], ends: list[int]) -> str | None:
+    """The text without its spans."""
+    return "".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)])) if starts else text
 
+
+def match_rows(automaton, cut: bool):
+    """For ``mapInArrow`` over rows with texts: hits of each document, and what is left of its text if ``cut``;
+    ``automaton`` is a broadcast."""
+
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton.value
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch).to_pylist():
                 words = words_of(text)
                 spans, items = found.search(words)
                 places = [m.span() for m in WORD.finditer(text.translate(LOWER))] if spans else []
                 firsts, lasts = [places[a][0] for a, _ in spans], [places[b][1] for _, b in spans]
-                rows.append((text, len(words), [{"first": a, "last": b} for a, b in spans], sorted(items), firsts, lasts))
+                rows.append((without(text, firsts, lasts) if cut else None, len(words), [{"first": a, "last": b} for a, b in spans], sorted(items), firsts, lasts))
             yield _rows(batch.column("row"), rows)
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text_back: bool = False) -> DataFrame:
     """Hits of ``docs`` (text, and what else they have) on ``benchmark`` (item_id, text).
 
-    Per document: ``row``, the document as it came; its text; n_words; ``spans`` of word places hit (first,
+    Per document: ``row``, the document as it came (with its text only if that is wanted back, as is ``clean``, what
+    is left of it); n_words; ``spans`` of word places hit (first,
     last); the ``items`` that have an occurring window; the spans' ``starts`` and ``ends`` in characters.
     A benchmark of one block takes one pass over the documents without a shuffle. Each further block is one
     more pass, and the spans are then united by text: equal texts have equal hits.
@@ -204,17 +212,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     spark = docs.sparkSession
     runtime.ship(spark)
     runtime.small_arrow_batches(spark)
-    rows = with_row(docs)
+    rows = with_row(docs, text_back)
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(FOUND).fields])
     automata = [SuffixAutomaton(block, window) for block in item_blocks(benchmark, window, block_words)] or [SuffixAutomaton([], window)]
     if len(automata) == 1:
-        return rows.mapInArrow(match_rows(spark.sparkContext.broadcast(automata[0])), schema)
+        return rows.mapInArrow(match_rows(spark.sparkContext.broadcast(automata[0]), text_back), schema)
     passes = None
-    key = F.sha2("text", 256).alias("key")
-    texts = rows.select(F.struct(key).alias("row"), "text")
+    text = F.col("row.text") if text_back else F.col("text")
+    key = F.sha2(text, 256).alias("key")
+    texts = rows.select(F.struct(key).alias("row"), text.alias("text"))
     keyed = T.StructType([texts.schema["row"], *T.StructType.fromDDL(FOUND).fields])
     for one in automata:
-        found = texts.mapInArrow(match_rows(spark.sparkContext.broadcast(one)), keyed).where("size(spans) > 0")
+        found = texts.mapInArrow(match_rows(spark.sparkContext.broadcast(one), False), keyed).where("size(spans) > 0")
         found = found.select("row.key", "spans", "items", "starts", "ends").groupBy("key").agg(*(F.first(c).alias(c) for c in ("spans", "items", "starts", "ends")))
         passes = found if passes is None else passes.unionByName(found)
     united = passes.groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "starts", "ends")))
@@ -225,7 +234,7 @@ def unite_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For ``mapInArrow``: spans of several passes become spans that are apart."""
     for batch in batches:
         rows = []
-        for text, *found in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items", "starts", "ends"))):
+        for text, *found in zip(texts_of(batch).to_pylist(), *(batch.column(c).to_pylist() for c in ("spans", "items", "starts", "ends"))):
             hits, items, starts, ends = (x or [] for x in found)
             spans: list[list[int]] = []
             for first, last, start, end in sorted((x["first"], x["last"], a, b) for x, a, b in zip(hits, starts, ends)):
@@ -234,7 +243,8 @@ def unite_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         spans[-1][1], spans[-1][3] = last, end
                 else:
                     spans.append([first, last, start, end])
-            rows.append((text, len(words_of(text)), [{"first": x[0], "last": x[1]} for x in spans], sorted(set(items)), [x[2] for x in spans], [x[3] for x in spans]))
+            starts, ends = [x[2] for x in spans], [x[3] for x in spans]
+            rows.append((without(text, starts, ends), len(words_of(text)), [{"first": x[0], "last": x[1]} for x in spans], sorted(set(items)), starts, ends))
         yield _rows(batch.column("row"), rows)
 
 
@@ -242,15 +252,6 @@ def hit_words() -> Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
 
 
-def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For ``mapInArrow`` over (row, text, starts, ends): ``clean``, the text without its spans."""
-    for batch in batches:
-        clean = []
-        for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends"))):
-            clean.append("".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)])) if starts else text)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(clean, pa.string())], names=["row", "clean"])
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = 0.5) -> DataFrame:
     """Remove benchmark passages from ``docs``, which keep their columns.
 
@@ -258,10 +259,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     document of which more than ``most_coverage`` of the words are hit goes altogether. A column ``n_chars``
     is counted anew where the text was cut.
     """
-    found = find_contamination(docs, benchmark, window)
+    found = find_contamination(docs, benchmark, window, text_back=True)
     kept = found.where(hit_words() <= F.col("n_words") * most_coverage)
-    cut = kept.select("row", "text", "starts", "ends").mapInArrow(cut_rows, T.StructType([found.schema["row"], T.StructField("clean", T.StringType())]))
-    return replace_text(cut, docs.columns, "clean")
+    return replace_text(kept, docs.columns, "clean")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

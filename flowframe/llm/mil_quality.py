@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowframe import runtime
-from flowframe.llm.common import with_row
+from flowframe.llm.common import frugal, texts_of, with_row
 
 PASSAGE = 600
 PAIRS = 192
@@ -146,6 +146,7 @@ class GatedAttention:
         return model
 
 
+@frugal
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For ``mapInArrow`` over (key, label, text): the passages' features as bytes."""
     for batch in batches:
@@ -175,9 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> GatedAttent
 def score_rows(model):
     """For ``mapInArrow`` over (row, text): each row with its score; ``model`` is a broadcast."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [passage_features(t) for t in batch.column("text").to_pylist()]
+            bags = [passage_features(t) for t in texts_of(batch).to_pylist()]
             scores = np.empty(0)
             if bags:
                 scores = model.value.scores(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags))
@@ -186,12 +188,13 @@ def score_rows(model):
     return run
 
 
-def score(docs: DataFrame, model: GatedAttention) -> DataFrame:
-    """(row, score) of ``docs``: all columns as they came in ``row``. Only the text goes into a score."""
+def score(docs: DataFrame, model: GatedAttention, text_back: bool = False) -> DataFrame:
+    """(row, score) of ``docs``: the columns as they came in ``row``, the text only if it is wanted back. Nothing but
+    the text goes into a score."""
     spark = docs.sparkSession
     runtime.ship(spark)
     runtime.small_arrow_batches(spark)
-    rows = with_row(docs)
+    rows = with_row(docs, text_back)
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(score_rows(spark.sparkContext.broadcast(model)), schema)
 
@@ -210,7 +213,7 @@ def fitted(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> G
 
 def drop_low_quality(docs: DataFrame, model: GatedAttention, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of ``threshold`` or more, with their columns."""
-    return score(docs, model).where(F.col("score") >= threshold).select("row.*")
+    return score(docs, model, text_back=True).where(F.col("score") >= threshold).select("row.*")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowframe import runtime
-from flowframe.llm.common import with_row
+from flowframe.llm.common import frugal, texts_of, with_row
 from flowframe.llm.components import connected_components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -59,16 +59,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprint_rows(shingle: int):
     """For ``mapInArrow`` over (row, text): each row with its fingerprint as a signed long."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], "<u8").view("<i8")
+            found = np.array([fingerprint(t, shingle) for t in texts_of(batch).to_pylist()], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found)], names=["row", "fp"])
 
     return run
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(row, fp) of ``docs``: all columns as they came in ``row``."""
+    """(row, fp) of ``docs``: all columns but the text in ``row``."""
     runtime.ship(docs.sparkSession)
     runtime.small_arrow_batches(docs.sparkSession)
     rows = with_row(docs)
@@ -147,6 +148,7 @@ def link_block(left: np.ndarray, right: np.ndarray | None, bits: int) -> list[tu
 def link_rows(bits: int):
     """For ``mapInArrow`` over (cell, i, j, side, fp) sorted by (cell, i, j): links (a, b) as signed longs."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
 
@@ -246,7 +248,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BI
     """
     prints, components = near_duplicate_components(docs.select("doc_id", "text"), shingle, bits)
     keepers = prints.join(components, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("keeper")).distinct()
-    rows = with_row(docs, "doc_id")
-    first = W.partitionBy("doc_id").orderBy("text")
-    kept = rows.join(keepers, rows["doc_id"] == keepers["keeper"], "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    return kept.select("row").unionByName(rows.where("doc_id is null").select("row")).select("row.*")
+    rows = with_row(docs, text_back=True).withColumn("id", F.col("row.doc_id").cast("long"))
+    first = W.partitionBy("id").orderBy("row.text")
+    kept = rows.join(keepers, rows["id"] == keepers["keeper"], "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return kept.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of texts worked on at once, and the longest unit that is remembered; a longer text goes to the library whole.
-BLOCK, LONGEST, WHOLE = 2 << 20, 64, 16 << 20
+BLOCK, LONGEST, WHOLE = 1 << 18, 64, 16 << 20
 #: Slots of the table of remembered units; it is emptied when half full. Only memory and time depend on these.
 SLOTS_LOG2 = 22
 

@@ -1,8 +1,8 @@
 """Quality rules as weak supervision: rules vote or abstain, and what their votes are worth is estimated.
 
 Each rule looks at one statistic of a text and votes good, bad or not at all. Expectation-maximisation over the
-counts of vote patterns estimates how often each rule casts each vote on good and on bad documents, and the
-posterior probability of being good decides instead of an all-must-pass filter. A fixed base check comes first.
+counts of vote patterns estimates how accurate each rule is on good and on bad documents, and the posterior
+probability of being good decides instead of an all-must-pass filter. A fixed base check comes first.
 
 Rows: null and empty texts have no words and fail the base check; texts of any length are read whole; repeated
 rows have equal results; a null ``doc_id`` stays null; an empty table gives no rows; other columns are not read.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowframe import runtime
-from flowframe.llm.common import with_row
+from flowframe.llm.common import frugal, texts_of, with_row
 
 WINDOW = 8
 #: The white space between words, and the symbols counted.
@@ -95,10 +95,11 @@ def statistics(text: str | None) -> tuple[int, ...]:
     )
 
 
+@frugal
 def statistics_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For ``mapInArrow`` over (row, text): each row with its statistics."""
     for batch in batches:
-        found = [statistics(t) for t in batch.column("text").to_pylist()]
+        found = [statistics(t) for t in texts_of(batch).to_pylist()]
         columns = [pa.array(x, kind) for x, kind in zip(zip(*found) if found else [()] * len(STATISTICS), STATISTICS.values())]
         yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], names=["row", *STATISTICS])
 
@@ -107,7 +108,7 @@ def measure(docs: DataFrame) -> DataFrame:
     """``row``, all columns as they came but the text, and the statistics of the text."""
     runtime.ship(docs.sparkSession)
     runtime.small_arrow_batches(docs.sparkSession)
-    rows = with_row(docs).withColumn("row", F.struct(*(F.col("row")[c].alias(c) for c in docs.columns if c != "text")))
+    rows = with_row(docs)
     fields = [T.StructField(name, T.LongType()) for name in STATISTICS]
     return rows.mapInArrow(statistics_rows, T.StructType([rows.schema["row"], *fields]))
 
@@ -135,35 +136,39 @@ def rules() -> dict[str, Column]:
         "bars": between(bars, bars < 0.01, bars > 0.15),
         "same": between(same, same < 0.03, same > 0.2),
         "variety": between(distinct, enough & (distinct > 0.4), enough & (distinct < 0.15)),
-        "repeats": between(repeats, enough & (repeats < 0.05), repeats > 0.25),
-        "lines": between(lines, (F.col("n_lines") >= 3) & (lines == 0), lines > 0.3),
+        "repeats": between(repeats, enough & (repeats < 0.05), repeats > 0.5),
+        "lines": between(lines, (F.col("n_lines") >= 3) & (lines == 0), lines > 0.7),
         "length": between(length, (length >= 3) & (length <= 10), (length < 2) | (length > 20)),
     }
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> dict[tuple[int, ...], float]:
+#: Most good documents that a rule is taken to vote against: rules are written to be sparing with bad votes.
+MOST_FALSE = 0.001
+
+
+def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200, most_false: float = MOST_FALSE) -> dict[tuple[int, ...], float]:
     """Posterior probability of being good for each vote pattern, by expectation-maximisation.
 
-    ``patterns``: documents by pattern. Rules are taken as independent given the class. To begin with a bad
-    vote counts against a document; each round re-estimates, with one made-up observation of each kind, how
-    often a rule casts each vote on good and on bad documents, and the share of good ones.
+    ``patterns``: documents by pattern. A rule that votes is wrong on a good document with one probability and
+    right on a bad one with another, and rules are independent given the class; an abstention says nothing. Both
+    are re-estimated in each round with one made-up observation of each kind, the first never above ``most_false``
+    (without that bound the two classes drift to whatever splits the corpus best). To begin with any bad vote
+    puts a document with the bad ones.
     """
     if not patterns:
         return {}
     keys = sorted(patterns)
     votes = np.array(keys, np.int64).reshape(len(keys), -1)
     n = np.array([patterns[k] for k in keys], np.float64)
-    good = np.where((votes < 0).any(1), 0.1, 0.95)
+    bad, fine = votes < 0, votes > 0
+    good = np.where(bad.any(1), 0.1, 0.99)
     for _ in range(rounds):
-        weight = np.stack([n * (1 - good), n * good])
-        total = weight.sum(1)
-        prior = (total + 1) / (total.sum() + 2)
-        logs = np.log(prior)[:, None] + np.zeros((2, len(keys)))
-        for r in range(votes.shape[1]):
-            for v in (-1, 0, 1):
-                cast = votes[:, r] == v
-                logs[:, cast] += np.log((weight[:, cast].sum(1) + 1) / (total + 3))[:, None]
-        after = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+        prior = ((n * good).sum() + 1) / (n.sum() + 2)
+        odds = np.full(len(keys), np.log(prior / (1 - prior)))
+        against = [((n * w) @ bad + 1) / ((n * w) @ (bad | fine) + 2) for w in (good, 1 - good)]
+        false, true = np.minimum(against[0], most_false), np.maximum(against[1], most_false)
+        odds += bad @ np.log(false / true) + fine @ np.log((1 - false) / (1 - true))
+        after = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         if np.abs(after - good).max() < 1e-9:
             break
         good = after
@@ -177,15 +182,15 @@ def base_failed() -> Column:
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``row``, statistics, each rule's vote (``vote_...``), ``posterior``, ``base_failed`` and ``kept``.
 
-    The votes of all documents that pass the base check count, as numbers of documents by pattern: at most
-    three to the power of the rules. The statistics are written once, without texts.
+    The votes of all documents count, those that fail the base check too, since they show what bad ones look like;
+    as numbers of documents by pattern, which are three to the power of the rules at most. The statistics are written once, without texts.
     """
     spark = docs.sparkSession
     votes = rules()
     voted = measure(docs).select("*", *(v.alias(f"vote_{k}") for k, v in votes.items()), base_failed().alias("base_failed"))
     table, _ = runtime.write_table(voted, "votes")
     names = [f"vote_{k}" for k in votes]
-    counted = table.where("not base_failed").groupBy(*names).agg(F.count("*").alias("n")).collect()
+    counted = table.groupBy(*names).agg(F.count("*").alias("n")).collect()
     posterior = estimate({tuple(r[c] for c in names): r["n"] for r in counted})
     schema = T.StructType([*(T.StructField(c, T.IntegerType()) for c in names), T.StructField("posterior", T.DoubleType())])
     # a row for each vote pattern, at most three to the power of the rules

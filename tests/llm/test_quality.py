@@ -48,7 +48,7 @@ def test_estimate_finds_the_hidden_class():
         votes = tuple(int(v) for v in np.where(rng.random(5) < 0.3, 0, np.where(rng.random(5) < (0.97 if g else 0.35), 1, -1)))
         counts[votes] = counts.get(votes, 0) + 1
         truth.setdefault(votes, []).append(g)
-    posterior = Q.estimate(counts)
+    posterior = Q.estimate(counts, most_false=0.2)
     right = sum(sum(1 for g in truth[v] if g == (p >= 0.5)) for v, p in posterior.items())
     assert right / len(good) > 0.93
     assert Q.estimate({}) == {} and len(Q.estimate({(0, 0): 3})) == 1

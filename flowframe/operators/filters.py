@@ -107,14 +107,18 @@ def by_regex(df: DataFrame, pattern: str, inverted: bool = False, column: str =
 
 
 def drop_duplicates(df: DataFrame, content: str = "payload", partition_by=(), order_by=ORDER) -> DataFrame:
-    """The first row of each content stays.
+    """The first row of each content stays (of rows without content, the first too).
 
-    A minimum over the order columns by content, combined before the shuffle, finds the first rows; so a content
-    that very many rows share costs one row from each task.
+    A minimum over the order columns by the content's SHA-256, combined before the shuffle, finds the first rows:
+    what is dealt is 32 bytes a row whatever the content's size, and a content that very many rows share costs one
+    row from each task. ``order_by`` has to be unique.
     """
-    place = F.struct(*order_by)
-    first = df.groupBy(*partition_by, content).agg(F.min(place).alias("_first")).select(*(F.col("_first")[c].alias(c) for c in order_by))
-    return df.join(first.distinct(), list(order_by), "left_semi")
+    digest = F.unhex(F.sha2(F.col(content).cast("binary"), 256)).alias("_digest")
+    keys = [F.col(c) for c in partition_by]
+    place = F.min(order_by[0]) if len(order_by) == 1 else F.min(F.struct(*order_by))
+    first = df.select(*keys, digest, *order_by).groupBy(*partition_by, "_digest").agg(place.alias("_first"))
+    first = first.select(F.col("_first").alias(order_by[0])) if len(order_by) == 1 else first.select("_first.*")
+    return df.join(first, list(order_by), "left_semi")
 
 
 def valve(df: DataFrame, is_open: bool = True) -> DataFrame:

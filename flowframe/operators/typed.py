@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowframe.plans.scan import with_index
+from flowframe.plans.scan import annotate, with_index
 
 # --- sources
 
@@ -64,6 +64,17 @@ def fold(df: DataFrame, value: Column, init: Column, step: Callable[[Column, Col
     return df.groupBy(*partition_by).agg(F.aggregate(items, init, lambda a, x: step(a, x["_value"])).alias(name))
 
 
+def fold_stream(df: DataFrame, value: Column, make: Callable, kind: str, order_by=("sequence",), partition_by=("stream_id",), name: str = "folded") -> DataFrame:
+    """Ordered left fold in bounded memory, for streams too long to bring together: ``make()`` gives a function from
+    a value to the accumulator after it, of the DDL type ``kind``; the last one of each stream is the result."""
+    steps = annotate(df.select(*partition_by, *order_by, value.alias("_value")), lambda: _one(make()), [F.col("_value")], f"_folded {kind}", partition_by, order_by)
+    return steps.groupBy(*partition_by).agg(F.max_by("_folded", F.struct(*order_by)).alias(name))
+
+
+def _one(f: Callable) -> Callable:
+    return lambda value: (f(value),)
+
+
 def summarise(df: DataFrame, partition_by=(), **aggregates: Column) -> DataFrame:
     """Commutative folds, combined before the shuffle."""
     return df.groupBy(*partition_by).agg(*(c.alias(k) for k, c in aggregates.items()))

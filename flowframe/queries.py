@@ -75,6 +75,22 @@ def fold_ordered(spark, sf):
     return typed.fold(table(spark, sf, "events"), F.col("event_id"), F.lit(7).cast("long"), lambda a, x: (a * 31 + x) % 1000003, ("ts", "event_id"), ("user_id",))
 
 
+def _hashing():
+    state = 7
+
+    def step(x: int) -> int:
+        nonlocal state
+        state = (state * 31 + x) % 1000003
+        return state
+
+    return step
+
+
+@query(ORACLE_SQL["fold_ordered"])
+def fold_stream(spark, sf):
+    return typed.fold_stream(table(spark, sf, "events"), F.col("event_id"), _hashing, "bigint", ("ts", "event_id"), ("user_id",))
+
+
 @query("select event_type, count(*) as n, round(sum(value), 4) as total, min(value) as least, max(value) as most from events group by event_type")
 def fold_sum(spark, sf):
     e = table(spark, sf, "events")

@@ -19,8 +19,8 @@ def exchanges(text):
 def test_filters_and_columns_reach_the_scan(spark, sf):
     text = plan(QUERIES["filter_pred"](spark, sf))
     assert re.search(r"PushedFilters: \[IsNotNull\(l_", text) and exchanges(text) == 0
-    read = re.search(r"ReadSchema: struct<([^>]*)>", text)[1]
-    assert "l_extendedprice" not in read and "l_returnflag" not in read
+    read = re.search(r"FileScan parquet \[([^\]]*)\]", text)[1]
+    assert "l_quantity" in read and "l_extendedprice" not in read and "l_returnflag" not in read
 
 
 def test_duplicates_deal_digests_with_partial_minima(spark, sf):

@@ -2,27 +2,27 @@
 
 A chunk ends before a word whose preceding 16 bytes have a gear hash with its top bits zero, so the cuts depend
 on nearby content only and an insertion shifts no chunk but its own. Chunks are deduplicated by digest: the
-first document (by ``doc_id``) that holds a chunk keeps it, and where a document has a stretch of chunks in a
-row that are not the first of their digest, of ``MIN_WORDS`` words or more together, the stretch is cut out.
+first document (by ``doc_id``) that holds a chunk keeps it, at its first place there. Where a document has a
+stretch of other chunks in a row, of ``MIN_WORDS`` words or more together, the stretch is cut out.
 
-Rows: null and empty texts have no chunks and stay as they are; a null ``doc_id`` counts as the largest; rows
-equal in ``doc_id`` and text are one document written several times and get equal results; texts of any length
-are read whole; an empty table gives no rows; further columns pass through, whatever their names.
+Rows: null and empty texts have no chunks and stay as they are; rows with one ``doc_id`` are one document, which
+never takes from itself what another of its rows has; rows with a null ``doc_id`` come after all others, equal
+texts among them as one document; texts of any length are read whole; an empty table gives no rows; further columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowframe import runtime
-from flowframe.llm.common import replace_text, with_row
+from flowframe.llm.common import frugal, replace_text, texts_of, with_row
 
 #: A chunk ends at one word start in 2 ** CUT_BITS on average.
 CUT_BITS = 2
@@ -48,35 +48,41 @@ def chunk_starts(raw: bytes, cut_bits: int = CUT_BITS) -> np.ndarray:
     return np.concatenate([[0], cuts]).astype(np.int64)
 
 
-def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For ``mapInArrow`` over (doc, text): each chunk's digest, document and place (number << 32 | CRC-32 of the text)."""
+def chunk_digests(raw: bytes, starts: np.ndarray) -> list[int]:
+    """Each chunk's 64-bit digest, as a signed number."""
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
+    digest, at = xxhash.xxh3_64_intdigest, starts.tolist()
+    return np.array([digest(raw[a:b]) for a, b in zip(at, [*at[1:], len(raw)])], np.uint64).view(np.int64).tolist()
+
+
+@frugal
+def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` over (doc, text): each different chunk of a text by its digest, with its document."""
     for batch in batches:
-        docs, digests, places = [], [], []
+        docs, digests = [], []
         for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
             raw = text.encode("utf-8", "surrogatepass") if text else b""
-            at = chunk_starts(raw).tolist()
-            digests += [digest(raw[a:b]) for a, b in zip(at, [*at[1:], len(raw)])]
-            docs.append(np.full(len(at), doc, np.int64))
-            places.append((np.arange(len(at), dtype=np.int64) << 32) | zlib.crc32(raw))
-        columns = [np.array(digests, np.uint64).view(np.int64), *(np.concatenate([*x, np.empty(0, np.int64)]) for x in (docs, places))]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["digest", "doc", "place"])
+            own = list(dict.fromkeys(chunk_digests(raw, chunk_starts(raw))))
+            digests += own
+            docs.append(np.full(len(own), doc, np.int64))
+        columns = [pa.array(digests, pa.int64()), pa.array(np.concatenate([*docs, np.empty(0, np.int64)]))]
+        yield pa.RecordBatch.from_arrays(columns, names=["digest", "doc"])
 
 
 def cut_rows(min_words: int):
-    """For ``mapInArrow`` over (row, text, chunks): the text without its repeated stretches, and their places.
+    """For ``mapInArrow`` over (row, chunks): the text without its repeated stretches, and their places.
 
-    ``chunks`` are the numbers of the text's chunks that are not the first of their digest, in any order.
+    ``chunks`` are the digests of the text's chunks that an earlier document has.
     """
     spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean, removed, spans = [], [], []
-            for text, chunks in zip(batch.column("text").to_pylist(), batch.column("chunks").to_pylist()):
-                found = repeated_spans(text, chunks, min_words) if chunks else []
+            for text, chunks in zip(texts_of(batch).to_pylist(), batch.column("chunks").to_pylist()):
+                found = repeated_spans(text, chunks, min_words)
                 if found:
                     raw = text.encode("utf-8", "surrogatepass")
                     pieces = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *(b for _, b, _ in found)], [*(a for a, _, _ in found), len(raw)])]
@@ -98,13 +104,18 @@ def cut_rows(min_words: int):
     return run
 
 
-def repeated_spans(text: str, chunks: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """(first byte, byte after, words) of stretches of the chunks numbered in ``chunks``."""
-    raw = text.encode("utf-8", "surrogatepass")
+def repeated_spans(text: str | None, known: list[int] | None, min_words: int) -> list[tuple[int, int, int]]:
+    """(first byte, byte after, words) of stretches of chunks that an earlier document has (their digests are in
+    ``known``) or that the text itself has before."""
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
     starts = chunk_starts(raw)
     ends = np.append(starts[1:], len(raw))
+    seen = set(known or ())
     repeated = np.zeros(len(starts) + 2, np.int8)
-    repeated[np.array(chunks) + 1] = 1
+    for k, digest in enumerate(chunk_digests(raw, starts), 1):
+        if digest in seen:
+            repeated[k] = 1
+        seen.add(digest)
     edges = np.diff(repeated)
     found = []
     for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
@@ -115,26 +126,30 @@ def repeated_spans(text: str, chunks: list[int], min_words: int) -> list[tuple[i
     return found
 
 
+def document(doc_id: Column, text: Column) -> Column:
+    """What a row is known by: its ``doc_id``, or without one a number after all others from its text."""
+    own = F.lit(LAST) - F.pmod(F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))), F.lit(1 << 40))
+    return F.coalesce(doc_id.cast("long"), own)
+
+
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``row`` (all columns of ``docs``), ``clean`` text, ``n_removed_words`` and ``spans`` (start, end in characters).
 
-    First occurrences are minima by digest with partial sums, so a chunk that a third of the corpus shares is
-    one row from each task there. Only chunks of digests that occur twice or more are joined back; large
-    partitions of that join are split at run time. Chunk digests are computed twice rather than kept on disk.
+    First documents are minima by digest with partial sums, so a chunk that a third of the corpus shares is one row
+    from each task there. Only digests of two documents or more are joined back; large partitions of that join
+    are split at run time. Digests are computed twice rather than kept on disk; stretches within one document
+    need no shuffle.
     """
     spark = docs.sparkSession
     runtime.ship(spark)
     runtime.small_arrow_batches(spark)
-    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
-    rows = docs.select(doc.alias("doc"), docs["text"].cast("string").alias("text"))
-    chunks = rows.mapInArrow(chunk_rows, "digest long, doc long, place long")
-    firsts = chunks.groupBy("digest").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("final"))
-    firsts = firsts.where("first <> final").select("digest", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"))
-    later = chunks.join(firsts, "digest").where("doc <> first_doc or place <> first_place")
-    crc, number = F.col("place").bitwiseAND(0xFFFFFFFF), F.shiftright("place", 32).cast("int")
-    per_doc = later.select("doc", crc.alias("crc"), number.alias("number")).groupBy("doc", "crc").agg(F.collect_set("number").alias("chunks"))
-    keyed = with_row(docs).select("row", "text", F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(LAST)).alias("doc"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"))
-    joined = keyed.join(per_doc, ["doc", "crc"], "left").select("row", "text", "chunks")
+    rows = docs.select(document(docs["doc_id"], docs["text"]).alias("doc"), docs["text"].cast("string").alias("text"))
+    chunks = rows.mapInArrow(chunk_rows, "digest long, doc long")
+    firsts = chunks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("final"))
+    later = chunks.join(firsts.where("first < final").select("digest", "first"), "digest").where("doc > first")
+    per_doc = later.groupBy("doc").agg(F.collect_set("digest").alias("chunks"))
+    keyed = with_row(docs, text_back=True).select("row", document(F.col("row.doc_id"), F.col("row.text")).alias("doc"))
+    joined = keyed.join(per_doc, "doc", "left").select("row", "chunks")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([keyed.schema["row"], T.StructField("clean", T.StringType()), T.StructField("n_removed_words", T.LongType()), T.StructField("spans", spans)])
     return joined.mapInArrow(cut_rows(min_words), schema)

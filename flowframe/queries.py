@@ -823,10 +823,10 @@ def event_stream(spark, sf) -> DataFrame:
     return schema.from_events(spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{sf}/events*.parquet"))
 
 
-@query(f"with {E} select stream_id, time_bucket(interval 1 day, ts) as slot, count(*) as n_buffers, cast(sum(strlen(payload)) as bigint) as n_bytes from e group by 1, 2")
+@query(f"with {E} select stream_id, epoch_us(time_bucket(interval 1 day, ts)) as slot, count(*) as n_buffers, cast(sum(strlen(payload)) as bigint) as n_bytes from e group by 1, 2")
 def stream_slots(spark, sf):
     out = streaming.run_once(streaming.slots(event_stream(spark, sf), "1 day"), "complete")
-    return out.select("stream_id", F.col("slot").cast("timestamp_ntz").alias("slot"), "n_buffers", "n_bytes")
+    return out.select("stream_id", F.unix_micros("slot").alias("slot"), "n_buffers", "n_bytes")
 
 
 @query(ORACLE_SQL["throttle"])

@@ -23,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints (shingles of four words, four differing bits)."""
+    """One document of each component of fingerprints (shingles of five words, eight differing bits)."""
     return drop_near_duplicates(docs)
 
 

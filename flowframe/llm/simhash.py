@@ -13,6 +13,7 @@ equal texts have one fingerprint and one component; a null ``doc_id`` is in a co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,8 +29,8 @@ from flowframe.llm.common import frugal, texts_of, with_row
 from flowframe.llm.components import connected_components
 
 SHINGLE, BITS, SEED = 4, 4, 42
-#: Bits in a segment, and the groups that segments are dealt to; a cell joins the groups but ``BITS`` of them.
-SEGMENT, GROUPS = 2, 7
+#: Bits in a segment; how likely two random ones have equal counts; comparisons that take as long as dealing a row.
+SEGMENT, EQUAL, PAIRS_A_ROW = 2, 0.375, 200
 #: Fingerprints of a cell that are compared at once; a cell of more is split into pairs of blocks of this size.
 CELL = 4096
 #: The bytes A to Z become a to z.
@@ -82,15 +83,32 @@ def segment_counts(fps: np.ndarray) -> np.ndarray:
     return x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
 
 
-def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The Manhattan distance of packed embeddings: the absolute difference of each two-bit count, summed."""
+def unary(counts: np.ndarray) -> np.ndarray:
+    """Packed counts 0, 1, 2 as 00, 01, 11: the differing bits of two such codes are the counts' difference."""
     low = np.uint64(0x5555555555555555)
-    # unary codes of the counts 0, 1, 2 as 00, 01, 11: their differing bits are the counts' difference
-    unary = [(x & low) | ((x >> np.uint64(1)) & low) | (x & ~low) for x in (a, b)]
-    return np.bitwise_count(unary[0] ^ unary[1]).astype(np.int64)
+    return (counts & low) | ((counts >> np.uint64(1)) & low) | (counts & ~low)
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The Manhattan distance of packed embeddings."""
+    return np.bitwise_count(unary(a) ^ unary(b)).astype(np.int64)
 
 
-def masks(groups: int = GROUPS, bits: int = BITS) -> np.ndarray:
+def groups_for(n: int, bits: int = BITS) -> int:
+    """How many groups to deal the segments to for ``n`` fingerprints.
+
+    A cell joins all groups but ``bits``. More groups make smaller cells but more of them for each fingerprint; the
+    number with the least expected work is taken. Any number above ``bits`` finds the same links.
+    """
+
+    def work(groups: int) -> float:
+        shared = EQUAL ** (64 / SEGMENT * (groups - bits) / groups)
+        return math.comb(groups, bits) * (1 + n * shared / 2 / PAIRS_A_ROW)
+
+    return min(range(bits + 2, bits + 10), key=work)
+
+
+def masks(groups: int, bits: int = BITS) -> np.ndarray:
     """For each choice of ``groups - bits`` groups, the bits of the packed embedding that lie in them."""
     segments = 64 // SEGMENT
     of_group = [sum(3 << (SEGMENT * s) for s in range(segments) if s % groups == g) for g in range(groups)]
@@ -115,16 +133,36 @@ def cell_rows(groups: int, bits: int):
     return run
 
 
-def link_block(left: np.ndarray, right: np.ndarray | None, bits: int) -> list[tuple[int, int]]:
-    """Links that connect what pairs of ``left`` (or of ``left`` and ``right``) within ``bits`` connect.
+def link_block(left: np.ndarray, right: np.ndarray | None, bits: int) -> np.ndarray:
+    """Links that connect what pairs of ``left`` (or of ``left`` and ``right``) within ``bits`` connect, as rows.
 
-    A search from each fingerprint in turn looks only at those not reached yet, so a dense group gives one link
-    for each member instead of one for each pair; no pair goes unconnected.
+    All pairs are tried, some rows at a time. Where there are more links than four for each fingerprint, which only
+    dense groups have, a spanning set of them is taken instead.
     """
     nodes = left if right is None else np.concatenate([left, right])
+    codes = unary(segment_counts(nodes))
+    begin = 0 if right is None else len(left)
+    found, n = [np.empty((0, 2), np.uint64)], 0
+    step = max(1, (1 << 18) // len(nodes))
+    for at in range(0, len(left), step):
+        near = np.bitwise_count(codes[at : at + step, None] ^ codes[None, begin:]) <= bits
+        i, j = np.nonzero(near)
+        i, j = i + at, j + begin
+        if right is None:
+            i, j = i[i < j], j[i < j]
+        exact = np.bitwise_count(nodes[i] ^ nodes[j]) <= bits
+        found.append(np.stack([nodes[i[exact]], nodes[j[exact]]], 1))
+        n += len(found[-1])
+        if n > 4 * len(nodes):
+            return spanning_links(nodes, codes, begin, right is not None, bits)
+    return np.concatenate(found)
+
+
+def spanning_links(nodes: np.ndarray, codes: np.ndarray, begin: int, two: bool, bits: int) -> np.ndarray:
+    """As :func:`link_block`, by a search from each fingerprint in turn that looks only at those not reached yet: a
+    dense group gives one link for each member instead of one for each pair, and no pair goes unconnected."""
     side = np.zeros(len(nodes), bool)
-    side[len(left) :] = right is not None
-    counts = segment_counts(nodes)
+    side[begin:] = two
     open_ = np.ones(len(nodes), bool)
     links: list[tuple[int, int]] = []
     for first in range(len(nodes)):
@@ -133,16 +171,14 @@ def link_block(left: np.ndarray, right: np.ndarray | None, bits: int) -> list[tu
         open_[first], todo = False, [first]
         while todo:
             at = todo.pop()
-            rest = np.flatnonzero(open_ & (side != side[at])) if right is not None else np.flatnonzero(open_)
-            if not len(rest):
-                continue
-            rest = rest[manhattan(counts[rest], counts[at]) <= bits]
+            rest = np.flatnonzero(open_ & (side != side[at])) if two else np.flatnonzero(open_)
+            rest = rest[np.bitwise_count(codes[rest] ^ codes[at]) <= bits]
             near = rest[np.bitwise_count(nodes[rest] ^ nodes[at]) <= bits]
             if len(near):
                 open_[near] = False
-                links += [(int(nodes[at]), int(x)) for x in nodes[near]]
+                links += [(at, x) for x in near.tolist()]
                 todo += near.tolist()
-    return links
+    return nodes[np.array(links, np.int64).reshape(-1, 2)]
 
 
 def link_rows(bits: int):
@@ -174,9 +210,9 @@ def link_rows(bits: int):
                 if not small[a] and b - a > 1:
                     one = i[a] == j[a]
                     left = fp[a:b] if one else fp[a:b][side[a:b] == 0]
-                    found = link_block(left, None if one else fp[a:b][side[a:b] == 1], bits)
-                    if found:
-                        pairs.append(np.array(found, np.uint64).reshape(-1, 2))
+                    right = None if one else fp[a:b][side[a:b] == 1]
+                    if len(left) and (one or len(right)):
+                        pairs.append(link_block(left, right, bits))
             every = np.concatenate(pairs)
             return pa.RecordBatch.from_arrays([pa.array(every[:, 0].copy().view(np.int64)), pa.array(every[:, 1].copy().view(np.int64))], names=["a", "b"])
 
@@ -198,7 +234,7 @@ def link_rows(bits: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, bits: int = BITS, groups: int = GROUPS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, groups: int, bits: int = BITS) -> DataFrame:
     """Links (a, b) that connect what all pairs of distinct fingerprints ``fps`` (fp) within ``bits`` connect.
 
     Cells of more than ``CELL`` fingerprints are split: each fingerprint goes to the pairs of blocks that its
@@ -218,7 +254,7 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, groups: int = GROUPS) ->
     return spread.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(link_rows(bits), "a long, b long")
 
 
-def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, groups: int = GROUPS) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of all ``docs``, which need ``doc_id`` and ``text``, and (fp, component_id) of every fingerprint.
 
     Equal fingerprints are put together first, by aggregation with partial sums, so copies never meet in a task
@@ -227,7 +263,8 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, bits: int
     prints = with_fingerprints(docs, shingle).select(F.col("row.doc_id").cast("long").alias("doc_id"), "fp")
     prints, _ = runtime.write_table(prints, "fingerprints")
     distinct, _ = runtime.write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(fingerprint_links(distinct.select("fp"), bits, groups))
+    links = fingerprint_links(distinct.select("fp"), groups_for(distinct.count(), bits), bits)
+    roots = connected_components(links)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints, rooted.join(names, "root").select("fp", "component_id")
@@ -240,7 +277,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(components, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+#: Where documents are dropped: shingles of five words, and as many differing bits as can be searched exactly at
+#: scale. Near copies of a Jaccard similarity of 0.8 differ in about five to thirteen bits.
+DROP_SHINGLE, DROP_BITS = 5, 8
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = DROP_SHINGLE, bits: int = DROP_BITS) -> DataFrame:
     """The document with the smallest ``doc_id`` of each component stays, with all its columns.
 
     Of rows that repeat a ``doc_id`` one stays (the least text); rows with a null ``doc_id`` are not judged and

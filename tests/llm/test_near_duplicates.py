@@ -12,12 +12,12 @@ from tests.llm.conftest import PASSAGE, prose
 M = 2**64 - 1
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, shingle=4):
     raw = (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
     words = raw.split()
     if not words:
         return 0
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -61,12 +61,12 @@ def test_links_of_all_fingerprints(spark, monkeypatch):
             x ^= sum(1 << b for b in r.sample(range(64), r.randint(1, 4)))
         fps.add(x)
     fps |= {0, 15, M}
-    expected = groups_of(fps, lambda x, y: (x ^ y).bit_count() <= 4)
-    for cell in (4096, 40):  # 40: cells are split into pairs of blocks
+    for cell, groups, bits in ((4096, 6, 4), (4096, 9, 4), (40, 7, 4), (4096, 10, 8), (60, 11, 8)):  # 40, 60: cells are split into pairs of blocks
+        expected = groups_of(fps, lambda x, y: (x ^ y).bit_count() <= bits)
         monkeypatch.setattr(simhash, "CELL", cell)
         df = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in fps], "fp long")
-        links = [(a & M, b & M) for a, b in simhash.fingerprint_links(df).collect()]
-        assert all((a ^ b).bit_count() <= 4 for a, b in links)
+        links = [(a & M, b & M) for a, b in simhash.fingerprint_links(df, groups, bits).collect()]
+        assert all((a ^ b).bit_count() <= bits for a, b in links)
         near = {}
         for a, b in links:
             near.setdefault(a, set()).add(b)
@@ -83,18 +83,25 @@ def test_lower_bound():
     assert (bound <= distance).all() and bound.tolist() == plain
 
 
+def grouped(rows, fps, bits):
+    """Each fingerprint's group, and each group's least doc_id."""
+    group = groups_of(set(fps.values()), lambda x, y: (x ^ y).bit_count() <= bits)
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[group[fps[t]]] = min(i, least.get(group[fps[t]], i))
+    return group, least
+
+
 def test_documents(spark, docs, no_docs, rows):
     prints, components = simhash.near_duplicate_components(docs)
     found = [(r["doc_id"], r["fp"] & M, r["component_id"]) for r in prints.join(components, "fp").collect()]
     fps = {t: plain_fingerprint(t) for _, t in rows}
     assert sorted(x[1] for x in found) == sorted(fps[t] for _, t in rows)
-    group = groups_of(set(fps.values()), lambda x, y: (x ^ y).bit_count() <= 4)
-    least = {}
-    for i, t in rows:
-        if i is not None:
-            least[group[fps[t]]] = min(i, least.get(group[fps[t]], i))
+    group, least = grouped(rows, fps, 4)
     for doc_id, fp, component in found:
         assert component == least.get(group[fp])
+    _, least = grouped(rows, {t: plain_fingerprint(t, 5) for _, t in rows}, 8)
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(least.values()))
@@ -168,3 +175,8 @@ def test_substrings(spark, docs, no_docs, rows):
     assert kept.columns == docs.columns and kept.where("text = ''").count() == 1
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in kept.collect())
     assert substring_dedup.drop_repeats(no_docs).count() == 0
+
+
+def test_groups_grow_with_the_corpus():
+    found = [simhash.groups_for(n) for n in (0, 1000, 10**6, 10**8, 10**10)]
+    assert found == sorted(found) and found[0] == 6 and found[-1] > 8

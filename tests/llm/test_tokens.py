@@ -162,3 +162,25 @@ def test_plan_of_a_large_histogram():
     assert check_sequences(place(counts, 2048), 2048) <= sizes.sum() / 2048 * 1.002 + 1
 
 
+
+
+def test_store_is_read_by_metadata(spark, docs):
+    path = runtime.new_path(spark, "t")
+    token_store.write_tokens(docs, path, stripe_bytes=1 << 16)
+    asked = token_store.read_tokens(spark, path, token_store.F.col("doc_id") == 5)
+    assert "EqualTo(doc_id,5)" in asked._jdf.queryExecution().executedPlan().toString()
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    files = [f.getPath() for f in place.getFileSystem(conf).listStatus(place) if f.getPath().getName().endswith(".orc")]
+    blooms = 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows = reader.rows()
+        for k in range(reader.getStripes().size()):
+            footer = rows.readStripeFooter(reader.getStripes().get(k))
+            kinds = [str(footer.getStreams(i).getKind()) for i in range(footer.getStreamsCount())]
+            assert "ROW_INDEX" in kinds
+            blooms += any("BLOOM" in x for x in kinds)
+        rows.close()
+    assert blooms

@@ -87,19 +87,18 @@ class GatedAttention:
         """Scores of bags; ``bag`` numbers each passage's bag, ascending, and every bag has a passage."""
         if self.w is None:
             return np.full(bags, self.prior)
-        return self._forward(x.astype(np.float64), bag, bags)[-1]
+        return self._forward((x - self.w["mean"]) / self.w["scale"], bag)[-1]
 
-    def _forward(self, x, bag, bags):
-        w = self.w
-        h = np.tanh((x - w["mean"]) / w["scale"] @ w["E"] + w["e"])
+    def _forward(self, scaled, bag):
+        """Layers over scaled passages of bags in order; each bag has at least one."""
+        w, begin = self.w, np.flatnonzero(np.diff(bag, prepend=-1))
+        h = np.tanh(scaled @ w["E"] + w["e"])
         t = np.tanh(h @ w["V"])
         s = 1 / (1 + np.exp(-np.clip(h @ w["U"], -40, 40)))
         a = (t * s) @ w["q"]
-        top = np.full(bags, -np.inf)
-        np.maximum.at(top, bag, a)
-        a = np.exp(a - top[bag])
-        a /= np.bincount(bag, a, bags)[bag]
-        z = np.stack([np.bincount(bag, a * h[:, k], bags) for k in range(h.shape[1])], 1)
+        a = np.exp(a - np.maximum.reduceat(a, begin)[bag])
+        a /= np.add.reduceat(a, begin)[bag]
+        z = np.add.reduceat(a[:, None] * h, begin)
         y = 1 / (1 + np.exp(-np.clip(z @ w["o"] + w["b"], -40, 40)))
         return h, t, s, a, z, y
 
@@ -127,13 +126,13 @@ class GatedAttention:
         model = cls(w)
         learnt = [k for k in w if k not in ("mean", "scale")]
         moments = {k: (np.zeros_like(w[k]), np.zeros_like(w[k])) for k in learnt}
-        scaled = (x - w["mean"]) / w["scale"]
+        scaled, begin = (x - w["mean"]) / w["scale"], np.flatnonzero(np.diff(bag, prepend=-1))
         for epoch in range(1, EPOCHS + 1):
-            h, t, s, a, z, y = model._forward(x, bag, bags)
+            h, t, s, a, z, y = model._forward(scaled, bag)
             dy = (y - labels) / bags
             dz = dy[:, None] * w["o"]
             da = (dz[bag] * h).sum(1)
-            da = a * (da - np.bincount(bag, a * da, bags)[bag])
+            da = a * (da - np.add.reduceat(a * da, begin)[bag])
             dt, ds = da[:, None] * w["q"] * s * (1 - t * t), da[:, None] * w["q"] * t * s * (1 - s)
             dh = (a[:, None] * dz[bag] + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
             grads = {"E": scaled.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "q": (t * s).T @ da, "o": z.T @ dy, "b": dy.sum(keepdims=True)}

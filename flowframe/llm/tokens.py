@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of texts worked on at once, and the longest unit that is remembered; a longer text goes to the library whole.
-BLOCK, LONGEST, WHOLE = 1 << 18, 64, 16 << 20
+#: Bytes of texts worked on at once (a longer text goes in pieces of whole units), and the longest unit remembered.
+BLOCK, LONGEST = 1 << 18, 64
 #: Slots of the table of remembered units; it is emptied when half full. Only memory and time depend on these.
 SLOTS_LOG2 = 22
 
@@ -163,6 +163,23 @@ class UnitEncoder:
         self._n, self._n_ids = n, n_ids  # what is not remembered is overwritten
         return np.diff(after[np.concatenate([[0], last])]), ids
 
+    def _long(self, data: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`_block`, for one long text, piece by piece; pieces end before units."""
+        parts, at, zero = [], 0, np.zeros(1, np.int64)
+        while at < len(data):
+            size = BLOCK
+            while True:
+                end = min(at + size, len(data))
+                starts = np.flatnonzero(unit_starts(data[at:end], zero))
+                if end == len(data) or len(starts) > 1:
+                    break
+                size *= 2  # within one unit
+            cut = end if end == len(data) else at + int(starts[-1])
+            parts.append(self._block(data[at:cut], zero, end_id if cut == len(data) else None)[1])
+            at = cut
+        ids = np.concatenate(parts)
+        return np.array([len(ids)]), ids
+
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of a column: text k has ids[offsets[k] : offsets[k + 1]], with ``end_id`` last if given.
 
@@ -175,9 +192,8 @@ class UnitEncoder:
         sizes, ids, at = [np.zeros(1, np.int64)], [np.empty(0, np.uint32)], 0
         while at < len(texts):
             upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
-            if offsets[upto] - offsets[at] > WHOLE:
-                whole = self._tokenizer.encode(texts[at].as_py(), add_special_tokens=False).ids + ([] if end_id is None else [end_id])
-                found = np.array([len(whole)]), np.array(whole, np.uint32)
+            if offsets[upto] - offsets[at] > BLOCK:
+                found = self._long(data[offsets[at] : offsets[upto]], end_id)
             else:
                 found = self._block(data[offsets[at] : offsets[upto]], offsets[at:upto] - offsets[at], end_id)
             sizes.append(found[0])

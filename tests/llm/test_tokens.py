@@ -33,6 +33,17 @@ def test_units_give_the_librarys_ids(name, rows):
     assert same.tolist() == [i for e in expected[3:53] for i in e.ids]
 
 
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_long_texts_in_pieces(name, rows, monkeypatch):
+    from flowframe.llm import tokens
+
+    monkeypatch.setattr(tokens, "BLOCK", 100)
+    made = [t for _, t in rows if t] + ["a\n\nb \t\n c, d" * 60, "x" * 900 + "é, ü\n" * 80 + "<|endoftext|>" + " it's" * 90, "\u3000" * 150]
+    ends, ids = encoder(name).encode(pa.array(made), 7)
+    for k, e in enumerate(library(name).encode_batch(made, add_special_tokens=False)):
+        assert ids[ends[k] : ends[k + 1]].tolist() == [*e.ids, 7], made[k][:60]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

@@ -66,12 +66,22 @@ def mux(inputs: dict[str, DataFrame], interval: int, first: int | None = None) -
     return all_.withColumn("slot", slot).drop("_first")
 
 
-def ready_slots(muxed: DataFrame, required: list[str], mode: str = "strict", video: str | None = None) -> DataFrame:
-    """Slots that may go out: ``strict`` when every required pad has data by then or later (or has ended), ``loose``
-    when the video pad has data, ``timed`` when any pad has."""
-    per_slot = muxed.groupBy("slot").agg(F.collect_set("pad").alias("pads"), F.count("*").alias("n_buffers"))
+def ready_slots(muxed: DataFrame, required: list[str], mode: str = "strict", video: str | None = None, ended: list[str] | None = None) -> DataFrame:
+    """Slots that may go out, with their ``pads`` and ``n_buffers``.
+
+    ``strict``: those that every required pad has reached or passed, or has ended before; ``ended`` names the pads that
+    have ended, all of them by default, as on bounded input. ``loose``: those with data of the video pad. ``timed``:
+    those with any data.
+    """
+    per_slot = muxed.groupBy("slot").agg(F.array_sort(F.collect_set("pad")).alias("pads"), F.count("*").alias("n_buffers"))
     if mode == "timed":
         return per_slot
     if mode == "loose":
         return per_slot.where(F.array_contains("pads", video or required[0]))
-    return per_slot.where(F.lit(bool(required)))
+    awaited = [] if ended is None else [p for p in required if p not in ended]
+    if not awaited:
+        return per_slot
+    reached = muxed.where(F.col("pad").isin(awaited)).groupBy("pad").agg(F.max("slot").alias("_reached"))
+    # one row; a pad that has sent nothing yet holds every slot back
+    edge = reached.agg(F.when(F.count("*") == len(awaited), F.min("_reached")).alias("_edge"))
+    return per_slot.join(F.broadcast(edge)).where(F.col("slot") <= F.col("_edge")).drop("_edge")

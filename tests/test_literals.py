@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from flowframe import schema
 from flowframe.functions import caps, clock, tags
-from flowframe.operators import filters, media, meta, payload, rtp, segment, temporal, timing, typed
+from flowframe.operators import filters, flow, media, meta, payload, rtp, segment, temporal, timing, typed
 from flowframe.sources import generators
 
 MS = 1_000_000
@@ -219,3 +219,18 @@ def test_file_source(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"xyz")
     rows = generators.file_source(spark, str(tmp_path), 4).orderBy("stream_id", "sequence").collect()
     assert [(r["stream_id"], r["offset"], bytes(r["payload"])) for r in rows] == [(0, 0, b"0123"), (0, 4, b"4567"), (0, 8, b"89"), (1, 0, b"xyz")]
+
+
+def test_mux(spark):
+    video = buffers(spark, [(i, t * MS) for i, t in enumerate((0, 40, 80, 120))], "sequence bigint, pts bigint")
+    audio = buffers(spark, [(i, t * MS) for i, t in enumerate((10, 45))], "sequence bigint, pts bigint")
+    muxed = flow.mux({"video": video, "audio": audio}, 40 * MS)
+    assert [(r["pad"], r["slot"]) for r in muxed.orderBy("slot", "pts").collect()] == [("video", 0), ("audio", 1), ("video", 1), ("audio", 2), ("video", 2), ("video", 3)]
+
+    def slots(*how, **more):
+        return sorted(r["slot"] for r in flow.ready_slots(muxed, *how, **more).collect())
+
+    both = ["video", "audio"]
+    assert slots(both) == slots(both, "timed") == slots(both, "loose", video="video") == [0, 1, 2, 3]
+    assert slots(both, ended=[]) == [0, 1, 2] and slots(both, ended=["audio"]) == [0, 1, 2, 3]
+    assert slots(["video", "text"], ended=[]) == [] and slots(both, "loose", video="audio") == [1, 2]

@@ -37,44 +37,55 @@ CELL = 4096
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a whole text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a whole text's shingles, repeats included."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-    if not words:
-        return 0
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)] if words else [], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of shingles by their hashes; 0 without any."""
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint_rows(shingle: int):
-    """For ``mapInArrow`` over (row, text): each row with its fingerprint as a signed long."""
+def fingerprint_rows(shingle: int, sketch: int):
+    """For ``mapInArrow`` over (row, text): each row with its fingerprint as a signed long, and the ``sketch`` least of
+    its different shingle hashes."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in texts_of(batch).to_pylist()], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found)], names=["row", "fp"])
+            prints, least = [], []
+            for text in texts_of(batch).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                prints.append(fingerprint(hashes))
+                least.append(np.unique(hashes.view("<i8"))[:sketch] if sketch else [])
+            columns = [batch.column("row"), pa.array(np.array(prints, "<u8").view("<i8")), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "fp", "least"])
 
     return run
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(row, fp) of ``docs``: all columns but the text in ``row``."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: int = 0) -> DataFrame:
+    """(row, fp, least) of ``docs``: all columns but the text in ``row``."""
     runtime.ship(docs.sparkSession)
     runtime.small_arrow_batches(docs.sparkSession)
     rows = with_row(docs)
-    return rows.mapInArrow(fingerprint_rows(shingle), T.StructType([rows.schema["row"], T.StructField("fp", T.LongType())]))
+    fields = [rows.schema["row"], T.StructField("fp", T.LongType()), T.StructField("least", T.ArrayType(T.LongType()))]
+    return rows.mapInArrow(fingerprint_rows(shingle, sketch), T.StructType(fields))
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -254,17 +265,40 @@ def fingerprint_links(fps: DataFrame, groups: int, bits: int = BITS) -> DataFram
     return spread.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(link_rows(bits), "a long, b long")
 
 
-def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+#: Hashes in a sketch, and the least similarity that a link is believed at.
+SKETCH, LEAST_ALIKE = 32, 0.3
+
+
+def alike(links: DataFrame, sketched: DataFrame, k: int, least: float = LEAST_ALIKE) -> DataFrame:
+    """``links`` (a, b) but those of fingerprints that are near by chance.
+
+    Among very many documents unlike ones come within a wide radius, and single links would join all of them. The
+    share of the ``k`` least hashes of both texts' shingles that both have estimates their Jaccard similarity: near 0
+    for unlike texts, and over a half for those that really differ in so few bits. ``sketched``: (node, least).
+    """
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known, _ = runtime.write_table(sketched.join(ends, "node").groupBy("node").agg(F.min("least").alias("least")), "sketches")
+    a, b = (known.select(F.col("node").alias(x), F.col("least").alias(f"least_{x}")) for x in "ab")
+    both = links.distinct().join(a, "a").join(b, "b")
+    union = F.slice(F.array_sort(F.array_union("least_a", "least_b")), 1, k)
+    shared = F.size(F.array_intersect(union, F.array_intersect("least_a", "least_b")))
+    return both.where((F.size(union) == 0) | (shared >= least * F.size(union))).select("a", "b")
+
+
+def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, sketch: int = 0) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of all ``docs``, which need ``doc_id`` and ``text``, and (fp, component_id) of every fingerprint.
 
+    With a ``sketch`` of so many shingle hashes, links by chance are taken out: see :func:`alike`.
+
     Equal fingerprints are put together first, by aggregation with partial sums, so copies never meet in a task
     and are never expanded into pairs. Both tables lie in the shared folder; neither has texts.
     """
-    prints = with_fingerprints(docs, shingle).select(F.col("row.doc_id").cast("long").alias("doc_id"), "fp")
+    prints = with_fingerprints(docs, shingle, sketch).select(F.col("row.doc_id").cast("long").alias("doc_id"), "fp", "least")
     prints, _ = runtime.write_table(prints, "fingerprints")
     distinct, _ = runtime.write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    prints, sketched = prints.select("doc_id", "fp"), prints.select(F.col("fp").alias("node"), "least")
     links = fingerprint_links(distinct.select("fp"), groups_for(distinct.count(), bits), bits)
-    roots = connected_components(links)
+    roots = connected_components(alike(links, sketched, sketch) if sketch else links)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints, rooted.join(names, "root").select("fp", "component_id")
@@ -288,7 +322,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = DROP_SHINGLE, bits: int
     Of rows that repeat a ``doc_id`` one stays (the least text); rows with a null ``doc_id`` are not judged and
     all stay.
     """
-    prints, components = near_duplicate_components(docs.select("doc_id", "text"), shingle, bits)
+    prints, components = near_duplicate_components(docs.select("doc_id", "text"), shingle, bits, SKETCH)
     keepers = prints.join(components, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("keeper")).distinct()
     rows = with_row(docs, text_back=True).withColumn("id", F.col("row.doc_id").cast("long"))
     first = W.partitionBy("id").orderBy("row.text")

@@ -180,3 +180,13 @@ def test_substrings(spark, docs, no_docs, rows):
 def test_groups_grow_with_the_corpus():
     found = [simhash.groups_for(n) for n in (0, 1000, 10**6, 10**8, 10**10)]
     assert found == sorted(found) and found[0] == 6 and found[-1] > 8
+
+
+def test_links_by_chance_go(spark):
+    rng = np.random.default_rng(7)
+    one, two = rng.integers(-(2**62), 2**62, (2, 500))
+    near = np.concatenate([one[:430], two[:70]])
+    sketches = [(i, np.sort(x)[:32].tolist()) for i, x in enumerate((one, two, near))] + [(3, []), (4, []), (5, [1, 2]), (6, [1, 2, 3])]
+    links = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (5, 6)], "a long, b long")
+    kept = simhash.alike(links, spark.createDataFrame(sketches, "node long, least array<long>"), 32)
+    assert sorted(map(tuple, kept.collect())) == [(0, 2), (3, 4), (5, 6)]

@@ -142,18 +142,24 @@ def rules() -> dict[str, Column]:
     }
 
 
-#: Most good documents that a rule is taken to vote against: rules are written to be sparing with bad votes.
-MOST_FALSE = 0.001
+#: A rule that votes against more of the good documents than this is no rule; real rates lie far below.
+MOST_FALSE = 0.5
+#: Weight, as a share of all documents, of the prior that rules do not vote against good ones.
+PRIOR = 0.2
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200, most_false: float = MOST_FALSE) -> dict[tuple[int, ...], float]:
+def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 1000, most_false: float = MOST_FALSE) -> dict[tuple[int, ...], float]:
     """Posterior probability of being good for each vote pattern, by expectation-maximisation.
 
-    ``patterns``: documents by pattern. A rule that votes is wrong on a good document with one probability and
-    right on a bad one with another, and rules are independent given the class; an abstention says nothing. Both
-    are re-estimated in each round with one made-up observation of each kind, the first never above ``most_false``
-    (without that bound the two classes drift to whatever splits the corpus best). To begin with any bad vote
-    puts a document with the bad ones.
+    ``patterns``: documents by pattern. Documents are good or of one of some kinds of bad ones; in each class a rule
+    that votes does so against a document with a probability of its own, and rules are independent given the class;
+    an abstention says nothing. All rates are estimated, with one made-up observation of each vote and, for the good
+    ones, ``PRIOR`` times all documents without a bad vote: where votes alone cannot tell a rule's errors from bad
+    documents that only it sees, which is a flat ridge of the likelihood, the latter are taken. To begin with any bad
+    vote puts a document with the bad ones. One kind of bad documents at a time is added, begun from those that some
+    rule votes against, as long as the likelihood grows by more than the Bayesian information criterion asks for (with
+    too few kinds the good class takes in what the bad ones cannot say) and each kind has a rule that mostly votes
+    against it.
     """
     if not patterns:
         return {}
@@ -161,18 +167,40 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200, most_false
     votes = np.array(keys, np.int64).reshape(len(keys), -1)
     n = np.array([patterns[k] for k in keys], np.float64)
     bad, fine = votes < 0, votes > 0
+
+    def fit(share: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The log likelihood, each pattern's share of each class (the first is good) and each class's rates."""
+        made_up = np.full((share.shape[1], 1), 2.0)
+        made_up[0] += PRIOR * n.sum()
+        before = -np.inf
+        for _ in range(rounds):
+            w = n[:, None] * share
+            prior = (w.sum(0) + 1) / (n.sum() + share.shape[1])
+            against = (w.T @ bad + 1) / (w.T @ (bad | fine) + made_up)
+            against[0] = np.minimum(against[0], most_false)
+            log = np.log(prior) + bad @ np.log(against).T + fine @ np.log(1 - against).T
+            top = log.max(1, keepdims=True)
+            share = np.exp(log - top)
+            total = share.sum(1, keepdims=True)
+            share /= total
+            fits = float(n @ (np.log(total) + top)[:, 0])
+            if abs(fits - before) < 1e-12 * abs(fits):
+                break
+            before = fits
+        return fits, share, against
+
     good = np.where(bad.any(1), 0.1, 0.99)
-    for _ in range(rounds):
-        prior = ((n * good).sum() + 1) / (n.sum() + 2)
-        odds = np.full(len(keys), np.log(prior / (1 - prior)))
-        against = [((n * w) @ bad + 1) / ((n * w) @ (bad | fine) + 2) for w in (good, 1 - good)]
-        false, true = np.minimum(against[0], most_false), np.maximum(against[1], most_false)
-        odds += bad @ np.log(false / true) + fine @ np.log((1 - false) / (1 - true))
-        after = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        if np.abs(after - good).max() < 1e-9:
+    fits, share, _ = fit(np.stack([good, 1 - good], 1))
+    cost = (bad.shape[1] + 1) / 2 * np.log(n.sum())
+    while share.shape[1] <= bad.shape[1]:
+        moved = [np.where(bad[:, [r]], 0.9, 0.0) for r in range(bad.shape[1])]
+        tried = [fit(np.hstack([share * (1 - x), x])) for x in moved]
+        tried = [x for x in tried if (x[2][1:].max(1) > 0.5).all()]
+        best = max(tried, key=lambda x: x[0], default=None)
+        if best is None or best[0] < fits + cost:
             break
-        good = after
-    return dict(zip(keys, good.tolist()))
+        fits, share, _ = best
+    return dict(zip(keys, share[:, 0].tolist()))
 
 
 def base_failed() -> Column:

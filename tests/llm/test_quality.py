@@ -54,6 +54,21 @@ def test_estimate_finds_the_hidden_class():
     assert Q.estimate({}) == {} and len(Q.estimate({(0, 0): 3})) == 1
 
 
+def test_estimate_finds_the_hidden_class_as_the_query_does():
+    rng = np.random.default_rng(5)
+    good = rng.random(4000) < 0.8
+    counts, truth = {}, {}
+    for g in good:
+        votes = tuple(int(v) for v in np.where(rng.random(5) < 0.3, 0, np.where(rng.random(5) < (0.97 if g else 0.35), 1, -1)))
+        counts[votes] = counts.get(votes, 0) + 1
+        truth.setdefault(votes, []).append(g)
+    right = lambda kept: sum(sum(1 for g in truth[v] if g == k) for v, k in kept.items()) / len(good)
+    kept = {v: p >= 0.5 for v, p in Q.estimate(counts).items()}
+    every = {v: min(v) >= 0 for v in counts}
+    assert right(kept) > 0.93 and right(kept) > right(every)
+    assert any(kept[v] for v in counts if not every[v])
+
+
 def test_rules_agree_with_labels(spark):
     sf = "/root/testdata/sf0.01"
     found = Q.op7_quality_rules(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")

@@ -1,9 +1,10 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A chunk ends before a word whose preceding 16 bytes have a gear hash with its top bits zero, so the cuts depend
-on nearby content only and an insertion shifts no chunk but its own. Chunks are deduplicated by digest: the
-first document (by ``doc_id``) that holds a chunk keeps it, at its first place there. Where a document has a
-stretch of other chunks in a row, of ``MIN_WORDS`` words or more together, the stretch is cut out.
+on nearby content only and an insertion shifts no chunk but its own. What is deduplicated, by digest, are windows:
+the fewest chunks in a row from a chunk on, or up to a chunk, that have ``MIN_WORDS`` words or more. The first document
+(by ``doc_id``) that holds a window keeps it, at its first place there; elsewhere its chunks are cut out. So whatever
+goes stands, with neighbours to that number of words, in one piece in one earlier document or earlier in its own.
 
 Rows: null and empty texts have no chunks and stay as they are; rows with one ``doc_id`` are one document, which
 never takes from itself what another of its rows has; rows with a null ``doc_id`` come after all others, equal
@@ -56,24 +57,52 @@ def chunk_digests(raw: bytes, starts: np.ndarray) -> list[int]:
     return np.array([digest(raw[a:b]) for a, b in zip(at, [*at[1:], len(raw)])], np.uint64).view(np.int64).tolist()
 
 
-@frugal
-def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For ``mapInArrow`` over (doc, text): each different chunk of a text by its digest, with its document."""
-    for batch in batches:
-        docs, digests = [], []
-        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-            raw = text.encode("utf-8", "surrogatepass") if text else b""
-            own = list(dict.fromkeys(chunk_digests(raw, chunk_starts(raw))))
-            digests += own
-            docs.append(np.full(len(own), doc, np.int64))
-        columns = [pa.array(digests, pa.int64()), pa.array(np.concatenate([*docs, np.empty(0, np.int64)]))]
-        yield pa.RecordBatch.from_arrays(columns, names=["digest", "doc"])
+#: Odd, so that it has an inverse modulo 2 ** 64.
+BASE = 0xD6E8FEB86659FD93
+
+
+def windows(raw: bytes, starts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, first chunk, chunk after) of the windows of a text, by their places: from each chunk on, and up to
+    each chunk, as few chunks as have ``min_words`` words."""
+    if not len(starts):
+        return (np.empty(0, np.int64),) * 3
+    space = _SPACE[np.frombuffer(raw, np.uint8)]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    n = len(starts)
+    words = np.concatenate([[0], np.cumsum(np.add.reduceat(begins, starts, dtype=np.int64))])
+    after = np.searchsorted(words, words[:-1] + min_words)
+    first = np.searchsorted(words, words[1:] - min_words, side="right") - 1
+    at = np.arange(n)
+    on, up = after <= n, first >= 0
+    # a text of n chunks has fewer than 2 ** 31
+    places = np.unique(np.concatenate([at[on] << 32 | after[on], first[up] << 32 | at[up] + 1]))
+    a, b = places >> 32, places & 0xFFFFFFFF
+    powers, inverses = (np.cumprod(np.array([1, *[x] * (n - 1)], np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(chunk_digests(raw, starts), np.int64).view(np.uint64) * powers)])
+    return ((sums[b] - sums[a]) * inverses[a]).view(np.int64), a, b
+
+
+def window_rows(min_words: int):
+    """For ``mapInArrow`` over (doc, text): each different window of a text by its digest, with its document."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, digests = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+                raw = text.encode("utf-8", "surrogatepass") if text else b""
+                digests.append(np.unique(windows(raw, chunk_starts(raw), min_words)[0]))
+                docs.append(np.full(len(digests[-1]), doc, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)), pa.array(np.concatenate(docs))], names=["digest", "doc"])
+
+    return run
 
 
 def cut_rows(min_words: int):
-    """For ``mapInArrow`` over (row, chunks): the text without its repeated stretches, and their places.
+    """For ``mapInArrow`` over (row, windows): the text without its repeated stretches, and their places.
 
-    ``chunks`` are the digests of the text's chunks that an earlier document has.
+    ``windows`` are the digests of the text's windows that an earlier document has.
     """
     spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -81,8 +110,8 @@ def cut_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean, removed, spans = [], [], []
-            for text, chunks in zip(texts_of(batch).to_pylist(), batch.column("chunks").to_pylist()):
-                found = repeated_spans(text, chunks, min_words)
+            for text, known in zip(texts_of(batch).to_pylist(), batch.column("windows").to_pylist()):
+                found = repeated_spans(text, known, min_words)
                 if found:
                     raw = text.encode("utf-8", "surrogatepass")
                     pieces = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *(b for _, b, _ in found)], [*(a for a, _, _ in found), len(raw)])]
@@ -105,24 +134,23 @@ def cut_rows(min_words: int):
 
 
 def repeated_spans(text: str | None, known: list[int] | None, min_words: int) -> list[tuple[int, int, int]]:
-    """(first byte, byte after, words) of stretches of chunks that an earlier document has (their digests are in
+    """(first byte, byte after, words) of stretches of windows that an earlier document has (their digests are in
     ``known``) or that the text itself has before."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
     starts = chunk_starts(raw)
     ends = np.append(starts[1:], len(raw))
-    seen = set(known or ())
-    repeated = np.zeros(len(starts) + 2, np.int8)
-    for k, digest in enumerate(chunk_digests(raw, starts), 1):
-        if digest in seen:
-            repeated[k] = 1
-        seen.add(digest)
-    edges = np.diff(repeated)
+    digests, a, b = windows(raw, starts, min_words)
+    again = np.ones(len(digests), bool)
+    again[np.unique(digests, return_index=True)[1]] = False
+    again |= np.isin(digests, np.array(known or (), np.int64))
+    depth = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(depth, a[again], 1)
+    np.add.at(depth, b[again], -1)
+    edges = np.diff(np.concatenate([[0], np.cumsum(depth) > 0]).astype(np.int8))
     found = []
-    for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
-        first, last = int(starts[a]), int(ends[b - 1])
-        n = len(raw[first:last].split())
-        if n >= min_words:
-            found.append((first, last, n))
+    for x, y in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
+        first, last = int(starts[x]), int(ends[y - 1])
+        found.append((first, last, len(raw[first:last].split())))
     return found
 
 
@@ -135,7 +163,7 @@ def document(doc_id: Column, text: Column) -> Column:
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``row`` (all columns of ``docs``), ``clean`` text, ``n_removed_words`` and ``spans`` (start, end in characters).
 
-    First documents are minima by digest with partial sums, so a chunk that a third of the corpus shares is one row
+    First documents are minima by digest with partial sums, so a window that a third of the corpus shares is one row
     from each task there. Only digests of two documents or more are joined back; large partitions of that join
     are split at run time. Digests are computed twice rather than kept on disk; stretches within one document
     need no shuffle.
@@ -144,12 +172,12 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runtime.ship(spark)
     runtime.small_arrow_batches(spark)
     rows = docs.select(document(docs["doc_id"], docs["text"]).alias("doc"), docs["text"].cast("string").alias("text"))
-    chunks = rows.mapInArrow(chunk_rows, "digest long, doc long")
-    firsts = chunks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("final"))
-    later = chunks.join(firsts.where("first < final").select("digest", "first"), "digest").where("doc > first")
-    per_doc = later.groupBy("doc").agg(F.collect_set("digest").alias("chunks"))
+    every = rows.mapInArrow(window_rows(min_words), "digest long, doc long")
+    firsts = every.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("final"))
+    later = every.join(firsts.where("first < final").select("digest", "first"), "digest").where("doc > first")
+    per_doc = later.groupBy("doc").agg(F.collect_set("digest").alias("windows"))
     keyed = with_row(docs, text_back=True).select("row", document(F.col("row.doc_id"), F.col("row.text")).alias("doc"))
-    joined = keyed.join(per_doc, "doc", "left").select("row", "chunks")
+    joined = keyed.join(per_doc, "doc", "left").select("row", "windows")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([keyed.schema["row"], T.StructField("clean", T.StringType()), T.StructField("n_removed_words", T.LongType()), T.StructField("spans", spans)])
     return joined.mapInArrow(cut_rows(min_words), schema)

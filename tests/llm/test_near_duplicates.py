@@ -177,6 +177,33 @@ def test_substrings(spark, docs, no_docs, rows):
     assert substring_dedup.drop_repeats(no_docs).count() == 0
 
 
+def test_unrelated_common_chunks_are_no_passage(spark):
+    raw = prose(60, 31).encode()
+    s = substring_dedup.chunk_starts(raw).tolist()
+    # each chunk with the bytes around it that decide its edges, in an earlier document of its own
+    pieces = [raw[max(0, a - 16) : b + 1].decode(errors="ignore") for a, b in zip(s, [*s[1:], len(raw)])]
+    assert max(len(x.split()) for x in pieces) < substring_dedup.MIN_WORDS
+    data = [(k, f"{prose(30, f'before {k}')} {x}") for k, x in enumerate(pieces)]
+    whole, end = raw.decode(), prose(40, 32)
+    data += [(500, whole), (501, f"{end} {whole}"), (502, whole)]
+    found = {r["row"]["doc_id"]: (r["clean"], r["n_removed_words"]) for r in substring_dedup.find_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert found[500] == (whole, 0)  # the first copy stays whole
+    assert found[501][1] > 50 and found[501][0].startswith(end) and found[502] == ("", 60)
+
+
+def test_windows_hold_the_words_asked_for():
+    for raw in (b"", b" ", b"one two", prose(500, 33).encode(), b"word " * 300, b"  " + prose(40, 34).encode() + b"\n"):
+        starts = substring_dedup.chunk_starts(raw)
+        ends = [*starts[1:].tolist(), len(raw)]
+        digests, a, b = substring_dedup.windows(raw, starts, 16)
+        count = lambda i, j: len(raw[starts[i] : ends[j - 1]].split()) if j > i else 0
+        places = {(i, next(j for j in range(i, len(starts) + 1) if count(i, j) >= 16)) for i in range(len(starts)) if count(i, len(starts)) >= 16}
+        places |= {(next(i for i in range(j, -1, -1) if count(i, j) >= 16), j) for j in range(1, len(starts) + 1) if count(0, j) >= 16}
+        assert sorted(places) == list(zip(a.tolist(), b.tolist()))
+        texts = [tuple(raw[starts[k] : ends[k]] for k in range(i, j)) for i, j in zip(a, b)]
+        assert len(set(digests.tolist())) == len(set(texts)) == len(set(zip(digests.tolist(), texts)))
+
+
 def test_groups_grow_with_the_corpus():
     found = [simhash.groups_for(n) for n in (0, 1000, 10**6, 10**8, 10**10)]
     assert found == sorted(found) and found[0] == 6 and found[-1] > 8

@@ -93,7 +93,7 @@ def by_sequence(df: DataFrame, low: int | None = None, high: int | None = None)
 def by_regex(df: DataFrame, pattern: str, inverted: bool = False, column: str = "payload") -> DataFrame:
     """Payloads whose text matches ``pattern`` somewhere (or nowhere, if ``inverted``).
 
-    Patterns are linear-time ones: look-around and back-references are refused. Classes such as ``\\d`` take in
+    Bytes that are not UTF-8 count as U+FFFD. Patterns are linear-time ones: look-around and back-references are refused. Classes such as ``\\d`` take in
     all of Unicode.
     """
     if re.search(r"\(\?(=|!|<=|<!)|\\[1-9]", pattern):
@@ -102,23 +102,27 @@ def by_regex(df: DataFrame, pattern: str, inverted: bool = False, column: str =
         re.compile(pattern)
     except re.error as e:
         raise ValueError(f"invalid pattern: {pattern}") from e
-    found = F.decode(F.col(column).cast("binary"), "UTF-8").rlike(f"(?U){pattern}")
+    found = F.make_valid_utf8(F.col(column).cast("binary").cast("string")).rlike(f"(?U){pattern}")
     return df.where(~found if inverted else found)
 
 
 def drop_duplicates(df: DataFrame, content: str = "payload", partition_by=(), order_by=ORDER) -> DataFrame:
-    """The first row of each content stays (of rows without content, the first too).
+    """The first row of each content stays, in each group of ``partition_by`` (of rows without content, the first too).
 
     A minimum over the order columns by the content's SHA-256, combined before the shuffle, finds the first rows:
     what is dealt is 32 bytes a row whatever the content's size, and a content that very many rows share costs one
-    row from each task. ``order_by`` has to be unique.
+    row from each task. ``order_by`` has to be unique within a stream; of rows equal in it, that of the least
+    ``stream_id`` comes first. Null keys are a group of their own, and null places come first.
     """
-    digest = F.unhex(F.sha2(F.col(content).cast("binary"), 256)).alias("_digest")
-    keys = [F.col(c) for c in partition_by]
-    place = F.min(order_by[0]) if len(order_by) == 1 else F.min(F.struct(*order_by))
-    first = df.select(*keys, digest, *order_by).groupBy(*partition_by, "_digest").agg(place.alias("_first"))
-    first = first.select(F.col("_first").alias(order_by[0])) if len(order_by) == 1 else first.select("_first.*")
-    return df.join(first, list(order_by), "left_semi")
+    ties = [c for c in STREAM if c in df.columns and c not in partition_by and c not in order_by]
+    place = F.struct(*order_by, *ties)
+    digest = F.unhex(F.sha2(F.col(content).cast("binary"), 256))
+    keyed = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(partition_by)), digest.alias("_of"), place.alias("_p"))
+    keys = [f"_k{i}" for i in range(len(partition_by))]
+    first = keyed.groupBy(*keys, "_of").agg(F.min("_p").alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(partition_by, keys)]
+    same += [F.col(c).eqNullSafe(F.col("_first")[c]) for c in (*order_by, *ties)]
+    return df.withColumn("_digest", digest).join(first, [F.col("_digest").eqNullSafe(F.col("_of")), *same], "left_semi").drop("_digest")
 
 
 def valve(df: DataFrame, is_open: bool = True) -> DataFrame:

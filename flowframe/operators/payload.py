@@ -62,22 +62,22 @@ def pad(df: DataFrame, least: int, fill: int = 0) -> DataFrame:
     return df.withColumn("payload", F.when(size() < least, padded).otherwise(F.col("payload")))
 
 
-def split(df: DataFrame, delimiter: str, keep_delimiter: bool = False, partition_by=STREAM, order_by=ORDER) -> DataFrame:
+def split(df: DataFrame, delimiter: str | bytes, keep_delimiter: bool = False, partition_by=STREAM, order_by=ORDER) -> DataFrame:
     """A row for each part between delimiters that is not empty, numbered anew in each stream.
 
-    An empty delimiter leaves payloads whole. Payloads are taken as text; with ``keep_delimiter`` a part keeps the
-    delimiter that ends it.
+    An empty delimiter leaves payloads whole. Payloads are bytes of any kind: each byte stands for one character of
+    ISO 8859-1 while they are split, and goes back. With ``keep_delimiter`` a part keeps the delimiter that ends it.
     """
     if not delimiter:
         return flat_map_bytes(df, lambda p: F.array(p), partition_by, order_by)
-    quoted = "\\Q" + delimiter + "\\E"
+    raw = delimiter.encode() if isinstance(delimiter, str) else delimiter
+    pattern = "".join(f"\\x{b:02x}" for b in raw)
 
     def parts(p: Column) -> Column:
-        text = p.cast("string")
-        found = F.split(text, quoted, -1)
+        found = F.split(F.decode(p, "ISO-8859-1"), pattern, -1)
         if keep_delimiter:
-            found = F.transform(found, lambda x, i: F.when(i < F.size(found) - 1, F.concat(x, F.lit(delimiter))).otherwise(x))
-        return F.transform(F.filter(found, lambda x: x != ""), lambda x: x.cast("binary"))
+            found = F.transform(found, lambda x, i: F.when(i < F.size(found) - 1, F.concat(x, F.lit(raw.decode("latin-1")))).otherwise(x))
+        return F.transform(F.filter(found, lambda x: x != ""), lambda x: F.encode(x, "ISO-8859-1"))
 
     return flat_map_bytes(df, parts, partition_by, order_by)
 

@@ -16,13 +16,17 @@ _LOCK = threading.Lock()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a folder of our own under the system's temporary folder becomes the checkpoint folder.
+    It is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the session is
+    local, as in tests, a folder of our own under the system's temporary folder becomes the checkpoint folder; on a
+    cluster that would be another folder on each machine, so there the setting is asked for.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="flowframe-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -74,10 +78,12 @@ def ship(spark: SparkSession) -> None:
         context._flowframe_shipped = True
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the Arrow batches of Python stages over long texts: at most ``rows`` rows at once.
+def small_arrow_batches(spark: SparkSession, size: int = 1 << 20) -> None:
+    """Bound the Arrow batches that go to Python stages by bytes, so that long texts go in few rows at once.
 
-    Spark's default of 10,000 rows would be more than a gigabyte for texts of a hundred kilobytes.
+    Spark's default is 64 MB. A bound in bytes leaves batches of short rows, of this or another query of the session,
+    as they were: up to ``maxRecordsPerBatch`` rows.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > size:
+        spark.conf.set(name, str(size))

@@ -234,3 +234,28 @@ def test_mux(spark):
     assert slots(both) == slots(both, "timed") == slots(both, "loose", video="video") == [0, 1, 2, 3]
     assert slots(both, ended=[]) == [0, 1, 2] and slots(both, ended=["audio"]) == [0, 1, 2, 3]
     assert slots(["video", "text"], ended=[]) == [] and slots(both, "loose", video="audio") == [1, 2]
+
+
+def test_bytes_that_are_no_text(spark):
+    from flowframe.operators import filters, payload
+
+    raw = [b"a\xff,b\xfe", b"\xc3\xa9\\E,x", b"\x00\xff"]
+    df = spark.createDataFrame([(0, k, bytearray(x)) for k, x in enumerate(raw)], "stream_id int, sequence long, payload binary")
+    found = [bytes(r["payload"]) for r in payload.split(df, ",").orderBy("sequence").collect()]
+    assert found == [b"a\xff", b"b\xfe", b"\xc3\xa9\\E", b"x", b"\x00\xff"]
+    found = [bytes(r["payload"]) for r in payload.split(df, b"\xff", True).orderBy("sequence").collect()]
+    assert found == [b"a\xff", b",b\xfe", b"\xc3\xa9\\E,x", b"\x00\xff"]
+    assert [bytes(r["payload"]) for r in payload.split(df, "\\E").orderBy("sequence").collect()][1:3] == [b"\xc3\xa9", b",x"]
+    assert [r["sequence"] for r in filters.by_regex(df, "^a\ufffd,").collect()] == [0]
+    assert [r["sequence"] for r in filters.by_regex(df, "\u00e9").collect()] == [1]
+
+
+def test_duplicates_within_streams(spark):
+    from flowframe.operators import filters
+
+    rows = [(1, 1, b"x"), (1, 2, b"x"), (2, 2, b"x"), (2, 3, b"x"), (None, 2, b"x"), (None, 5, b"y"), (3, 1, b"x"), (3, None, None), (4, 9, None)]
+    df = spark.createDataFrame([(s, q, None if p is None else bytearray(p)) for s, q, p in rows], "stream_id int, sequence long, payload binary")
+    keep = lambda d: sorted(((r["stream_id"], r["sequence"]) for r in d.collect()), key=str)
+    found = keep(filters.drop_duplicates(df, partition_by=("stream_id",)))
+    assert found == sorted([(1, 1), (2, 2), (None, 2), (None, 5), (3, 1), (3, None), (4, 9)], key=str)
+    assert keep(filters.drop_duplicates(df)) == sorted([(1, 1), (None, 5), (3, None)], key=str)

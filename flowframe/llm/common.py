@@ -11,6 +11,13 @@ import sys
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def require_integer(docs: DataFrame, column: str = "doc_id") -> None:
+    """Ids are whole numbers (or null): others, which a cast could change, are refused before anything runs."""
+    if not isinstance(docs.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"{column} must be of an integer type, not {docs.schema[column].dataType.simpleString()}")
 
 
 def with_row(docs: DataFrame, text_back: bool = False) -> DataFrame:
@@ -52,6 +59,19 @@ def frugal(run):
     return bounded
 
 
+def tidy(run):
+    """As :func:`frugal`, for stages that use a vocabulary: it stays loaded for the worker's next task."""
+
+    @functools.wraps(run)
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return bounded
+
+
 def give_back() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -1,15 +1,18 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A chunk ends before a word whose preceding 16 bytes have a gear hash with its top bits zero, so the cuts depend
-on nearby content only and an insertion shifts no chunk but its own. What is deduplicated, by digest, are windows:
-the fewest chunks in a row from a chunk on, or up to a chunk, that have ``MIN_WORDS`` words or more. The first document
-(by ``doc_id``) that holds a window keeps it, at its first place there; elsewhere its chunks are cut out. So whatever
-goes stands, with neighbours to that number of words, in one piece in one earlier document or earlier in its own.
+Chunks may begin at places: word starts and, in long stretches without white space (Chinese, Japanese, Thai...), any
+character of three bytes or more. One begins where the gear hash of the 16 bytes before is the least among the
+``REACH`` places on either side, so the cuts depend on nearby content only, an insertion shifts no chunk but those
+around it, and no chunk but in periodic text is much longer than another. What is deduplicated, by digest, are windows:
+from each chunk on (and up to the last), the fewest chunks in a row that have ``MIN_WORDS`` words or more. The first document (by
+``doc_id``) that holds a window keeps it, at its first place there; elsewhere its chunks are cut out. So whatever goes
+stands, with neighbours to that number of words, in one piece in one earlier document or earlier in its own.
 
 Rows: null and empty texts have no chunks and stay as they are; rows with one ``doc_id`` are one document, which
 never takes from itself what another of its rows has; rows with a null ``doc_id`` come after all others, equal
-texts among them as one document; texts of any length are read whole; an empty table gives no rows; further columns pass through,
-whatever their names.
+texts among them as one document; ids of another type than an integer are refused; texts of any length are read whole;
+a stretch of ASCII without white space is one word however long it is; an empty table gives no rows; further columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,30 +26,67 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowframe import runtime
-from flowframe.llm.common import frugal, replace_text, texts_of, with_row
+from flowframe.llm.common import frugal, replace_text, require_integer, texts_of, with_row
 
-#: A chunk ends at one word start in 2 ** CUT_BITS on average.
-CUT_BITS = 2
+#: Places on either side among which a chunk's beginning has the least hash: chunks have 7 words on average.
+REACH = 3
 #: Stretches of fewer words stay. A passage loses a few words at either end to chunks that reach over its edges,
 #: so this is well below the 50 words from which passages count, and above licence lines and other formulas.
 MIN_WORDS = 16
-GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
+#: Bytes without white space from which characters of three bytes or more count, two of them as a word.
+RUN = 64
+#: Bytes hashed at once, and the bytes before a place that its hash is made of.
+BLOCK, REACHED = 1 << 20, 16
+GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 LAST = (1 << 63) - 1
 
 
-def chunk_starts(raw: bytes, cut_bits: int = CUT_BITS) -> np.ndarray:
-    """Where the chunks of a text begin, in bytes; none for an empty text."""
+def places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks may begin, and the half words from there to the next place."""
+    space = _SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    starts = np.flatnonzero(begins)
+    after = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    ends = after if len(after) == len(starts) else np.append(after, len(data))
+    wide = np.zeros(len(data), bool)
+    for a, b in zip(starts[ends - starts >= RUN], ends[ends - starts >= RUN]):
+        wide[a:b] = data[a:b] >= 0xE0
+    at = np.flatnonzero(begins | wide)
+    return at, np.where(wide[at], 1, 2)
+
+
+def gear_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gear hash of the bytes before each place."""
+    out, done = np.zeros(len(at), np.uint32), 0
+    for begin in range(0, len(data), BLOCK):
+        low = max(0, begin - REACHED)
+        h = GEAR[data[low : begin + BLOCK]]
+        for k in (1, 2, 4, 8):  # after each step the hash of 2 * k bytes
+            h[k:] = h[k:] + (h[:-k] << np.uint32(k))
+        upto = int(np.searchsorted(at, begin + BLOCK, "right"))
+        mine = at[done:upto]
+        out[done:upto] = np.where(mine > 0, h[np.maximum(mine - 1 - low, 0)], 0)
+        done = upto
+    return out
+
+
+def chunks(raw: bytes, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chunks of a text begin, in bytes, and their half words; none for an empty text."""
     data = np.frombuffer(raw, np.uint8)
     if not len(data):
-        return np.empty(0, np.int64)
-    h = GEAR[data]
-    for k in (1, 2, 4, 8):  # after each step the hash of 2 * k bytes
-        h[k:] = h[k:] + (h[:-k] << np.uint16(k))
-    space = _SPACE[data]
-    cuts = np.flatnonzero(space[:-1] & ~space[1:] & (h[:-1] >> np.uint16(16 - cut_bits) == 0)) + 1
-    return np.concatenate([[0], cuts]).astype(np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at, halves = places(data)
+    h = gear_hashes(data, at)
+    cut = at > 0
+    for k in range(1, reach + 1):
+        cut[k:] &= h[k:] < h[:-k]
+        cut[:-k] &= h[:-k] <= h[k:]
+    first = np.flatnonzero(cut)
+    before = np.concatenate([[0], np.cumsum(halves)])
+    return np.concatenate([[0], at[first]]), np.diff(np.concatenate([[0], before[first], before[-1:]]))
 
 
 def chunk_digests(raw: bytes, starts: np.ndarray) -> list[int]:
@@ -61,26 +101,20 @@ def chunk_digests(raw: bytes, starts: np.ndarray) -> list[int]:
 BASE = 0xD6E8FEB86659FD93
 
 
-def windows(raw: bytes, starts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, first chunk, chunk after) of the windows of a text, by their places: from each chunk on, and up to
-    each chunk, as few chunks as have ``min_words`` words."""
+def windows(raw: bytes, starts: np.ndarray, halves: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, first chunk, chunk after) of the windows of a text: from each chunk on, and up to the last, as few as have ``min_words`` words."""
     if not len(starts):
         return (np.empty(0, np.int64),) * 3
-    space = _SPACE[np.frombuffer(raw, np.uint8)]
-    begins = ~space
-    begins[1:] &= space[:-1]
     n = len(starts)
-    words = np.concatenate([[0], np.cumsum(np.add.reduceat(begins, starts, dtype=np.int64))])
-    after = np.searchsorted(words, words[:-1] + min_words)
-    first = np.searchsorted(words, words[1:] - min_words, side="right") - 1
-    at = np.arange(n)
-    on, up = after <= n, first >= 0
-    # a text of n chunks has fewer than 2 ** 31
-    places = np.unique(np.concatenate([at[on] << 32 | after[on], first[up] << 32 | at[up] + 1]))
-    a, b = places >> 32, places & 0xFFFFFFFF
+    sums = np.concatenate([[0], np.cumsum(halves)])
+    after = np.searchsorted(sums, sums[:-1] + 2 * min_words)
+    a = np.flatnonzero(after <= n)
+    b = after[a]
+    if len(a) and b[-1] < n:  # up to the text's end, so that nothing of a whole copy stays
+        a, b = np.append(a, np.searchsorted(sums, sums[-1] - 2 * min_words, "right") - 1), np.append(b, n)
     powers, inverses = (np.cumprod(np.array([1, *[x] * (n - 1)], np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64)))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(chunk_digests(raw, starts), np.int64).view(np.uint64) * powers)])
-    return ((sums[b] - sums[a]) * inverses[a]).view(np.int64), a, b
+    mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(chunk_digests(raw, starts), np.int64).view(np.uint64) * powers)])
+    return ((mixed[b] - mixed[a]) * inverses[a]).view(np.int64), a, b
 
 
 def window_rows(min_words: int):
@@ -92,7 +126,7 @@ def window_rows(min_words: int):
             docs, digests = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
-                digests.append(np.unique(windows(raw, chunk_starts(raw), min_words)[0]))
+                digests.append(np.unique(windows(raw, *chunks(raw), min_words)[0]))
                 docs.append(np.full(len(digests[-1]), doc, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)), pa.array(np.concatenate(docs))], names=["digest", "doc"])
 
@@ -137,9 +171,9 @@ def repeated_spans(text: str | None, known: list[int] | None, min_words: int) ->
     """(first byte, byte after, words) of stretches of windows that an earlier document has (their digests are in
     ``known``) or that the text itself has before."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
-    starts = chunk_starts(raw)
+    starts, halves = chunks(raw)
     ends = np.append(starts[1:], len(raw))
-    digests, a, b = windows(raw, starts, min_words)
+    digests, a, b = windows(raw, starts, halves, min_words)
     again = np.ones(len(digests), bool)
     again[np.unique(digests, return_index=True)[1]] = False
     again |= np.isin(digests, np.array(known or (), np.int64))
@@ -168,6 +202,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     are split at run time. Digests are computed twice rather than kept on disk; stretches within one document
     need no shuffle.
     """
+    require_integer(docs)
     spark = docs.sparkSession
     runtime.ship(spark)
     runtime.small_arrow_batches(spark)

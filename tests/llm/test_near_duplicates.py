@@ -109,54 +109,85 @@ def test_documents(spark, docs, no_docs, rows):
     assert simhash.drop_near_duplicates(no_docs).count() == 0
 
 
-def test_chunks_resist_shifts():
+def plain_chunks(raw):
+    """Where chunks begin, by a rolling gear hash byte by byte and a search around each word start."""
+    gear, space = substring_dedup.GEAR.tolist(), b" \t\n\x0b\x0c\r"
+    words = [i for i in range(len(raw)) if raw[i] not in space and (i == 0 or raw[i - 1] in space)]
+    at = {i: 2 for i in words}
+    for i in words:
+        end = next((j for j in range(i, len(raw)) if raw[j] in space), len(raw))
+        if end - i >= 64:
+            at |= {j: 1 for j in range(i, end) if raw[j] >= 0xE0}
+    order, h = sorted(at), []
+    for p in order:
+        v = 0
+        for byte in raw[max(0, p - 16) : p]:
+            v = ((v << 1) + gear[byte]) & 0xFFFFFFFF
+        h.append(v)
+    found = [0]
+    for k, p in enumerate(order):
+        if p and all(h[k] < x for x in h[max(0, k - 3) : k]) and all(h[k] <= x for x in h[k + 1 : k + 4]):
+            found.append(p)
+    return found if raw else [], [sum(at[p] for p in order if a <= p < b) for a, b in zip(found, [*found[1:], len(raw)])] if raw else []
+
+
+CHINESE = "".join(chr(0x4E00 + random.Random(3).randrange(5000)) for _ in range(1)) + "".join(chr(0x4E00 + random.Random(f"c{k}").randrange(5000)) for k in range(300))
+
+
+def test_chunks(rows):
     text = prose(400, 21).encode()
 
-    def chunks(raw):
-        s = substring_dedup.chunk_starts(raw).tolist()
+    def pieces(raw):
+        s = substring_dedup.chunks(raw)[0].tolist()
         return {raw[a:b] for a, b in zip(s, [*s[1:], len(raw)])}
 
     shifted = b"some new words " + text[:700] + b"inserted " + text[700:]
-    assert len(chunks(text) & chunks(shifted)) > 0.9 * len(chunks(text))
-    starts = substring_dedup.chunk_starts(text)
-    h = []
-    for cut in starts[1:].tolist():
-        v = 0
-        for byte in text[max(0, cut - 16) : cut]:
-            v = ((v << 1) + int(substring_dedup.GEAR[byte])) & 0xFFFF
-        h.append(v >> 14)
-    assert set(h) == {0}
+    assert len(pieces(text) & pieces(shifted)) > 0.9 * len(pieces(text))
+    for raw in [*(t.encode() for _, t in rows if t is not None and len(t) < 20000), text, CHINESE.encode(), b"  a\n", (CHINESE + " abc " + CHINESE[:25]).encode()]:
+        starts, halves = substring_dedup.chunks(raw)
+        assert (starts.tolist(), halves.tolist()) == plain_chunks(raw)
+
+
+def test_blocks_of_hashes(monkeypatch):
+    raw = prose(300, 22).encode()
+    whole = substring_dedup.chunks(raw)[0].tolist()
+    monkeypatch.setattr(substring_dedup, "BLOCK", 37)
+    assert substring_dedup.chunks(raw)[0].tolist() == whole
 
 
 def plain_repeats(rows):
-    """(doc_id, text) to texts without repeated stretches, chunk by chunk."""
+    """(doc_id, text) to texts without repeated windows, by lists of chunks as they are."""
+    def split(raw):
+        s, halves = plain_chunks(raw)
+        return [raw[a:b] for a, b in zip(s, [*s[1:], len(raw)])], halves
+
+    def spans(pieces, halves):
+        for a in range(len(pieces)):
+            n = 0
+            for b in range(a, len(pieces)):
+                n += halves[b]
+                if n >= 2 * substring_dedup.MIN_WORDS:
+                    yield a, b + 1
+                    break
+        if sum(halves) >= 2 * substring_dedup.MIN_WORDS:
+            yield next(a for a in range(len(pieces) - 1, -1, -1) if sum(halves[a:]) >= 2 * substring_dedup.MIN_WORDS), len(pieces)
+
+    key = lambda i, t: (i is None, i or 0, t if i is None else "")
+    parts = [split((t or "").encode()) for _, t in rows]
     first = {}
-    split = []
-    for i, t in rows:
-        raw = (t or "").encode()
-        s = substring_dedup.chunk_starts(raw).tolist()
-        split.append([raw[a:b] for a, b in zip(s, [*s[1:], len(raw)])])
-        for c in split[-1]:
-            key = substring_dedup.LAST if i is None else i
-            first[c] = min(first.get(c, key), key)
+    for (i, t), (pieces, halves) in zip(rows, parts):
+        for a, b in spans(pieces, halves):
+            w = tuple(pieces[a:b])
+            first[w] = min(first.get(w, key(i, t)), key(i, t))
     out = []
-    for (i, t), chunks in zip(rows, split):
-        key, seen, text, run = substring_dedup.LAST if i is None else i, set(), [], []
-
-        def close():
-            if run and len(b"".join(run).split()) < substring_dedup.MIN_WORDS:
-                text.extend(run)
-            run.clear()
-
-        for c in chunks:
-            if c in seen or first[c] < key:
-                run.append(c)
-            else:
-                close()
-                text.append(c)
-            seen.add(c)
-        close()
-        out.append((i, None if t is None else b"".join(text).decode()))
+    for (i, t), (pieces, halves) in zip(rows, parts):
+        gone, seen = set(), {}
+        for a, b in spans(pieces, halves):
+            w = tuple(pieces[a:b])
+            if (seen.get(w, (a, b)) != (a, b)) or first[w] < key(i, t):
+                gone.update(range(a, b))
+            seen.setdefault(w, (a, b))
+        out.append((i, None if t is None else b"".join(x for k, x in enumerate(pieces) if k not in gone).decode()))
     return out
 
 
@@ -179,29 +210,38 @@ def test_substrings(spark, docs, no_docs, rows):
 
 def test_unrelated_common_chunks_are_no_passage(spark):
     raw = prose(60, 31).encode()
-    s = substring_dedup.chunk_starts(raw).tolist()
+    s = substring_dedup.chunks(raw)[0].tolist()
     # each chunk with the bytes around it that decide its edges, in an earlier document of its own
-    pieces = [raw[max(0, a - 16) : b + 1].decode(errors="ignore") for a, b in zip(s, [*s[1:], len(raw)])]
-    assert max(len(x.split()) for x in pieces) < substring_dedup.MIN_WORDS
-    data = [(k, f"{prose(30, f'before {k}')} {x}") for k, x in enumerate(pieces)]
+    pieces = [raw[max(0, a - 40) : b + 30].decode(errors="ignore") for a, b in zip(s, [*s[1:], len(raw)])]
+    data = [(k, f"{prose(30, f'before {k}')} {' '.join(x.split()[1:15])}") for k, x in enumerate(pieces)]
     whole, end = raw.decode(), prose(40, 32)
     data += [(500, whole), (501, f"{end} {whole}"), (502, whole)]
     found = {r["row"]["doc_id"]: (r["clean"], r["n_removed_words"]) for r in substring_dedup.find_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert found[500] == (whole, 0)  # the first copy stays whole
-    assert found[501][1] > 50 and found[501][0].startswith(end) and found[502] == ("", 60)
-
-
-def test_windows_hold_the_words_asked_for():
-    for raw in (b"", b" ", b"one two", prose(500, 33).encode(), b"word " * 300, b"  " + prose(40, 34).encode() + b"\n"):
-        starts = substring_dedup.chunk_starts(raw)
-        ends = [*starts[1:].tolist(), len(raw)]
-        digests, a, b = substring_dedup.windows(raw, starts, 16)
-        count = lambda i, j: len(raw[starts[i] : ends[j - 1]].split()) if j > i else 0
-        places = {(i, next(j for j in range(i, len(starts) + 1) if count(i, j) >= 16)) for i in range(len(starts)) if count(i, len(starts)) >= 16}
-        places |= {(next(i for i in range(j, -1, -1) if count(i, j) >= 16), j) for j in range(1, len(starts) + 1) if count(0, j) >= 16}
-        assert sorted(places) == list(zip(a.tolist(), b.tolist()))
-        texts = [tuple(raw[starts[k] : ends[k]] for k in range(i, j)) for i, j in zip(a, b)]
-        assert len(set(digests.tolist())) == len(set(texts)) == len(set(zip(digests.tolist(), texts)))
+    assert found[501][1] > 40 and found[501][0].startswith(end[:200]) and found[502] == ("", 60)
+
+
+def test_passages_go_and_other_text_stays(spark):
+    """300 passages of 51 to 80 words, each in three documents; in Chinese too, where nothing is white space."""
+    r, data = random.Random(5), []
+    for k in range(300):
+        passage = prose(r.randint(51, 80), f"p{k}")
+        data += [(3 * k + j, f"{prose(r.randint(20, 90), f'a{k}{j}')} {passage} {prose(r.randint(20, 90), f'b{k}{j}')}", passage) for j in range(3)]
+    data += [(1000 + j, "前" * j + CHINESE + "后" * j, CHINESE) for j in range(3)]
+    found = {x["row"]["doc_id"]: x["clean"] for x in substring_dedup.find_repeats(spark.createDataFrame(data, "doc_id long, text string, passage string")).collect()}
+    caught = kept = total = left = 0
+    for i, text, passage in data[:900]:
+        at = text.index(passage)
+        if i % 3 == 0:
+            assert found[i] == text
+            continue
+        total += 1
+        rest = found[i]
+        caught += len(rest) < len(text)
+        left += max(0, len(rest) - len(text) + len(passage)) / len(passage)
+        kept += rest.startswith(text[: at - 1]) and rest.endswith(text[at + len(passage) + 1 :])
+    assert caught >= 0.99 * total and kept == total and left < 0.25 * total
+    assert len(found[1000]) == len(CHINESE) and len(found[1001]) < 30 and len(found[1002]) < 30
 
 
 def test_groups_grow_with_the_corpus():

@@ -1,13 +1,15 @@
 """Token counts from flat token files: unsigned 16-bit little-endian ids, an end id after each document, no index.
 
 Vocabulary ids are stored shifted by ``ID_SHIFT`` so that 0 (padding) and ``END_ID`` never stand for a token.
-Files are read as they are; each is cut into blocks of a fixed number of ids with no regard for documents.
+Files are read as they are; each is cut into blocks of a fixed number of ids with no regard for documents, and a
+task reads its blocks by byte range, so a file of any size is read by many tasks and none holds more than a block.
 Every block is searched for end ids at once, and a prefix scan over the blocks' summaries stitches documents
 that reach over block and file boundaries.
 
 Rows: a null text is an empty document (an end id alone); an empty table or empty files give no rows; ids after
-the last end id of the last file are one further, unended document if there are any; repeated texts each count;
-columns besides ``text`` are not read.
+the last end id of the last file are one further, unended document if there are any; repeated texts each count; a
+document may be longer than a block or a file; the last byte of a file of odd length is left out; columns besides
+``text`` are not read.
 """
 
 from __future__ import annotations
@@ -16,21 +18,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowframe import runtime
+from flowframe.llm.common import frugal, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 ID_SHIFT, END_ID = 2, 1
-#: Ids in a block; 2 MB of file.
-BLOCK_IDS = 1 << 20
+#: Ids in a block (2 MB of file), and bytes that a task reads where there are more than the cores read at once.
+BLOCK_IDS, TASK_BYTES = 1 << 20, 64 << 20
 
 
 def flat_rows(vocabulary: str, shift: int):
     """For ``mapInArrow`` over (text): the bytes of each document's shifted ids, without the end id."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from flowframe.llm.tokens import encoder
 
@@ -60,28 +65,73 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, docs_pe
     raw.write.option("lineSep", separator).option("maxRecordsPerFile", str(docs_per_file)).text(path)
 
 
-def scan_blocks(block_ids: int, end_id: int):
-    """For ``mapInArrow`` over (path, content): each block's length and the places of its end ids."""
+def summary(path: str, block: int, ids: np.ndarray, end_id: int) -> pa.RecordBatch:
+    """A block's length and the places of its end ids."""
+    ends = np.flatnonzero(ids == end_id).astype(np.int32)
+    columns = [pa.array([path]), pa.array([block], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ends], pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=["path", "block", "n_ids", "ends"])
 
+
+SUMMARY = "path string, block long, n_ids long, ends array<int>"
+
+
+def open_file(path: str) -> pa.NativeFile:
+    """A file of the listing, for reads by range."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[len("file:") :].lstrip("/"))
+    store, place = fs.FileSystem.from_uri(path)
+    return store.open_input_file(place)
+
+
+def scan_ranges(block_ids: int, end_id: int):
+    """For ``mapInArrow`` over (path, block): reads each block by its range and summarises it."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, block in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()):
+                with open_file(path) as file:
+                    raw = file.read_at(2 * block_ids, 2 * block_ids * block)
+                yield summary(path, block, np.frombuffer(raw, "<u2", len(raw) // 2), end_id)
+
+    return run
+
+
+def scan_files(block_ids: int, end_id: int):
+    """For ``mapInArrow`` over (path, content): summarises each block of whole files."""
+
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                ids = np.frombuffer(content.as_buffer(), "<u2")
-                starts = range(0, len(ids), block_ids)
-                parts = [ids[at : at + block_ids] for at in starts]
-                ends = [np.flatnonzero(part == end_id) for part in parts]
-                offsets = np.concatenate([[0], np.cumsum([len(e) for e in ends])]).astype(np.int32)
-                columns = [
-                    pa.array([path] * len(parts), pa.string()),
-                    pa.array(range(len(parts)), pa.int64()),
-                    pa.array([len(part) for part in parts], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ends, []]).astype(np.int32))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["path", "block", "n_ids", "ends"])
+                raw = content.as_buffer()
+                ids = np.frombuffer(raw, "<u2", len(raw) // 2)
+                for block, at in enumerate(range(0, len(ids), block_ids)):
+                    yield summary(path, block, ids[at : at + block_ids], end_id)
 
     return run
 
 
+def summaries(spark: SparkSession, path: str, block_ids: int, end_id: int) -> DataFrame:
+    """The summaries of all blocks under ``path``.
+
+    The listing (names and lengths; contents are not read for it) becomes a row for each block, dealt to as many tasks
+    as the bytes ask for. Where a store is one that only Spark reads, whole files go through Spark instead, one a task.
+    """
+    files = spark.read.format("binaryFile").load(path).where("length > 1")
+    total = files.agg(F.sum("length").alias("bytes"), F.min("path").alias("one")).first()
+    if total["bytes"]:
+        try:
+            open_file(total["one"]).close()
+        except (OSError, ValueError):
+            return files.select("path", "content").mapInArrow(scan_files(block_ids, end_id), SUMMARY)
+    size = 2 * block_ids
+    n = -(-(total["bytes"] or 0) // size)
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, (total["bytes"] or 0) // TASK_BYTES)))
+    blocks = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 2) / size))).alias("block"))
+    return blocks.repartition(tasks, "path", "block").mapInArrow(scan_ranges(block_ids, end_id), SUMMARY)
+
+
 def count_tokens(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, end_id: int = END_ID) -> DataFrame:
     """One row per document of the flat files under ``path``, which are taken in the order of their paths.
 
@@ -93,8 +143,7 @@ def count_tokens(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, end
     maximum); first over the blocks within a file, then over files, which have one small row each.
     """
     runtime.ship(spark)
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
-    blocks, _ = runtime.write_table(files.mapInArrow(scan_blocks(block_ids, end_id), "path string, block long, n_ids long, ends array<int>"), "token-blocks")
+    blocks, _ = runtime.write_table(summaries(spark, path, block_ids, end_id), "token-blocks")
     in_file = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     sized = blocks.select(
         "path",

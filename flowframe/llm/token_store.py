@@ -5,7 +5,8 @@ of the shard's documents before this one), ``n_tokens`` and ``ids``. ORC writes
 encoding; row indexes and Bloom filters on ``doc_id`` let a reader skip stripes and row groups by metadata.
 
 Rows: a null text is empty (only the end id); a null ``doc_id`` sorts first; rows that repeat a ``doc_id`` are
-all kept, ordered by their text; an empty table gives no rows; further columns of the input are not read.
+all kept, in the order of a hash of their text; ids of another type than an integer are refused; an empty table gives
+no rows; further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowframe import runtime
+from flowframe.llm.common import frugal, require_integer, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -29,6 +31,7 @@ STORED = "doc_id long, shard int, local_start long, n_tokens long, ids array<int
 def encode_rows(vocabulary: str, end_id: int):
     """For ``mapInArrow`` over (doc_id, text) in order: rows as stored, with running starts within the task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -64,16 +67,17 @@ def write_tokens(
 ) -> None:
     """Encode ``docs`` (doc_id, text) and write them as ORC under ``path`` in ascending ``doc_id`` order.
 
-    The texts are dealt by ranges of ``doc_id`` and sorted within tasks before they are encoded, so that ids
-    are never shuffled and shards follow each other in document order.
+    The texts are dealt by ranges of ``doc_id`` (and of a hash of the text, so that rows without an id, or with the
+    same one, go to several tasks) and sorted within tasks before they are encoded, so that ids are never shuffled
+    and shards follow each other in document order.
     """
+    require_integer(docs)
     spark = docs.sparkSession
     runtime.ship(spark)
     runtime.small_arrow_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()
-    )
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     (
         ordered.mapInArrow(encode_rows(vocabulary, end_id), STORED)
         .write.option("orc.bloom.filter.columns", "doc_id")
@@ -102,6 +106,7 @@ def read_tokens(spark: SparkSession, path: str, where: Column | None = None) ->
     return joined.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
+@frugal
 def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For ``mapInArrow`` over (doc_id, start, n_tokens, ids): the CRC-32 of each row's ids."""
     for batch in batches:

@@ -75,6 +75,36 @@ def test_counts(spark, docs, rows, block):
     assert all(r["ended"] for r in found)
 
 
+def test_counts_of_nothing_and_of_one_long_document(spark, no_docs):
+    path = runtime.new_path(spark, "t")
+    token_counts.write_flat(no_docs, path)
+    assert token_counts.count_tokens(spark, path).count() == 0
+    long = " ".join(f"w{k} some words" for k in range(40_000))
+    token_counts.write_flat(spark.createDataFrame([("a b",), (long,), (None,)], "text string").coalesce(1), path + "-long")
+    (size,) = (len(e.ids) for e in library("word_bpe_49k.json").encode_batch([long], add_special_tokens=False))
+    found = sorted(map(tuple, token_counts.count_tokens(spark, path + "-long", 1 << 14).collect()))
+    assert size > 5 << 14 and [r[2] for r in found][1:] == [size, 0] and [r[0] for r in found] == [0, 1, 2]
+
+
+def test_counts_through_spark_alone(spark, tmp_path, monkeypatch):
+    ids = np.array([5, 1, 1, 7, 8, 9, 1, 4], "<u2").tobytes()
+    (tmp_path / "a").write_bytes(ids[:5])  # the odd byte goes
+    (tmp_path / "b").write_bytes(ids)
+    plain = sorted(map(tuple, token_counts.count_tokens(spark, str(tmp_path), 2).collect()))
+    assert plain == [(0, 0, 1, True), (1, 1, 1, True), (2, 2, 0, True), (3, 2, 3, True), (4, 5, 1, False)]
+
+    def no_store(path):
+        raise OSError(path)
+
+    monkeypatch.setattr(token_counts, "open_file", no_store)
+    assert sorted(map(tuple, token_counts.count_tokens(spark, str(tmp_path), 2).collect())) == plain
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(ValueError, match="integer"):
+        token_store.write_tokens(spark.createDataFrame([("a", "b")], "doc_id string, text string"), "nowhere")
+
+
 def test_counts_over_file_borders(spark, tmp_path):
     r = random.Random(4)
     ids = [1 if r.random() < 0.1 else r.randint(2, 9) for _ in range(500)] + [5, 5]

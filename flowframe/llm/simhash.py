@@ -3,12 +3,16 @@
 Candidates come from an embedding: the fingerprint's segments are mapped to their numbers of set bits, and the
 Manhattan distance of two such vectors is a lower bound of the fingerprints' Hamming distance. Coordinates are
 dealt to groups; with more groups than ``bits``, two fingerprints within ``bits`` have distance 0 in all but
-``bits`` groups, so they share a cell of the grid that is made of the coordinates of some choice of the other
-groups. Within a cell the bound over all segments is tried first and the exact distance decides.
+``bits`` groups, so they share a cell of the grid (of width one) that is made of the coordinates of some choice of the
+other groups. Within a cell the bound over all segments is tried first and the exact distance decides.
+
+One fingerprint reaches only part of the pairs that are similar by words. Where that counts, several are made of the
+same shingles: documents are linked if one of them is near, and another, the one that names a document, is not far.
 
 Rows: texts without words, and null texts, have fingerprint 0 and are linked like any other; repeated rows and
 equal texts have one fingerprint and one component; a null ``doc_id`` is in a component but never names it
-(a component of such rows alone has a null name); an empty table gives no rows.
+(a component of such rows alone has a null name); ids of another type than an integer are refused; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,13 +23,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowframe import runtime
-from flowframe.llm.common import frugal, texts_of, with_row
+from flowframe.llm.common import frugal, require_integer, texts_of, with_row
 from flowframe.llm.components import connected_components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -61,31 +64,40 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint_rows(shingle: int, sketch: int):
-    """For ``mapInArrow`` over (row, text): each row with its fingerprint as a signed long, and the ``sketch`` least of
-    its different shingle hashes."""
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of the ``k``-th further fingerprint: those of the shingles, mixed; as they are for 0."""
+    if not k:
+        return hashes
+    with np.errstate(over="ignore"):
+        h = (hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(29))
+
+
+def fingerprint_rows(shingle: int, further: int):
+    """For ``mapInArrow`` over (row, text): each row with its fingerprint as a signed long, and ``further`` others."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, least = [], []
+            prints = []
             for text in texts_of(batch).to_pylist():
                 hashes = shingle_hashes(text, shingle)
-                prints.append(fingerprint(hashes))
-                least.append(np.unique(hashes.view("<i8"))[:sketch] if sketch else [])
-            columns = [batch.column("row"), pa.array(np.array(prints, "<u8").view("<i8")), pa.array(least, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "fp", "least"])
+                prints.append([fingerprint(mixed(hashes, k)) for k in range(further + 1)])
+            found = np.array(prints, "<u8").reshape(-1, further + 1).view("<i8")
+            columns = [batch.column("row"), pa.array(found[:, 0]), pa.array(list(found[:, 1:]), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "fp", "others"])
 
     return run
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: int = 0) -> DataFrame:
-    """(row, fp, least) of ``docs``: all columns but the text in ``row``."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, further: int = 0) -> DataFrame:
+    """(row, fp, others) of ``docs``: all columns but the text in ``row``."""
     runtime.ship(docs.sparkSession)
     runtime.small_arrow_batches(docs.sparkSession)
     rows = with_row(docs)
-    fields = [rows.schema["row"], T.StructField("fp", T.LongType()), T.StructField("least", T.ArrayType(T.LongType()))]
-    return rows.mapInArrow(fingerprint_rows(shingle, sketch), T.StructType(fields))
+    fields = [rows.schema["row"], T.StructField("fp", T.LongType()), T.StructField("others", T.ArrayType(T.LongType()))]
+    return rows.mapInArrow(fingerprint_rows(shingle, further), T.StructType(fields))
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -94,6 +106,15 @@ def segment_counts(fps: np.ndarray) -> np.ndarray:
     return x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
 
 
+LOW = 0x5555555555555555
+
+
+def packed_counts(part: Column) -> Column:
+    """As :func:`segment_counts`, of a column of signed longs."""
+    high, low = F.shiftrightunsigned(part, 1).bitwiseAND(F.lit(LOW)), part.bitwiseAND(F.lit(LOW))
+    return F.shiftleft(high.bitwiseAND(low), 1).bitwiseOR(high.bitwiseXOR(low))
+
+
 def unary(counts: np.ndarray) -> np.ndarray:
     """Packed counts 0, 1, 2 as 00, 01, 11: the differing bits of two such codes are the counts' difference."""
     low = np.uint64(0x5555555555555555)
@@ -126,52 +147,40 @@ def masks(groups: int, bits: int = BITS) -> np.ndarray:
     return np.array([sum(of_group[g] for g in choice) for choice in combinations(range(groups), groups - bits)], np.uint64)
 
 
-def cell_rows(groups: int, bits: int):
-    """For ``mapInArrow`` over (fp): a row for each cell of the grid that a fingerprint lies in."""
-    chosen = masks(groups, bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column("fp").to_numpy()
-            counts = segment_counts(fps.view(np.uint64))
-            with np.errstate(over="ignore"):
-                # the cell's coordinates and its choice of groups, mixed to one long; a clash only adds candidates
-                cells = (counts[:, None] & chosen[None, :]) * np.uint64(0x9E3779B97F4A7C15)
-                cells = (cells ^ (cells >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.arange(len(chosen), dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
-            columns = [pa.array(cells.reshape(-1).view(np.int64)), pa.array(np.repeat(fps, len(chosen)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["cell", "fp"])
-
-    return run
+def near(a: np.ndarray, b: np.ndarray, bits: int, far: int) -> np.ndarray:
+    """Whether rows (name, part) are linked: the parts within ``bits``, the names different and within ``far``."""
+    names = np.bitwise_count(a[..., 0] ^ b[..., 0])
+    return (np.bitwise_count(a[..., 1] ^ b[..., 1]) <= bits) & (names <= far) & (names > 0)
 
 
-def link_block(left: np.ndarray, right: np.ndarray | None, bits: int) -> np.ndarray:
-    """Links that connect what pairs of ``left`` (or of ``left`` and ``right``) within ``bits`` connect, as rows.
+def link_block(left: np.ndarray, right: np.ndarray | None, bits: int, far: int) -> np.ndarray:
+    """Links of names that connect what pairs of ``left`` (or of ``left`` and ``right``), rows (name, part), connect.
 
     All pairs are tried, some rows at a time. Where there are more links than four for each fingerprint, which only
     dense groups have, a spanning set of them is taken instead.
     """
     nodes = left if right is None else np.concatenate([left, right])
-    codes = unary(segment_counts(nodes))
+    codes = unary(segment_counts(nodes[:, 1]))
     begin = 0 if right is None else len(left)
     found, n = [np.empty((0, 2), np.uint64)], 0
     step = max(1, (1 << 18) // len(nodes))
     for at in range(0, len(left), step):
-        near = np.bitwise_count(codes[at : at + step, None] ^ codes[None, begin:]) <= bits
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(np.bitwise_count(codes[at : at + step, None] ^ codes[None, begin:]) <= bits)
         i, j = i + at, j + begin
         if right is None:
             i, j = i[i < j], j[i < j]
-        exact = np.bitwise_count(nodes[i] ^ nodes[j]) <= bits
-        found.append(np.stack([nodes[i[exact]], nodes[j[exact]]], 1))
+        linked = near(nodes[i], nodes[j], bits, far)
+        found.append(np.stack([nodes[i[linked], 0], nodes[j[linked], 0]], 1))
         n += len(found[-1])
         if n > 4 * len(nodes):
-            return spanning_links(nodes, codes, begin, right is not None, bits)
+            return spanning_links(nodes, codes, begin, right is not None, bits, far)
     return np.concatenate(found)
 
 
-def spanning_links(nodes: np.ndarray, codes: np.ndarray, begin: int, two: bool, bits: int) -> np.ndarray:
-    """As :func:`link_block`, by a search from each fingerprint in turn that looks only at those not reached yet: a
-    dense group gives one link for each member instead of one for each pair, and no pair goes unconnected."""
+def spanning_links(nodes: np.ndarray, codes: np.ndarray, begin: int, two: bool, bits: int, far: int) -> np.ndarray:
+    """As :func:`link_block`, by a search from each row in turn that looks only at those not reached yet: a dense group
+    gives one link for each member instead of one for each pair, and no pair goes unconnected. Rows of one name are
+    reached together, being one document."""
     side = np.zeros(len(nodes), bool)
     side[begin:] = two
     open_ = np.ones(len(nodes), bool)
@@ -184,57 +193,63 @@ def spanning_links(nodes: np.ndarray, codes: np.ndarray, begin: int, two: bool,
             at = todo.pop()
             rest = np.flatnonzero(open_ & (side != side[at])) if two else np.flatnonzero(open_)
             rest = rest[np.bitwise_count(codes[rest] ^ codes[at]) <= bits]
-            near = rest[np.bitwise_count(nodes[rest] ^ nodes[at]) <= bits]
-            if len(near):
-                open_[near] = False
-                links += [(at, x) for x in near.tolist()]
-                todo += near.tolist()
-    return nodes[np.array(links, np.int64).reshape(-1, 2)]
+            reached = rest[near(nodes[rest], nodes[at], bits, far)]
+            if len(reached):
+                open_[reached] = False
+                links += [(at, x) for x in reached.tolist()]
+                todo += reached.tolist()
+    return nodes[np.array(links, np.int64).reshape(-1, 2), 0]
 
 
-def link_rows(bits: int):
-    """For ``mapInArrow`` over (cell, i, j, side, fp) sorted by (cell, i, j): links (a, b) as signed longs."""
+def link_rows(bits: int, far: int):
+    """For ``mapInArrow`` over (cell, place, name, part) sorted by (cell, place): links (a, b) of names as signed longs.
+
+    ``place`` is twice the number of a pair of blocks in the cell, and 1 more on the pair's second side.
+    """
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
 
         def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
-            cell, i, j, side, fp = rows
-            fp = fp.view(np.uint64)
-            new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(cell) else np.empty(0, bool)
+            cell, place = rows[:2]
+            nodes = np.stack(rows[2:], 1).view(np.uint64)
+            pair, side = place >> 1, place & 1
+            new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (pair[1:] != pair[:-1])])
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], len(cell))
-            pairs = [np.empty((0, 2), np.uint64)]
+            found = [np.empty((0, 2), np.uint64)]
             group = np.cumsum(new) - 1
-            size = (ends - starts)[group] if len(cell) else np.empty(0, int)
-            small = (size <= 32) & (i == j)
-            counts = segment_counts(fp)
+            size = ends - starts
+            two = np.add.reduceat(side, starts) > 0
+            small = (size <= 32) & ~two
+            counts = segment_counts(nodes[:, 1])
             for k in range(1, 32):
-                both = np.flatnonzero(small[:-k] & (group[:-k] == group[k:])) if len(fp) > k else np.empty(0, int)
-                if not len(both):
+                first = np.flatnonzero((size > k) & small)
+                if not len(first):
                     break
-                both = both[manhattan(counts[both], counts[both + k]) <= bits]
-                both = both[np.bitwise_count(fp[both] ^ fp[both + k]) <= bits]
-                pairs.append(np.stack([fp[both], fp[both + k]], 1))
-            for a, b in zip(starts, ends):
-                if not small[a] and b - a > 1:
-                    one = i[a] == j[a]
-                    left = fp[a:b] if one else fp[a:b][side[a:b] == 0]
-                    right = None if one else fp[a:b][side[a:b] == 1]
-                    if len(left) and (one or len(right)):
-                        pairs.append(link_block(left, right, bits))
-            every = np.concatenate(pairs)
+                # the rows of these groups that have one of the group k rows on
+                n = size[first] - k
+                at = np.repeat(starts[first] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                at = at[manhattan(counts[at], counts[at + k]) <= bits]
+                at = at[near(nodes[at], nodes[at + k], bits, far)]
+                found.append(np.stack([nodes[at, 0], nodes[at + k, 0]], 1))
+            for g in np.flatnonzero(~small & (size > 1)):
+                a, b = starts[g], ends[g]
+                left = nodes[a:b] if not two[g] else nodes[a:b][side[a:b] == 0]
+                right = None if not two[g] else nodes[a:b][side[a:b] == 1]
+                if len(left):
+                    found.append(link_block(left, right, bits, far))
+            every = np.concatenate(found)
             return pa.RecordBatch.from_arrays([pa.array(every[:, 0].copy().view(np.int64)), pa.array(every[:, 1].copy().view(np.int64))], names=["a", "b"])
 
-        names = ("cell", "i", "j", "side", "fp")
         for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in names]
+            rows = [batch.column(c).to_numpy() for c in ("cell", "place", "name", "part")]
             if not len(rows[0]):
                 continue
             if kept:
                 rows = [np.concatenate([x, y]) for x, y in zip(kept, rows)]
-            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
+            last = (rows[0] == rows[0][-1]) & (rows[1] >> 1 == rows[1][-1] >> 1)
             at = int(np.argmax(last))
             kept = [x[at:] for x in rows]
             if at:
@@ -245,86 +260,96 @@ def link_rows(bits: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, groups: int, bits: int = BITS) -> DataFrame:
-    """Links (a, b) that connect what all pairs of distinct fingerprints ``fps`` (fp) within ``bits`` connect.
+def fingerprint_links(nodes: DataFrame, groups: int, bits: int = BITS, far: int = 64) -> DataFrame:
+    """Links (a, b) that connect what all pairs of ``nodes`` connect: (name, part), or (name, part, k).
 
-    Cells of more than ``CELL`` fingerprints are split: each fingerprint goes to the pairs of blocks that its
-    block is in, so no task holds more than two blocks of a cell, whatever the cell's size.
+    Two rows with equal ``k`` are linked if their parts differ in at most ``bits`` bits and their names in at most
+    ``far``. A row goes to a cell for each choice of groups; cells and their numbers are expressions, and what is dealt
+    is (choice, name, part, place). Cells of more than ``CELL`` rows are split: each row goes to the pairs of blocks
+    that its block is in, so no task holds more than two blocks of a cell, whatever the cell's size.
     """
-    spark = fps.sparkSession
+    spark = nodes.sparkSession
     runtime.ship(spark)
-    cells = fps.mapInArrow(cell_rows(groups, bits), "cell long, fp long")
-    hot, _ = runtime.write_table(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL), "hot-cells")
-    # cells that hold more than CELL of the fingerprints are few: at most their number times the choices / CELL
-    joined = cells.join(hot, "cell", "left")
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
-    block = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), blocks)).cast("int")
-    dealt = joined.select("cell", "fp", F.coalesce(blocks, F.lit(1)).alias("blocks"), block.alias("block"))
-    pairs = dealt.select("cell", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = pairs.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "fp")
-    return spread.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(link_rows(bits), "a long, b long")
-
-
-#: Hashes in a sketch, and the least similarity that a link is believed at.
-SKETCH, LEAST_ALIKE = 32, 0.3
-
-
-def alike(links: DataFrame, sketched: DataFrame, k: int, least: float = LEAST_ALIKE) -> DataFrame:
-    """``links`` (a, b) but those of fingerprints that are near by chance.
-
-    Among very many documents unlike ones come within a wide radius, and single links would join all of them. The
-    share of the ``k`` least hashes of both texts' shingles that both have estimates their Jaccard similarity: near 0
-    for unlike texts, and over a half for those that really differ in so few bits. ``sketched``: (node, least).
-    """
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known, _ = runtime.write_table(sketched.join(ends, "node").groupBy("node").agg(F.min("least").alias("least")), "sketches")
-    a, b = (known.select(F.col("node").alias(x), F.col("least").alias(f"least_{x}")) for x in "ab")
-    both = links.distinct().join(a, "a").join(b, "b")
-    union = F.slice(F.array_sort(F.array_union("least_a", "least_b")), 1, k)
-    shared = F.size(F.array_intersect(union, F.array_intersect("least_a", "least_b")))
-    return both.where((F.size(union) == 0) | (shared >= least * F.size(union))).select("a", "b")
-
-
-def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, sketch: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of all ``docs``, which need ``doc_id`` and ``text``, and (fp, component_id) of every fingerprint.
-
-    With a ``sketch`` of so many shingle hashes, links by chance are taken out: see :func:`alike`.
+    chosen = [int(x) for x in masks(groups, bits).view(np.int64)]
+    k = F.col("k") if "k" in nodes.columns else F.lit(0)
+    codes = F.explode(F.sequence(F.lit(0), F.lit(len(chosen) - 1)))
+    coded = nodes.select("name", "part", k.cast("int").alias("k"), codes.alias("c")).select("name", "part", (F.col("k") * len(chosen) + F.col("c")).alias("code"))
+    # a clash of the hash only adds candidates
+    mask = F.element_at(F.lit(chosen), F.col("code") % len(chosen) + 1)
+    cell = F.xxhash64(packed_counts(F.col("part")).bitwiseAND(mask), "code")
+    sizes = coded.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+    hot, _ = runtime.write_table(sizes.where(F.col("n") > CELL), "hot-cells")
+    # cells that hold more than CELL rows are few: at most their number times the choices / CELL
+    joined = coded.withColumn("cell", cell).join(hot, "cell", "left")
+    blocks = F.coalesce(F.ceil(F.col("n") / CELL), F.lit(1)).cast("long")
+    dealt = joined.select("code", "name", "part", blocks.alias("blocks"), F.pmod(F.xxhash64("name", "part"), blocks).alias("block"))
+    pairs = dealt.select("code", "name", "part", "blocks", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    number = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    spread = pairs.select("code", "name", "part", (2 * number + (F.col("block") > F.col("other")).cast("long")).alias("place"))
+    together = spread.repartition(cell, F.shiftright("place", 1))
+    return together.select(cell.alias("cell"), "place", "name", "part").sortWithinPartitions("cell", "place").mapInArrow(link_rows(bits, far), "a long, b long")
+
+
+def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, further: int = 0, far: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, fp) of all ``docs``, which need ``doc_id`` and ``text``, and (fp, component_id, root) of every
+    fingerprint; ``digest`` is a hash of the text.
+
+    Links are those of :func:`fingerprint_links`: of the fingerprints themselves, or, with ``further`` ones, of each
+    of those, while the fingerprint names the document.
 
     Equal fingerprints are put together first, by aggregation with partial sums, so copies never meet in a task
     and are never expanded into pairs. Both tables lie in the shared folder; neither has texts.
     """
-    prints = with_fingerprints(docs, shingle, sketch).select(F.col("row.doc_id").cast("long").alias("doc_id"), "fp", "least")
-    prints, _ = runtime.write_table(prints, "fingerprints")
-    distinct, _ = runtime.write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    prints, sketched = prints.select("doc_id", "fp"), prints.select(F.col("fp").alias("node"), "least")
-    links = fingerprint_links(distinct.select("fp"), groups_for(distinct.count(), bits), bits)
-    roots = connected_components(alike(links, sketched, sketch) if sketch else links)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints, rooted.join(names, "root").select("fp", "component_id")
+    require_integer(docs)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(docs["text"]).alias("digest"), "text")
+    prints, _ = runtime.write_table(with_fingerprints(keyed, shingle, further).select("row.doc_id", "row.digest", "fp", "others"), "fingerprints")
+    distinct, _ = runtime.write_table(prints.groupBy("fp", "others").agg(F.min("doc_id").alias("first")), "distinct")
+    if further:
+        nodes = distinct.select(F.col("fp").alias("name"), F.posexplode("others").alias("k", "part"))
+    else:
+        nodes = distinct.select(F.col("fp").alias("name"), F.col("fp").alias("part"))
+    roots = connected_components(fingerprint_links(nodes, groups_for(distinct.count(), bits), bits, far))
+    firsts = distinct.groupBy("fp").agg(F.min("first").alias("first"))
+    rooted, _ = runtime.write_table(firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    # a table of its own: the join with a root that very many fingerprints have is then one whose partitions can be split
+    names, _ = runtime.write_table(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "names")
+    return prints.select("doc_id", "digest", "fp"), rooted.join(names, "root").select("fp", "component_id", "root")
+
+
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and its component's smallest doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     prints, components = near_duplicate_components(docs)
+    prints, components = prints.drop("digest"), components.drop("root")
     return prints.join(components, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Where documents are dropped: shingles of five words, and as many differing bits as can be searched exactly at
-#: scale. Near copies of a Jaccard similarity of 0.8 differ in about five to thirteen bits.
-DROP_SHINGLE, DROP_BITS = 5, 8
+#: Where documents are dropped: shingles of five words, as many differing bits as can be searched exactly at scale,
+#: six fingerprints searched, and a seventh that names documents. Two texts with a Jaccard similarity of 0.8 differ in
+#: 9.7 of 64 bits on average, so one fingerprint brings a third of such pairs within eight bits, and six more than nine
+#: tenths. Unlike texts differ in 32 bits on average: with ``DROP_FAR`` in the seventh as well, among ten billion
+#: documents about one pair in 10 ** 14 is linked by chance.
+DROP_SHINGLE, DROP_BITS, DROP_FURTHER, DROP_FAR = 5, 8, 6, 18
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = DROP_SHINGLE, bits: int = DROP_BITS) -> DataFrame:
-    """The document with the smallest ``doc_id`` of each component stays, with all its columns.
+def drop_near_duplicates(docs: DataFrame, shingle: int = DROP_SHINGLE, bits: int = DROP_BITS, further: int = DROP_FURTHER, far: int = DROP_FAR) -> DataFrame:
+    """One row of each component stays, with all its columns: that with the smallest ``doc_id``.
 
-    Of rows that repeat a ``doc_id`` one stays (the least text); rows with a null ``doc_id`` are not judged and
-    all stay.
+    Rows with a null ``doc_id`` come after all others. Of rows that repeat a ``doc_id`` with different texts, each is
+    judged by its own text; in one component the one of the least fingerprint, then of the least hash of the text, stays.
+    Of rows equal in both, that with the least hash of its other columns stays.
     """
-    prints, components = near_duplicate_components(docs.select("doc_id", "text"), shingle, bits, SKETCH)
-    keepers = prints.join(components, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("keeper")).distinct()
-    rows = with_row(docs, text_back=True).withColumn("id", F.col("row.doc_id").cast("long"))
-    first = W.partitionBy("id").orderBy("row.text")
-    kept = rows.join(keepers, rows["id"] == keepers["keeper"], "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    return kept.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")
+    prints, components = near_duplicate_components(docs.select("doc_id", "text"), shingle, bits, further, far)
+    best = prints.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"), "fp", "digest")).alias("best"))
+    known, _ = runtime.write_table(best.join(components, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.missing", "best.id", "best.digest"), "keepers")
+    rows = with_row(docs, text_back=True)
+    doc_id, text = F.col("row.doc_id").cast("long"), F.col("row.text")
+    hashed = [F.col("row")[c] for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    keyed = rows.select("row", F.isnull(doc_id).alias("missing"), F.coalesce(doc_id, F.lit(0)).alias("id"), text_digest(text).alias("digest"))
+    # equal rows become one before and after the shuffle, which the join then needs no more
+    once = keyed.groupBy("missing", "id", "digest").agg(F.min_by("row", F.xxhash64(*hashed)).alias("row"))
+    return once.join(known, ["missing", "id", "digest"], "left_semi").select("row.*")

@@ -1,18 +1,22 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of all test items.
 
-The automaton is built on the driver from blocks of items of a bounded number of words, and one block at a time
-goes to the executors. They stream each document's words through it and keep the longest match that ends at each
-word; matches as long as a window mark words, and the automaton's states tell which items a window belongs to.
+Automata are built on the driver from blocks of items of a bounded number of words, one at a time: a block is read,
+built, sent to the executors, run, and let go before the next. Tasks stream each document's words through it and keep
+the longest match that ends at each word; matches as long as a window mark words, and the automaton's states tell which
+items a window belongs to. A step takes constant time over a text, however repetitive text and items are.
 
 Rows: null texts have no words; items without words never match; an item of fewer words than a window is one
 window; repeated documents are each judged; rows with a null ``doc_id`` are judged and keep null; repeated
-``item_id`` count once and a null ``item_id`` is left out; empty tables give no rows, or no hits.
+``item_id`` count once and a null ``item_id`` is left out; texts of any length are read whole, in blocks of words;
+``doc_id`` may be of any type; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,11 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A to Z and what they become.
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WINDOW = 8
-#: Words of items in one automaton; its tables take about 200 bytes a word.
+#: Words of items in one automaton; its tables take about 60 bytes a word, and its vocabulary 100 a different one.
 BLOCK_WORDS = 500_000
+#: Characters of a text whose words are lists at once, and where such a block may end: what is in no word.
+BLOCK_CHARS = 1 << 20
+BREAK = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 FOUND = "clean string, n_words long, spans array<struct<first:int,last:int>>, items array<string>, starts array<int>, ends array<int>"
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 KINDS = {"clean": pa.string(), "n_words": pa.int64(), "spans": SPANS, "items": pa.list_(pa.string()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
@@ -38,115 +45,172 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.translate(LOWER)) if text else []
 
 
+def blocks_of(text: str | None, size: int | None = None) -> Iterator[tuple[int, str]]:
+    """(place, characters) of a text in blocks of about ``size`` characters that end between words, lower-cased."""
+    size, at = size or BLOCK_CHARS, 0
+    while text and at < len(text):
+        end = len(text)
+        if at + size < end and (found := BREAK.search(text, at + size)):
+            end = found.start()
+        yield at, text[at:end].translate(LOWER)
+        at = end
+
+
 class SuffixAutomaton:
-    """All substrings of a set of word sequences, with the windows of each item."""
+    """All substrings of a set of word sequences, with the windows of each item, in flat arrays.
+
+    Most states lead on by one word only: it stands in ``word`` and ``to``; what else leads on from a state is in
+    ``more``. ``of_window[s]``: the state of the last ``window`` words of what ends in s, or -1 if that is shorter.
+    ``short_at[s]``: the first state from s on up the suffix links where an item of fewer words ends, or -1.
+    """
 
     def __init__(self, items: list[tuple[str, list[str]]], window: int = WINDOW) -> None:
         self.vocabulary: dict[str, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.window, shortest = window, window
-        coded = [(name, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for name, words in items]
-        for _, word_ids in coded:
+        self.word, self.to, self.link, self.length = array("i", [-1]), array("i", [-1]), array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        self.window, self.shortest, self.names = window, window, [name for name, _ in items]
+        coded = [array("i", [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for _, words in items]
+        for word_ids in coded:
             last = 0
             for c in word_ids:
                 last = self._extend(last, c)
-        # items of each state that holds a window, and the shorter items that end there
-        self.items: dict[int, set[str]] = {}
-        short: dict[int, list[tuple[int, str]]] = {}
-        for name, word_ids in coded:
-            if not word_ids:
-                continue
-            state = n = 0
+        link, length = self.link, self.length
+        self.of_window, self.short_at = array("i", [-1]) * len(length), array("i", [-1]) * len(length)
+        by_length = np.argsort(np.frombuffer(length, np.int32), kind="stable").tolist()
+        for s in by_length:
+            if length[s] >= window:
+                self.of_window[s] = s if length[link[s]] < window else self.of_window[link[s]]
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        states, owners = array("i"), array("i")
+        for item, word_ids in enumerate(coded):
+            state = 0
             for c in word_ids:
-                state, n = self.next[state][c], n + 1
-                while n > window and self.length[self.link[state]] >= window:
-                    state, n = self.link[state], self.length[self.link[state]]
-                n = min(n, window)
-                if n == window:
-                    self.items.setdefault(state, set()).add(name)
-            if len(word_ids) < window:
-                short.setdefault(state, []).append((len(word_ids), name))
-                shortest = min(shortest, len(word_ids))
-        self.shortest = shortest
-        # by the suffix links: what of `short` is a suffix of a state's words
-        self.short: dict[int, list[tuple[int, str]]] = {}
-        if short:
-            for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
-                found = short.get(state, []) + self.short.get(self.link[state], [])
-                if found:
-                    self.short[state] = found
+                state = self._next(state, c)
+                if self.of_window[state] >= 0:
+                    states.append(self.of_window[state])
+                    owners.append(item)
+            if 0 < len(word_ids) < window:
+                self.short.setdefault(state, []).append((len(word_ids), item))
+                self.shortest = min(self.shortest, len(word_ids))
+        for s in by_length[1:]:
+            self.short_at[s] = s if s in self.short else self.short_at[link[s]]
+        # the items of each window's state, by state
+        pairs = np.unique(np.stack([np.array(states, np.int32), np.array(owners, np.int32)], 1), axis=0)
+        self.states, self.owners = pairs[:, 0].copy(), pairs[:, 1].copy()
+
+    def _next(self, state: int, c: int) -> int:
+        """Where ``c`` leads from ``state``, or -1."""
+        if self.word[state] == c:
+            return self.to[state]
+        more = self.more.get(state)
+        return -1 if more is None else more.get(c, -1)
+
+    def _lead(self, state: int, c: int, target: int) -> None:
+        if self.word[state] in (-1, c):
+            self.word[state], self.to[state] = c, target
+        else:
+            self.more.setdefault(state, {})[c] = target
+
+    def _new(self, length: int, link: int) -> int:
+        for table, value in ((self.word, -1), (self.to, -1), (self.length, length), (self.link, link)):
+            table.append(value)
+        return len(self.length) - 1
 
     def _extend(self, last: int, c: int) -> int:
         """Add one word after ``last``, which may already lead on (so several items share one automaton)."""
-        nexts, link, length = self.next, self.link, self.length
-        if c in nexts[last]:
-            q = nexts[last][c]
-            return q if length[q] == length[last] + 1 else self._clone(last, c, q)
-        new = len(length)
-        nexts.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p != -1 and c not in nexts[p]:
-            nexts[p][c] = new
-            p = link[p]
+        q = self._next(last, c)
+        if q >= 0:
+            return q if self.length[q] == self.length[last] + 1 else self._clone(last, c, q)
+        new, p = self._new(self.length[last] + 1, 0), last
+        while p != -1 and (q := self._next(p, c)) < 0:
+            self._lead(p, c, new)
+            p = self.link[p]
         if p != -1:
-            q = nexts[p][c]
-            link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
         return new
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        nexts, link, length = self.next, self.link, self.length
-        clone = len(length)
-        nexts.append(dict(nexts[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
-        while p != -1 and nexts[p].get(c) == q:
-            nexts[p][c] = clone
-            p = link[p]
-        link[q] = clone
+        clone = self._new(self.length[p] + 1, self.link[q])
+        self.word[clone], self.to[clone] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[clone] = dict(self.more[q])
+        while p != -1 and self._next(p, c) == q:
+            self._lead(p, c, clone)
+            p = self.link[p]
+        self.link[q] = clone
         return clone
 
-    def search(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Stretches of words hit (first, last; ascending and apart), and the items that have a window in them."""
-        known = self.vocabulary.get
-        codes = [known(w, -1) for w in words]
-        nexts, link, length, window = self.next, self.link, self.length, self.window
+    def search(self, blocks: Iterable[list[str]]) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """Of a text, as lists of words: how many there are, the stretches of words hit (first, last; ascending and
+        apart), and the items that have a window in them, sorted."""
+        known, word, to, more, link, length = self.vocabulary.get, self.word, self.to, self.more, self.link, self.length
+        window, shortest, of_window, short_at, short = self.window, self.shortest, self.of_window, self.short_at, self.short
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
-        if len(codes) < self.shortest:
-            return spans, items
-        # only runs of known words can hold a window
-        unknown = np.flatnonzero(np.array(codes, np.int64) < 0)
-        edges = np.concatenate([[-1], unknown, [len(codes)]])
-        for r in np.flatnonzero(np.diff(edges) > self.shortest):
-            state = n = 0
-            for at in range(int(edges[r]) + 1, int(edges[r + 1])):
-                c = codes[at]
-                while state and c not in nexts[state]:
-                    state = link[state]
-                    n = length[state]
-                if c in nexts[state]:
-                    state, n = nexts[state][c], n + 1
-                if n < self.shortest:
-                    continue
-                hit = 0
-                if n >= window:
-                    hit, up = window, state
-                    while length[link[up]] >= window:
-                        up = link[up]
-                    items |= self.items[up]
-                for k, name in self.short.get(state, ()):
-                    if k <= n:
-                        hit = max(hit, k)
-                        items.add(name)
-                if hit:
-                    first = at - hit + 1
-                    while spans and spans[-1][1] >= first - 1:
-                        first = min(first, spans.pop()[0])
-                    spans.append((first, at))
-        return spans, items
+        windows: set[int] = set()
+        found: set[int] = set()
+        base = state = n = 0
+        for words in blocks:
+            codes = [known(w, -1) for w in words]
+            # only runs of known words can hold a window; the first may go on from the block before, the last after it
+            unknown = np.flatnonzero(np.array(codes, np.int64) < 0)
+            edges = np.concatenate([[-1], unknown, [len(codes)]])
+            runs = np.diff(edges) > shortest
+            runs[0], runs[-1] = True, True
+            for r in np.flatnonzero(runs):
+                if r:
+                    state = n = 0
+                for at in range(int(edges[r]) + 1, int(edges[r + 1])):
+                    c = codes[at]
+                    while True:
+                        if word[state] == c:
+                            state, n = to[state], n + 1
+                            break
+                        if state in more and c in more[state]:
+                            state, n = more[state][c], n + 1
+                            break
+                        if not state:
+                            break
+                        state = link[state]
+                        n = length[state]
+                    if n < shortest:
+                        continue
+                    hit = 0
+                    if n >= window:
+                        hit = window
+                        windows.add(of_window[state])
+                    up = short_at[state]
+                    while up >= 0:
+                        for k, item in short[up]:
+                            if k <= n:
+                                hit = max(hit, k)
+                                found.add(item)
+                        up = short_at[link[up]]
+                    if hit:
+                        first = base + at - hit + 1
+                        while spans and spans[-1][1] >= first - 1:
+                            first = min(first, spans.pop()[0])
+                        spans.append((first, base + at))
+            base += len(words)
+        for w in windows:
+            a, b = np.searchsorted(self.states, [w, w + 1])
+            found.update(self.owners[a:b].tolist())
+        return base, spans, sorted({self.names[k] for k in found})
+
+
+def characters_of(text: str, spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Where in the text the spans of words begin and end."""
+    firsts, lasts = [a for a, _ in spans], [b for _, b in spans]
+    starts, ends, n = [], [], 0
+    for at, block in blocks_of(text):
+        if len(ends) == len(spans):
+            break
+        for m in WORD.finditer(block):
+            if len(starts) < len(spans) and n == firsts[len(starts)]:
+                starts.append(at + m.start())
+            if len(ends) < len(spans) and n == lasts[len(ends)]:
+                ends.append(at + m.end())
+            n += 1
+    return starts, ends
 
 
 def item_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[str]]]]:
@@ -190,11 +254,9 @@ def match_rows(automaton, cut: bool):
         for batch in batches:
             rows = []
             for text in texts_of(batch).to_pylist():
-                words = words_of(text)
-                spans, items = found.search(words)
-                places = [m.span() for m in WORD.finditer(text.translate(LOWER))] if spans else []
-                firsts, lasts = [places[a][0] for a, _ in spans], [places[b][1] for _, b in spans]
-                rows.append((without(text, firsts, lasts) if cut else None, len(words), [{"first": a, "last": b} for a, b in spans], sorted(items), firsts, lasts))
+                n, spans, items = found.search(WORD.findall(block) for _, block in blocks_of(text))
+                starts, ends = characters_of(text, spans) if spans else ([], [])
+                rows.append((without(text, starts, ends) if cut else None, n, [{"first": a, "last": b} for a, b in spans], items, starts, ends))
             yield _rows(batch.column("row"), rows)
 
     return run
@@ -207,26 +269,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     is left of it); n_words; ``spans`` of word places hit (first,
     last); the ``items`` that have an occurring window; the spans' ``starts`` and ``ends`` in characters.
     A benchmark of one block takes one pass over the documents without a shuffle. Each further block is one
-    more pass, and the spans are then united by text: equal texts have equal hits.
+    more pass, whose hits are a table in the shared folder, and the spans are then united by text: equal texts have
+    equal hits. The driver holds two blocks of words and one automaton at most.
     """
     spark = docs.sparkSession
     runtime.ship(spark)
     runtime.small_arrow_batches(spark)
     rows = with_row(docs, text_back)
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(FOUND).fields])
-    automata = [SuffixAutomaton(block, window) for block in item_blocks(benchmark, window, block_words)] or [SuffixAutomaton([], window)]
-    if len(automata) == 1:
-        return rows.mapInArrow(match_rows(spark.sparkContext.broadcast(automata[0]), text_back), schema)
-    passes = None
+    blocks = item_blocks(benchmark, window, block_words)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return rows.mapInArrow(match_rows(spark.sparkContext.broadcast(SuffixAutomaton(block, window)), text_back), schema)
     text = F.col("row.text") if text_back else F.col("text")
     key = F.sha2(text, 256).alias("key")
     texts = rows.select(F.struct(key).alias("row"), text.alias("text"))
     keyed = T.StructType([texts.schema["row"], *T.StructType.fromDDL(FOUND).fields])
-    for one in automata:
-        found = texts.mapInArrow(match_rows(spark.sparkContext.broadcast(one), False), keyed).where("size(spans) > 0")
-        found = found.select("row.key", "spans", "items", "starts", "ends").groupBy("key").agg(*(F.first(c).alias(c) for c in ("spans", "items", "starts", "ends")))
-        passes = found if passes is None else passes.unionByName(found)
-    united = passes.groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "starts", "ends")))
+    parts = ("spans", "items", "starts", "ends")
+    passes = []
+    while block:
+        automaton = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+        found = texts.mapInArrow(match_rows(automaton, False), keyed).where("size(spans) > 0")
+        found = found.select("row.key", *parts).groupBy("key").agg(*(F.first(c).alias(c) for c in parts))
+        passes.append(runtime.write_table(found, "contamination")[0])
+        automaton.destroy()
+        block, following = following, next(blocks, None) if following else None
+    united = functools.reduce(DataFrame.unionByName, passes).groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in parts))
+    # a table of its own, so that a text which very many rows have can be split over tasks in the join
+    united, _ = runtime.write_table(united, "contamination")
     return rows.withColumn("key", key).join(united, "key", "left").drop("key").mapInArrow(unite_rows, schema)
 
 
@@ -244,7 +314,7 @@ def unite_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     spans.append([first, last, start, end])
             starts, ends = [x[2] for x in spans], [x[3] for x in spans]
-            rows.append((without(text, starts, ends), len(words_of(text)), [{"first": x[0], "last": x[1]} for x in spans], sorted(set(items)), starts, ends))
+            rows.append((without(text, starts, ends), sum(len(WORD.findall(block)) for _, block in blocks_of(text)), [{"first": x[0], "last": x[1]} for x in spans], sorted(set(items)), starts, ends))
         yield _rows(batch.column("row"), rows)
 
 

@@ -6,8 +6,8 @@ sequences that no better packing needs to change, and best fit in decreasing ord
 find their place by their rank among the pieces of their size, without any of them meeting on the driver.
 
 Rows: a null text is empty (the end id alone); a null ``doc_id`` keeps null in the result; repeated rows are all
-packed; ties in size are ranked by document and piece, and equal rows are interchangeable; an empty table packs
-into nothing; further columns are not read.
+packed; pieces of one size are ranked by where they stand in the table of pieces; ids of another type than an integer
+are refused; an empty table packs into nothing; further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,22 +23,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowframe import runtime
+from flowframe.llm.common import require_integer, tidy
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SEQUENCE = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+SALTED = PIECES + ", salt long"
 #: Rows of one size that a task ranks at once: groups larger than this are split by a hash.
 RANKED = 1_000_000
 
 
 def piece_rows(vocabulary: str, end_id: int, sequence: int):
-    """For ``mapInArrow`` over (doc_id, text): the pieces of each document, the first being the short one."""
+    """For ``mapInArrow`` over (doc_id, text): the pieces of each document, the first being the short one.
 
+    ``salt`` tells a piece from all others by the task and the piece's place in it.
+    """
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         from flowframe.llm.tokens import encoder
 
-        enc = encoder(vocabulary)
+        enc, salt = encoder(vocabulary), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[tuple] = []
             offsets, ids = enc.encode(batch.column("text"), end_id)
@@ -47,11 +55,11 @@ def piece_rows(vocabulary: str, end_id: int, sequence: int):
                 start = 0
                 for piece in range(-(-n // sequence)):
                     length = n % sequence or sequence if piece == 0 else sequence
-                    rows.append((doc_id, piece, start, length, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + length)])))
-                    start += length
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [()] * 5, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id, piece, start, length, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + length)]), salt))
+                    start, salt = start + length, salt + 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [()] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     return run
 
@@ -208,19 +216,20 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCABULARY
     the histogram, at most ``sequence`` rows; what goes out is the plan, whose ranges are bounded by the number
     of distinct sizes and of open rooms, not by documents.
     """
+    require_integer(docs)
     spark = docs.sparkSession
     runtime.ship(spark)
     runtime.small_arrow_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces, _ = runtime.write_table(rows.mapInArrow(piece_rows(vocabulary, end_id, sequence), PIECES), "pieces")
+    pieces, _ = runtime.write_table(rows.mapInArrow(piece_rows(vocabulary, end_id, sequence), SALTED), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     # a size that many pieces share is ranked in several groups, at any size of input by the same rule
     groups = max(1, -(-max(counts.values(), default=0) // RANKED)) * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("salt"), F.lit(groups)))
     sizes = dealt.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("group").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.select("length", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = W.partitionBy("length", "group").orderBy("doc_id", "piece", "ids_crc32")
+    within = W.partitionBy("length", "group").orderBy("salt")
     ranked = dealt.withColumn("within", F.row_number().over(within) - 1).join(bases, ["length", "group"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("within")).alias("rank"))
     return ranked.mapInArrow(place_rows(plan(counts, sequence)), PIECES + ", sequence_id long, offset long")

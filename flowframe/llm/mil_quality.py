@@ -5,9 +5,11 @@ of hashed byte pairs and of byte classes, and how often words repeat), a hidden
 weighs it within its document, and a logistic layer scores the weighted sum. Only document labels are needed to
 learn which passages matter.
 
-Rows: empty and null texts are a bag of one empty passage; a text of any length is scored whole; repeated rows
-have equal scores; labels repeated for a document count by their mean; null labels are left out. Without usable
-labels every score is 1 (nothing speaks against a document). An empty table gives no rows.
+Rows: empty and null texts are a bag of one empty passage; a text of any length is scored whole, a block of passages
+at a time, of which a few numbers a passage are kept; repeated rows have equal scores; ids of another type than an
+integer are refused where labels are joined; labels repeated for a document count by their mean; null labels are left
+out; of rows that repeat a labelled ``doc_id`` the least text is learnt from. Without usable labels every score is 1
+(nothing speaks against a document). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowframe import runtime
-from flowframe.llm.common import frugal, texts_of, with_row
+from flowframe.llm.common import frugal, require_integer, texts_of, with_row
 
 PASSAGE = 600
 PAIRS = 192
@@ -42,6 +44,10 @@ CLASSES = (
 FEATURES = PAIRS + len(CLASSES) + 3
 #: Most labelled documents that the model is fitted on; the least by hash of their doc_id are taken.
 FIT_DOCS = 3000
+#: Most passages of a document that the model is fitted on, evenly spaced; scores are of all passages.
+FIT_PASSAGES = 32
+#: Passages whose features are computed at once.
+BLOCK = 4096
 THRESHOLD = 0.7
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 24, 150, 0.02, 1e-4, 7
 
@@ -52,29 +58,31 @@ for _k, _members in enumerate(CLASSES):
     _CLASS[list(_members)] = _k
 
 
-def passage_features(text: str | None) -> np.ndarray:
-    """One row of ``FEATURES`` numbers for each passage of a whole text, at least one."""
+def passage_features(text: str | None) -> Iterator[np.ndarray]:
+    """Rows of ``FEATURES`` numbers, one for each passage of a whole text, at least one, in blocks."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
-    data = np.frombuffer(raw, np.uint8)
-    n = max(1, -(-len(data) // PASSAGE))
-    out = np.zeros((n, FEATURES), np.float32)
-    if not len(data):
-        return out
-    of = np.arange(len(data)) // PASSAGE
-    sizes = np.bincount(of, minlength=n).astype(np.float32)[:, None]
-    if len(data) > 1:
+    if not raw:
+        yield np.zeros((1, FEATURES), np.float32)
+    for begin in range(0, len(raw), BLOCK * PASSAGE):
+        # a pair of bytes counts where it begins, so the next block's first byte is looked at too
+        data = np.frombuffer(raw, np.uint8)[begin : begin + BLOCK * PASSAGE + 1]
+        size = min(len(raw) - begin, BLOCK * PASSAGE)
+        n = -(-size // PASSAGE)
+        out = np.zeros((n, FEATURES), np.float32)
+        of = np.arange(size) // PASSAGE
+        sizes = np.bincount(of, minlength=n).astype(np.float32)[:, None]
         pairs = _PAIR[data[:-1].astype(np.uint16) * 256 + data[1:]].astype(np.int64)
-        counts = np.bincount(of[:-1] * PAIRS + pairs, minlength=n * PAIRS).reshape(n, PAIRS)
+        counts = np.bincount(of[: len(pairs)] * PAIRS + pairs, minlength=n * PAIRS).reshape(n, PAIRS)
         out[:, :PAIRS] = np.sqrt(counts / sizes)
-    k = len(CLASSES)
-    counts = np.bincount(of * (k + 1) + _CLASS[data], minlength=n * (k + 1)).reshape(n, k + 1)
-    out[:, PAIRS : PAIRS + k] = np.sqrt(counts[:, :k] / sizes)
-    out[:, PAIRS + k] = (out[:, :PAIRS] ** 4).sum(1) * 4
-    for p in range(n):
-        words = raw[p * PASSAGE : (p + 1) * PASSAGE].split()
-        out[p, PAIRS + k + 1] = 1 - len(set(words)) / len(words) if words else 0
-    out[:, PAIRS + k + 2] = np.log1p(len(data)) / 10
-    return out
+        k = len(CLASSES)
+        counts = np.bincount(of * (k + 1) + _CLASS[data[:size]], minlength=n * (k + 1)).reshape(n, k + 1)
+        out[:, PAIRS : PAIRS + k] = np.sqrt(counts[:, :k] / sizes)
+        out[:, PAIRS + k] = (out[:, :PAIRS] ** 4).sum(1) * 4
+        for p in range(n):
+            words = raw[begin + p * PASSAGE : begin + (p + 1) * PASSAGE].split()
+            out[p, PAIRS + k + 1] = 1 - len(set(words)) / len(words) if words else 0
+        out[:, PAIRS + k + 2] = np.log1p(len(raw)) / 10
+        yield out
 
 
 class GatedAttention:
@@ -83,24 +91,58 @@ class GatedAttention:
     def __init__(self, weights: dict[str, np.ndarray] | None, prior: float = 1.0) -> None:
         self.w, self.prior = weights, prior
 
-    def scores(self, x: np.ndarray, bag: np.ndarray, bags: int) -> np.ndarray:
-        """Scores of bags; ``bag`` numbers each passage's bag, ascending, and every bag has a passage."""
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Scores of whole texts."""
         if self.w is None:
-            return np.full(bags, self.prior)
-        return self._forward((x - self.w["mean"]) / self.w["scale"], bag)[-1]
-
-    def _forward(self, scaled, bag):
-        """Layers over scaled passages of bags in order; each bag has at least one."""
-        w, begin = self.w, np.flatnonzero(np.diff(bag, prepend=-1))
+            return np.full(len(texts), self.prior)
+        embedded, bag, held = [], [], []
+
+        def flush() -> None:
+            if held:
+                h, *_, logit = self._embed((np.concatenate(held) - self.w["mean"]) / self.w["scale"])
+                embedded.append((h, logit))
+                held.clear()
+
+        for k, text in enumerate(texts):
+            for block in passage_features(text):
+                if sum(map(len, held)) + len(block) > BLOCK:
+                    flush()
+                held.append(block)
+                bag.append(np.full(len(block), k))
+        flush()
+        if not bag:
+            return np.empty(0)
+        h, logit = (np.concatenate(x) for x in zip(*embedded))
+        return self._pool(h, logit, np.concatenate(bag))[-1]
+
+    def _embed(self, scaled):
+        """Of each scaled passage: its embedding, the two gates, and the logit of its weight."""
+        w = self.w
         h = np.tanh(scaled @ w["E"] + w["e"])
         t = np.tanh(h @ w["V"])
         s = 1 / (1 + np.exp(-np.clip(h @ w["U"], -40, 40)))
-        a = (t * s) @ w["q"]
-        a = np.exp(a - np.maximum.reduceat(a, begin)[bag])
+        return h, t, s, (t * s) @ w["q"]
+
+    def _pool(self, h, logit, bag):
+        """Weights of passages, weighted sums and scores of bags; ``bag`` numbers each passage's bag, ascending."""
+        begin = np.flatnonzero(np.diff(bag, prepend=-1))
+        a = np.exp(logit - np.maximum.reduceat(logit, begin)[bag])
         a /= np.add.reduceat(a, begin)[bag]
         z = np.add.reduceat(a[:, None] * h, begin)
-        y = 1 / (1 + np.exp(-np.clip(z @ w["o"] + w["b"], -40, 40)))
-        return h, t, s, a, z, y
+        return a, z, 1 / (1 + np.exp(-np.clip(z @ self.w["o"] + self.w["b"], -40, 40)))
+
+    def gradients(self, scaled: np.ndarray, bag: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the bags' mean logistic loss, by each weight that is learnt."""
+        w, begin = self.w, np.flatnonzero(np.diff(bag, prepend=-1))
+        h, t, s, logit = self._embed(scaled)
+        a, z, y = self._pool(h, logit, bag)
+        dy = (y - labels) / len(labels)
+        dz = dy[:, None] * w["o"]
+        da = (dz[bag] * h).sum(1)
+        da = a * (da - np.add.reduceat(a * da, begin)[bag])
+        dt, ds = da[:, None] * w["q"] * s * (1 - t * t), da[:, None] * w["q"] * t * s * (1 - s)
+        dh = (a[:, None] * dz[bag] + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
+        return {"E": scaled.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "q": (t * s).T @ da, "o": z.T @ dy, "b": dy.sum(keepdims=True)}
 
     @classmethod
     def fit(cls, x: np.ndarray, bag: np.ndarray, labels: np.ndarray) -> GatedAttention:
@@ -126,16 +168,9 @@ class GatedAttention:
         model = cls(w)
         learnt = [k for k in w if k not in ("mean", "scale")]
         moments = {k: (np.zeros_like(w[k]), np.zeros_like(w[k])) for k in learnt}
-        scaled, begin = (x - w["mean"]) / w["scale"], np.flatnonzero(np.diff(bag, prepend=-1))
+        scaled = (x - w["mean"]) / w["scale"]
         for epoch in range(1, EPOCHS + 1):
-            h, t, s, a, z, y = model._forward(scaled, bag)
-            dy = (y - labels) / bags
-            dz = dy[:, None] * w["o"]
-            da = (dz[bag] * h).sum(1)
-            da = a * (da - np.add.reduceat(a * da, begin)[bag])
-            dt, ds = da[:, None] * w["q"] * s * (1 - t * t), da[:, None] * w["q"] * t * s * (1 - s)
-            dh = (a[:, None] * dz[bag] + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
-            grads = {"E": scaled.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "q": (t * s).T @ da, "o": z.T @ dy, "b": dy.sum(keepdims=True)}
+            grads = model.gradients(scaled, bag, labels)
             for k in learnt:
                 g = grads[k] + (DECAY * w[k] if w[k].ndim == 2 else 0)
                 m, v = moments[k]
@@ -147,24 +182,30 @@ class GatedAttention:
 
 @frugal
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For ``mapInArrow`` over (key, label, text): the passages' features as bytes."""
+    """For ``mapInArrow`` over (key, label, text): the features of the passages to learn from, as bytes."""
     for batch in batches:
-        found = [passage_features(t).tobytes() for t in batch.column("text").to_pylist()]
+        found = []
+        for text in batch.column("text").to_pylist():
+            n = max(1, -(-len((text or "").encode("utf-8", "surrogatepass")) // PASSAGE))
+            chosen = np.unique(np.linspace(0, n - 1, min(n, FIT_PASSAGES)).round().astype(np.int64))
+            parts = [x[chosen[(chosen >= k * BLOCK) & (chosen < k * BLOCK + len(x))] - k * BLOCK] for k, x in enumerate(passage_features(text))]
+            found.append(np.concatenate(parts).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(found, pa.binary())], names=["key", "label", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> GatedAttention:
     """Fit on at most ``most`` of the labelled documents: ``labels`` (doc_id, label 0 or 1), ``docs`` (doc_id, text).
 
-    The features are computed on the executors; the driver gets ``most`` bags of passages at most.
+    The features are computed on the executors; the driver gets ``most`` bags of ``FIT_PASSAGES`` passages at most.
     """
+    require_integer(docs)
     runtime.ship(docs.sparkSession)
     runtime.small_arrow_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("key"), "label")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # `most` rows of two numbers: a bounded table
-    picked = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["key"]).select("key", "label", "text")
+    picked = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["key"]).groupBy("key", "label").agg(F.min("text").alias("text"))
     found = picked.mapInArrow(feature_rows, "key long, label int, features binary").collect()
     found.sort(key=lambda r: (r["key"], bytes(r["features"])))
     bags = [np.frombuffer(r["features"], np.float32).reshape(-1, FEATURES) for r in found]
@@ -178,10 +219,7 @@ def score_rows(model):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [passage_features(t) for t in texts_of(batch).to_pylist()]
-            scores = np.empty(0)
-            if bags:
-                scores = model.value.scores(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags))
+            scores = model.value.scores(texts_of(batch).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores)], names=["row", "score"])
 
     return run

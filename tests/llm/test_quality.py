@@ -102,7 +102,135 @@ def test_fits_bags_of_different_sizes():
     rng = np.random.default_rng(2)
     x, bag, y = rng.random((9, M.FEATURES)), np.array([0, 0, 0, 1, 1, 2, 3, 3, 3]), np.array([1.0, 0, 1, 0])
     model = M.GatedAttention.fit(x, bag, y)
-    assert ((model.scores(x, bag, 4) >= 0.5) == (y == 1)).all()
+    h, *_, logit = model._embed((x - model.w["mean"]) / model.w["scale"])
+    assert ((model._pool(h, logit, bag)[-1] >= 0.5) == (y == 1)).all()
+
+
+def plain_features(text):
+    """A passage's numbers by counting, one passage after the other."""
+    raw = (text or "").encode()
+    out = []
+    for p in range(0, max(len(raw), 1), 600):
+        passage, row = raw[p : p + 600], [0.0] * M.FEATURES
+        if raw:
+            for i in range(p, min(p + 600, len(raw) - 1)):
+                row[(((raw[i] * 256 + raw[i + 1]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40) % 192] += 1
+            row[:192] = [(x / len(passage)) ** 0.5 for x in row[:192]]
+            for k, members in enumerate(M.CLASSES):
+                row[192 + k] = (sum(c in members for c in passage) / len(passage)) ** 0.5
+            row[202] = 4 * sum(x**4 for x in row[:192])
+            words = passage.split()
+            row[203] = 1 - len(set(words)) / len(words) if words else 0
+            row[204] = np.log1p(len(raw)) / 10
+        out.append(row)
+    return np.array(out)
+
+
+def plain_score(w, text):
+    """The model's formulas, passage by passage."""
+    hs, logits = [], []
+    for x in plain_features(text):
+        x = (x - w["mean"]) / w["scale"]
+        h = np.array([np.tanh(sum(x * w["E"][:, j]) + w["e"][j]) for j in range(M.HIDDEN)])
+        gate = [np.tanh(sum(h * w["V"][:, j])) / (1 + np.exp(-sum(h * w["U"][:, j]))) for j in range(M.HIDDEN)]
+        hs.append(h)
+        logits.append(sum(np.array(gate) * w["q"]))
+    weights = np.exp(np.array(logits) - max(logits))
+    z = sum(a * h for a, h in zip(weights / weights.sum(), hs))
+    return 1 / (1 + np.exp(-(sum(z * w["o"]) + w["b"][0])))
+
+
+def test_forward_pass_and_gradients(rows, monkeypatch):
+    rng, texts = np.random.default_rng(4), [t for _, t in rows if t is None or len(t) < 9000]
+    bags = [np.concatenate(list(M.passage_features(t))) for t in texts]
+    for t, found in zip(texts, bags):
+        assert np.allclose(found, plain_features(t), atol=1e-5)
+    bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    model = M.GatedAttention.fit(np.concatenate(bags), bag, rng.integers(0, 2, len(bags)).astype(float))
+    plain = [plain_score(model.w, t) for t in texts]
+    assert np.allclose(model.scores(texts), plain, atol=1e-5)
+    monkeypatch.setattr(M, "BLOCK", 3)  # texts and batches go in several blocks
+    assert np.allclose(model.scores(texts), plain, atol=1e-5) and len(list(M.passage_features("x" * 5000))) == 3
+    x, bag, y = rng.normal(size=(11, M.FEATURES)), np.array([0, 0, 1, 2, 2, 2, 2, 3, 3, 3, 4]), np.array([1.0, 0, 0, 1, 1])
+    model.w |= {k: rng.normal(0, 0.3, v.shape) for k, v in model.w.items() if k not in ("mean", "scale")}
+
+    def loss():
+        h, *_, logit = model._embed(x)
+        p = model._pool(h, logit, bag)[-1]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for k, g in model.gradients(x, bag, y).items():
+        flat, w = g.reshape(-1), model.w[k].reshape(-1)
+        for i in rng.choice(len(w), min(len(w), 12), replace=False):
+            w[i] += 1e-5
+            up = loss()
+            w[i] -= 2e-5
+            down = loss()
+            w[i] += 1e-5
+            assert abs((up - down) / 2e-5 - flat[i]) < 1e-6, k
+
+
+def test_learns_from_a_bounded_number_of_passages(spark):
+    texts = [(1, "good words here " * 4000), (1, "a"), (2, "x" * 700), (3, None)]
+    df = spark.createDataFrame([(i, 1, t) for i, t in texts], "key long, label int, text string")
+    found = df.mapInArrow(M.feature_rows, "key long, label int, features binary").collect()
+    sizes = sorted(len(r["features"]) // 4 // M.FEATURES for r in found)
+    assert sizes == [1, 1, 2, M.FIT_PASSAGES]
+
+
+def plain_em(documents, rounds):
+    """The model of the rules' votes, document by document: shares of the good class."""
+    rules = len(documents[0])
+
+    def fit(share):
+        kinds, before = len(share[0]), None
+        for _ in range(rounds):
+            total = [sum(s[c] for s in share) for c in range(kinds)]
+            prior = [(t + 1) / (len(documents) + kinds) for t in total]
+            rate = []
+            for c in range(kinds):
+                extra = 2 + (Q.PRIOR * len(documents) if c == 0 else 0)
+                against = [(sum(s[c] for s, v in zip(share, documents) if v[r] < 0) + 1) / (sum(s[c] for s, v in zip(share, documents) if v[r]) + extra) for r in range(rules)]
+                rate.append([min(x, 0.5) for x in against] if c == 0 else against)
+            share, fits = [], 0.0
+            for v in documents:
+                p = [prior[c] * np.prod([rate[c][r] if v[r] < 0 else 1 - rate[c][r] if v[r] > 0 else 1 for r in range(rules)]) for c in range(kinds)]
+                share.append([x / sum(p) for x in p])
+                fits += np.log(sum(p))
+            if before is not None and abs(fits - before) < 1e-12 * abs(fits):
+                break
+            before = fits
+        return fits, share, rate
+
+    first = [0.1 if min(v) < 0 else 0.99 for v in documents]
+    fits, share, _ = fit([[g, 1 - g] for g in first])
+    while len(share[0]) <= rules:
+        tried = []
+        for r in range(rules):
+            moved = [0.9 if v[r] < 0 else 0.0 for v in documents]
+            tried.append(fit([[x * (1 - m) for x in s] + [m] for s, m in zip(share, moved)]))
+        tried = [x for x in tried if all(max(k) > 0.5 for k in x[2][1:])]
+        if not tried or max(x[0] for x in tried) < fits + (rules + 1) / 2 * np.log(len(documents)):
+            break
+        fits, share, _ = max(tried, key=lambda x: x[0])
+    return [s[0] for s in share]
+
+
+def test_estimate_is_plain_expectation_maximisation():
+    rng = np.random.default_rng(12)
+    kinds = rng.choice(3, 600, p=[0.85, 0.08, 0.07])
+    rates = np.array([[0.06, 0.05, 0.07, 0.04, 0.06], [0.85, 0.9, 0.85, 0.8, 0.1], [0.1, 0.85, 0.8, 0.85, 0.9]])
+    documents = [tuple(int(x) for x in np.where(rng.random(5) < 0.1, 0, np.where(rng.random(5) < rates[k], -1, 1))) for k in kinds]
+    counts = {v: documents.count(v) for v in set(documents)}
+    found = Q.estimate(counts, rounds=25)
+    plain = plain_em(documents, 25)
+    assert all(abs(found[v] - p) < 1e-6 for v, p in zip(documents, plain))
+    # documents stay in spite of a bad vote, and go by several; better than rejecting at any bad vote
+    kept = {v: p >= 0.5 for v, p in found.items()}
+    assert any(kept[v] and min(v) < 0 for v in kept) and any(not kept[v] and sum(x < 0 for x in v) >= 2 for v in kept)
+    right = np.mean([kept[v] == (k == 0) for v, k in zip(documents, kinds)])
+    assert right > np.mean([(min(v) > -1) == (k == 0) for v, k in zip(documents, kinds)]) and right > 0.9
+
 
 
 @pytest.fixture
@@ -175,3 +303,36 @@ def test_decontamination(spark, benchmark, block):
     assert D.decontaminate(df.where("false"), table).count() == 0
     nothing = D.find_contamination(df, table.where("false")).collect()
     assert len(nothing) == len(data) and not any(r["items"] for r in nothing)
+
+
+def test_automaton_in_blocks_and_repetitive_text(monkeypatch):
+    import time
+
+    monkeypatch.setattr(D, "BLOCK_CHARS", 11)
+    item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    text = "x, y " + item.upper() + " and " + "alpha beta gamma, delta" + " " + item[6:] + " short one. end"
+    automaton = D.SuffixAutomaton([("a", D.words_of(item)), ("b", ["short", "one"])], 8)
+    n, spans, items = automaton.search(D.WORD.findall(block) for _, block in D.blocks_of(text))
+    words = D.words_of(text)
+    assert (n, items) == (len(words), ["a", "b"]) and spans == [(2, 11), (17, 25), (26, 27)] or spans == [(2, 11), (17, 27)]
+    starts, ends = D.characters_of(text, spans)
+    assert [D.words_of(text[a:b]) for a, b in zip(starts, ends)] == [words[a : b + 1] for a, b in spans]
+    assert "".join(b for _, b in D.blocks_of(text)) == text.lower()
+    took = []
+    for size in (4000, 32000):  # eight times the words: well under sixteen times the time
+        began = time.process_time()
+        D.SuffixAutomaton([("r", ["w"] * size), ("s", ["w", "v"] * (size // 2))], 8).search([["w"] * size])
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * max(took[0], 0.01)
+
+
+def test_size_of_an_automaton():
+    import pickle
+    import random
+
+    r = random.Random(1)
+    words = [f"w{int(r.paretovariate(0.6)) % 20000}" for _ in range(60_000)]
+    automaton = D.SuffixAutomaton([(f"i{k}", words[k : k + 60]) for k in range(0, len(words), 60)], 8)
+    tables = [getattr(automaton, x) for x in ("word", "to", "link", "length", "of_window", "short_at")]
+    flat = sum(4 * len(t) for t in tables) + automaton.states.nbytes + automaton.owners.nbytes
+    assert flat < 60 * len(words) and len(pickle.dumps(automaton)) < 150 * len(words)

@@ -36,6 +36,8 @@ SHINGLE, BITS, SEED = 4, 4, 42
 SEGMENT, EQUAL, PAIRS_A_ROW = 2, 0.375, 200
 #: Fingerprints of a cell that are compared at once; a cell of more is split into pairs of blocks of this size.
 CELL = 4096
+#: Rows of cells that a task makes where there are more than enough for all cores.
+DEALT = 2_000_000
 #: The bytes A to Z become a to z.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -260,17 +262,19 @@ def link_rows(bits: int, far: int):
     return run
 
 
-def fingerprint_links(nodes: DataFrame, groups: int, bits: int = BITS, far: int = 64) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, groups: int, bits: int = BITS, far: int = 64, rows: int = 0) -> DataFrame:
     """Links (a, b) that connect what all pairs of ``nodes`` connect: (name, part), or (name, part, k).
 
     Two rows with equal ``k`` are linked if their parts differ in at most ``bits`` bits and their names in at most
     ``far``. A row goes to a cell for each choice of groups; cells and their numbers are expressions, and what is dealt
     is (choice, name, part, place). Cells of more than ``CELL`` rows are split: each row goes to the pairs of blocks
-    that its block is in, so no task holds more than two blocks of a cell, whatever the cell's size.
+    that its block is in, so no task holds more than two blocks of a cell, whatever the cell's size. ``rows``: about
+    how many nodes there are; a small table becomes many rows here, which are made by as many tasks as they ask for.
     """
     spark = nodes.sparkSession
     runtime.ship(spark)
     chosen = [int(x) for x in masks(groups, bits).view(np.int64)]
+    nodes = nodes.repartition(max(spark.sparkContext.defaultParallelism, -(-rows * len(chosen) // DEALT)), "name", "part")
     k = F.col("k") if "k" in nodes.columns else F.lit(0)
     codes = F.explode(F.sequence(F.lit(0), F.lit(len(chosen) - 1)))
     coded = nodes.select("name", "part", k.cast("int").alias("k"), codes.alias("c")).select("name", "part", (F.col("k") * len(chosen) + F.col("c")).alias("code"))
@@ -308,7 +312,8 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, bits: int
         nodes = distinct.select(F.col("fp").alias("name"), F.posexplode("others").alias("k", "part"))
     else:
         nodes = distinct.select(F.col("fp").alias("name"), F.col("fp").alias("part"))
-    roots = connected_components(fingerprint_links(nodes, groups_for(distinct.count(), bits), bits, far))
+    n = distinct.count()
+    roots = connected_components(fingerprint_links(nodes, groups_for(n, bits), bits, far, n * max(1, further)))
     firsts = distinct.groupBy("fp").agg(F.min("first").alias("first"))
     rooted, _ = runtime.write_table(firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     # a table of its own: the join with a root that very many fingerprints have is then one whose partitions can be split
@@ -344,12 +349,17 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = DROP_SHINGLE, bits: int
     Of rows equal in both, that with the least hash of its other columns stays.
     """
     prints, components = near_duplicate_components(docs.select("doc_id", "text"), shingle, bits, further, far)
-    best = prints.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"), "fp", "digest")).alias("best"))
-    known, _ = runtime.write_table(best.join(components, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.missing", "best.id", "best.digest"), "keepers")
+    key = ["missing", "id", "digest"]
+    keyed = prints.select("fp", F.isnull("doc_id").alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
+    counted = keyed.groupBy("fp", *key).agg(F.count("*").alias("n"))
+    best = counted.groupBy("fp").agg(F.min(F.struct("missing", "id", "fp", "digest", "n")).alias("best"))
+    known, _ = runtime.write_table(best.join(components, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.*").drop("fp"), "keepers")
     rows = with_row(docs, text_back=True)
     doc_id, text = F.col("row.doc_id").cast("long"), F.col("row.text")
+    rows = rows.select("row", F.isnull(doc_id).alias("missing"), F.coalesce(doc_id, F.lit(0)).alias("id"), text_digest(text).alias("digest"))
+    one = rows.join(known.where("n = 1").select(*key), key, "left_semi").select("row")
+    # rows that are there more than once, which tables of documents have few of; one of each by partial minima
     hashed = [F.col("row")[c] for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
-    keyed = rows.select("row", F.isnull(doc_id).alias("missing"), F.coalesce(doc_id, F.lit(0)).alias("id"), text_digest(text).alias("digest"))
-    # equal rows become one before and after the shuffle, which the join then needs no more
-    once = keyed.groupBy("missing", "id", "digest").agg(F.min_by("row", F.xxhash64(*hashed)).alias("row"))
-    return once.join(known, ["missing", "id", "digest"], "left_semi").select("row.*")
+    repeated, _ = runtime.write_table(known.where("n > 1").select(*key), "repeated")
+    more = rows.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.xxhash64(*hashed)).alias("row")).select("row")
+    return one.unionByName(more).select("row.*")

@@ -150,16 +150,15 @@ def masks(groups: int, bits: int = BITS) -> np.ndarray:
 
 
 def near(a: np.ndarray, b: np.ndarray, bits: int, far: int) -> np.ndarray:
-    """Whether rows (name, part) are linked: the parts within ``bits``, the names different and within ``far``."""
-    names = np.bitwise_count(a[..., 0] ^ b[..., 0])
-    return (np.bitwise_count(a[..., 1] ^ b[..., 1]) <= bits) & (names <= far) & (names > 0)
+    """Whether rows (name, part, group) of different groups are linked: parts within ``bits``, names within ``far``."""
+    return (np.bitwise_count(a[..., 1] ^ b[..., 1]) <= bits) & (np.bitwise_count(a[..., 0] ^ b[..., 0]) <= far) & (a[..., 2] != b[..., 2])
 
 
 def link_block(left: np.ndarray, right: np.ndarray | None, bits: int, far: int) -> np.ndarray:
-    """Links of names that connect what pairs of ``left`` (or of ``left`` and ``right``), rows (name, part), connect.
+    """Pairs of groups that connect what pairs of ``left`` (or of ``left`` and ``right``), as rows of :func:`near`, connect.
 
-    All pairs are tried, some rows at a time. Where there are more links than four for each fingerprint, which only
-    dense groups have, a spanning set of them is taken instead.
+    All pairs are tried, some rows at a time. Where there are more links than rows, which only dense groups have, a
+    spanning set of them is taken instead.
     """
     nodes = left if right is None else np.concatenate([left, right])
     codes = unary(segment_counts(nodes[:, 1]))
@@ -172,39 +171,61 @@ def link_block(left: np.ndarray, right: np.ndarray | None, bits: int, far: int)
         if right is None:
             i, j = i[i < j], j[i < j]
         linked = near(nodes[i], nodes[j], bits, far)
-        found.append(np.stack([nodes[i[linked], 0], nodes[j[linked], 0]], 1))
+        found.append(np.stack([nodes[i[linked], 2], nodes[j[linked], 2]], 1))
         n += len(found[-1])
-        if n > 4 * len(nodes):
+        if n > len(nodes):
             return spanning_links(nodes, codes, begin, right is not None, bits, far)
     return np.concatenate(found)
 
 
 def spanning_links(nodes: np.ndarray, codes: np.ndarray, begin: int, two: bool, bits: int, far: int) -> np.ndarray:
-    """As :func:`link_block`, by a search from each row in turn that looks only at those not reached yet: a dense group
-    gives one link for each member instead of one for each pair, and no pair goes unconnected. Rows of one name are
-    reached together, being one document."""
+    """As :func:`link_block`, by a search from each group in turn that looks only at those not reached yet: what is
+    connected gives one pair for each group, with the group that the search began from, and nothing goes unconnected."""
     side = np.zeros(len(nodes), bool)
     side[begin:] = two
+    groups, group = np.unique(nodes[:, 2], return_inverse=True)
+    rows_of = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
     open_ = np.ones(len(nodes), bool)
-    links: list[tuple[int, int]] = []
-    for first in range(len(nodes)):
-        if not open_[first]:
+    pairs: list[tuple[int, int]] = []
+    for first in range(len(groups)):
+        if not open_[rows_of[first][0]]:
             continue
-        open_[first], todo = False, [first]
+        todo = rows_of[first].tolist()
+        open_[todo] = False
         while todo:
             at = todo.pop()
             rest = np.flatnonzero(open_ & (side != side[at])) if two else np.flatnonzero(open_)
             rest = rest[np.bitwise_count(codes[rest] ^ codes[at]) <= bits]
-            reached = rest[near(nodes[rest], nodes[at], bits, far)]
-            if len(reached):
-                open_[reached] = False
-                links += [(at, x) for x in reached.tolist()]
-                todo += reached.tolist()
-    return nodes[np.array(links, np.int64).reshape(-1, 2), 0]
+            for g in np.unique(group[rest[near(nodes[rest], nodes[at], bits, far)]]).tolist():
+                pairs.append((first, g))
+                open_[rows_of[g]] = False
+                todo += rows_of[g].tolist()
+    return groups[np.array(pairs, np.int64).reshape(-1, 2)]
+
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Of pairs of groups, as many as connect the same: each group with the least one that is connected to it."""
+    if not len(pairs):
+        return pairs
+    groups, ends = np.unique(pairs, return_inverse=True)
+    up = list(range(len(groups)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x, y in np.unique(ends.reshape(-1, 2), axis=0).tolist():
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    tops = np.array([top(x) for x in range(len(groups))])
+    below = np.flatnonzero(tops != np.arange(len(groups)))
+    return np.stack([groups[below], groups[tops[below]]], 1)
 
 
 def link_rows(bits: int, far: int):
-    """For ``mapInArrow`` over (cell, place, name, part) sorted by (cell, place): links (a, b) of names as signed longs.
+    """For ``mapInArrow`` over (cell, place, name, part, group) sorted by (cell, place): pairs (a, b) of groups.
 
     ``place`` is twice the number of a pair of blocks in the cell, and 1 more on the pair's second side.
     """
@@ -221,7 +242,6 @@ def link_rows(bits: int, far: int):
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], len(cell))
             found = [np.empty((0, 2), np.uint64)]
-            group = np.cumsum(new) - 1
             size = ends - starts
             two = np.add.reduceat(side, starts) > 0
             small = (size <= 32) & ~two
@@ -235,18 +255,18 @@ def link_rows(bits: int, far: int):
                 at = np.repeat(starts[first] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 at = at[manhattan(counts[at], counts[at + k]) <= bits]
                 at = at[near(nodes[at], nodes[at + k], bits, far)]
-                found.append(np.stack([nodes[at, 0], nodes[at + k, 0]], 1))
+                found.append(np.stack([nodes[at, 2], nodes[at + k, 2]], 1))
             for g in np.flatnonzero(~small & (size > 1)):
                 a, b = starts[g], ends[g]
                 left = nodes[a:b] if not two[g] else nodes[a:b][side[a:b] == 0]
                 right = None if not two[g] else nodes[a:b][side[a:b] == 1]
                 if len(left):
                     found.append(link_block(left, right, bits, far))
-            every = np.concatenate(found)
+            every = forest(np.concatenate(found))
             return pa.RecordBatch.from_arrays([pa.array(every[:, 0].copy().view(np.int64)), pa.array(every[:, 1].copy().view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in ("cell", "place", "name", "part")]
+            rows = [batch.column(c).to_numpy() for c in ("cell", "place", "name", "part", "group")]
             if not len(rows[0]):
                 continue
             if kept:
@@ -263,21 +283,22 @@ def link_rows(bits: int, far: int):
 
 
 def fingerprint_links(nodes: DataFrame, groups: int, bits: int = BITS, far: int = 64, rows: int = 0) -> DataFrame:
-    """Links (a, b) that connect what all pairs of ``nodes`` connect: (name, part), or (name, part, k).
+    """Pairs (a, b) of groups that connect what all pairs of ``nodes`` connect: (name, part, k, group).
 
     Two rows with equal ``k`` are linked if their parts differ in at most ``bits`` bits and their names in at most
-    ``far``. A row goes to a cell for each choice of groups; cells and their numbers are expressions, and what is dealt
-    is (choice, name, part, place). Cells of more than ``CELL`` rows are split: each row goes to the pairs of blocks
-    that its block is in, so no task holds more than two blocks of a cell, whatever the cell's size. ``rows``: about
-    how many nodes there are; a small table becomes many rows here, which are made by as many tasks as they ask for.
+    ``far``; rows of one ``group`` are connected already. A row goes to a cell for each choice of groups of coordinates;
+    cells and their numbers are expressions, and what is dealt is (choice, name, part, group, place). Cells of more than
+    ``CELL`` rows are split: each row goes to the pairs of blocks that its block is in, so no task holds more than two
+    blocks of a cell, whatever the cell's size. ``rows``: about how many nodes there are; a small table becomes many
+    rows here, which are made by as many tasks as they ask for.
     """
     spark = nodes.sparkSession
     runtime.ship(spark)
     chosen = [int(x) for x in masks(groups, bits).view(np.int64)]
     nodes = nodes.repartition(max(spark.sparkContext.defaultParallelism, -(-rows * len(chosen) // DEALT)), "name", "part")
-    k = F.col("k") if "k" in nodes.columns else F.lit(0)
     codes = F.explode(F.sequence(F.lit(0), F.lit(len(chosen) - 1)))
-    coded = nodes.select("name", "part", k.cast("int").alias("k"), codes.alias("c")).select("name", "part", (F.col("k") * len(chosen) + F.col("c")).alias("code"))
+    carried = ("name", "part", "group")
+    coded = nodes.select(*carried, "k", codes.alias("c")).select(*carried, (F.col("k") * len(chosen) + F.col("c")).alias("code"))
     # a clash of the hash only adds candidates
     mask = F.element_at(F.lit(chosen), F.col("code") % len(chosen) + 1)
     cell = F.xxhash64(packed_counts(F.col("part")).bitwiseAND(mask), "code")
@@ -286,12 +307,12 @@ def fingerprint_links(nodes: DataFrame, groups: int, bits: int = BITS, far: int
     # cells that hold more than CELL rows are few: at most their number times the choices / CELL
     joined = coded.withColumn("cell", cell).join(hot, "cell", "left")
     blocks = F.coalesce(F.ceil(F.col("n") / CELL), F.lit(1)).cast("long")
-    dealt = joined.select("code", "name", "part", blocks.alias("blocks"), F.pmod(F.xxhash64("name", "part"), blocks).alias("block"))
-    pairs = dealt.select("code", "name", "part", "blocks", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = joined.select("code", *carried, blocks.alias("blocks"), F.pmod(F.xxhash64("name", "part"), blocks).alias("block"))
+    pairs = dealt.select("code", *carried, "blocks", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     number = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
-    spread = pairs.select("code", "name", "part", (2 * number + (F.col("block") > F.col("other")).cast("long")).alias("place"))
+    spread = pairs.select("code", *carried, (2 * number + (F.col("block") > F.col("other")).cast("long")).alias("place"))
     together = spread.repartition(cell, F.shiftright("place", 1))
-    return together.select(cell.alias("cell"), "place", "name", "part").sortWithinPartitions("cell", "place").mapInArrow(link_rows(bits, far), "a long, b long")
+    return together.select(cell.alias("cell"), "place", *carried).sortWithinPartitions("cell", "place").mapInArrow(link_rows(bits, far), "a long, b long")
 
 
 def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, further: int = 0, far: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -299,7 +320,8 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, bits: int
     fingerprint; ``digest`` is a hash of the text.
 
     Links are those of :func:`fingerprint_links`: of the fingerprints themselves, or, with ``further`` ones, of each
-    of those, while the fingerprint names the document.
+    of those, while the fingerprint names the document. The first of the further ones comes first, and the others are
+    searched for links between its components only: in a dense group nearly all are within one by then.
 
     Equal fingerprints are put together first, by aggregation with partial sums, so copies never meet in a task
     and are never expanded into pairs. Both tables lie in the shared folder; neither has texts.
@@ -308,14 +330,21 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, bits: int
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(docs["text"]).alias("digest"), "text")
     prints, _ = runtime.write_table(with_fingerprints(keyed, shingle, further).select("row.doc_id", "row.digest", "fp", "others"), "fingerprints")
     distinct, _ = runtime.write_table(prints.groupBy("fp", "others").agg(F.min("doc_id").alias("first")), "distinct")
-    if further:
-        nodes = distinct.select(F.col("fp").alias("name"), F.posexplode("others").alias("k", "part"))
-    else:
-        nodes = distinct.select(F.col("fp").alias("name"), F.col("fp").alias("part"))
     n = distinct.count()
-    roots = connected_components(fingerprint_links(nodes, groups_for(n, bits), bits, far, n * max(1, further)))
-    firsts = distinct.groupBy("fp").agg(F.min("first").alias("first"))
-    rooted, _ = runtime.write_table(firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    groups = groups_for(n, bits)
+    one = F.element_at("others", 1) if further else F.col("fp")
+    nodes = distinct.select(F.col("fp").alias("name"), one.alias("part"), F.lit(0).alias("k"), F.col("fp").alias("group"))
+    roots = connected_components(fingerprint_links(nodes, groups, bits, far, n))
+    root = F.coalesce("root", "fp").alias("root")
+    if further > 1:
+        within, _ = runtime.write_table(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "others", "first", root), "within")
+        nodes = within.select(F.col("fp").alias("name"), F.posexplode("others").alias("k", "part"), F.col("root").alias("group")).where("k > 0")
+        tops = connected_components(fingerprint_links(nodes, groups, bits, far, n * (further - 1)))
+        tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        found = within.join(tops, "root", "left").select("fp", "first", F.coalesce("top", "root").alias("root"))
+    else:
+        found = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", root)
+    rooted, _ = runtime.write_table(found.groupBy("fp", "root").agg(F.min("first").alias("first")), "rooted")
     # a table of its own: the join with a root that very many fingerprints have is then one whose partitions can be split
     names, _ = runtime.write_table(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "names")
     return prints.select("doc_id", "digest", "fp"), rooted.join(names, "root").select("fp", "component_id", "root")

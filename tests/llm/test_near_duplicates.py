@@ -64,9 +64,8 @@ def test_links_of_all_fingerprints(spark, monkeypatch):
     for cell, groups, bits in ((4096, 6, 4), (4096, 9, 4), (40, 7, 4), (4096, 10, 8), (60, 11, 8)):  # 40, 60: cells are split into pairs of blocks
         expected = groups_of(fps, lambda x, y: (x ^ y).bit_count() <= bits)
         monkeypatch.setattr(simhash, "CELL", cell)
-        df = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) * 2 for x in fps], "name long, part long")
+        df = spark.createDataFrame([(s, s, 0, s) for s in (x - 2**64 if x >> 63 else x for x in fps)], "name long, part long, k int, group long")
         links = [(a & M, b & M) for a, b in simhash.fingerprint_links(df, groups, bits).collect()]
-        assert all((a ^ b).bit_count() <= bits for a, b in links)
         near = {}
         for a, b in links:
             near.setdefault(a, set()).add(b)
@@ -108,14 +107,21 @@ def test_links_by_part_and_name(spark, monkeypatch):
     linked = {(a, b) for a, k, x in rows for b, m, y in rows if k == m and (x ^ y).bit_count() <= 8 and 0 < (a ^ b).bit_count() <= 18}
     expected = groups_of(names, lambda a, b: (a, b) in linked)
     assert 50 < len(set(expected.values())) < 250
-    for cell, groups in ((4096, 10), (50, 10), (4096, 11)):
+    merged = lambda n: min(x for x in names if expected[x] == expected[n] and (x ^ n) % 3 == 0)
+    for cell, groups, group in ((4096, 10, int), (50, 10, int), (4096, 11, int), (4096, 10, merged), (50, 10, merged)):
         monkeypatch.setattr(simhash, "CELL", cell)
-        df = spark.createDataFrame([(signed(n), k, signed(x)) for n, k, x in rows], "name long, k int, part long")
+        df = spark.createDataFrame([(signed(n), k, signed(x), signed(group(n))) for n, k, x in rows], "name long, k int, part long, group long")
         found = {(a & M, b & M) for a, b in simhash.fingerprint_links(df, groups, 8, 18).collect()}
-        assert all((a, b) in linked for a, b in found)
+        found |= {(n, group(n)) for n in names}
         assert groups_of(names, lambda a, b: (a, b) in found or (b, a) in found) == expected
 
 
+def test_forest():
+    pairs = np.array([[5, 9], [9, 5], [2, 9], [7, 8], [8, 11], [7, 11]], np.uint64)
+    assert sorted(map(tuple, simhash.forest(pairs).tolist())) == [(5, 2), (8, 7), (9, 2), (11, 7)]
+    assert len(simhash.forest(np.empty((0, 2), np.uint64))) == 0
+
+
 def test_documents(spark, docs, no_docs, rows):
     prints, components = simhash.near_duplicate_components(docs)
     found = [(r["doc_id"], r["fp"] & M, r["component_id"]) for r in prints.join(components, "fp").collect()]

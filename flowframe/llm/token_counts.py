@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowframe import runtime
-from flowframe.llm.common import frugal, tidy
+from flowframe.llm.common import tidy
 
 VOCABULARY = "word_bpe_49k.json"
 ID_SHIFT, END_ID = 2, 1
@@ -86,7 +86,7 @@ def open_file(path: str) -> pa.NativeFile:
 def scan_ranges(block_ids: int, end_id: int):
     """For ``mapInArrow`` over (path, block): reads each block by its range and summarises it."""
 
-    @frugal
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, block in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()):
@@ -100,7 +100,7 @@ def scan_ranges(block_ids: int, end_id: int):
 def scan_files(block_ids: int, end_id: int):
     """For ``mapInArrow`` over (path, content): summarises each block of whole files."""
 
-    @frugal
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):

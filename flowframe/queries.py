@@ -153,7 +153,10 @@ def sample_skip_first(spark, sf):
     return filters.skip_first(events(spark, sf), 5).select("stream_id", "sequence")
 
 
-@query()
+@query(f"""with recursive {E}, n as (select *, row_number() over (partition by stream_id order by sequence) as i from e), steps as (select max(i) as last from n),
+d as (select 0 as i, {filters.XORSHIFT_SEED}::hugeint as state
+union all select i + 1, xor(c, (c * 131072) % 18446744073709551616::hugeint) from (select i, xor(b, b // 128) as c from (select i, xor(state, (state * 8192) % 18446744073709551616::hugeint) as b from d)) where i < (select last from steps))
+select stream_id, sequence from n join d using (i) where state % 100 < 30""")
 def sample_random_exact(spark, sf):
     return filters.random_percent_exact(events(spark, sf), 30).select("stream_id", "sequence")
 
@@ -542,7 +545,13 @@ def delay(spark, sf):
     return timing.delay(events(spark, sf), 5 * HOUR).select("stream_id", "sequence", "departure")
 
 
-@query()
+@query("""with recursive x as (select user_id as stream_id, event_id as sequence, event_id * 1000000 as t, strlen(props) as n, row_number() over (partition by user_id order by event_id) as i from events),
+r as (select stream_id, sequence, i, case when n > 500 then t + (n - 500) * 1000000000 // 500 else t end as clock, case when n > 500 then t + (n - 500) * 1000000000 // 500 else t end as began, n as sent from x where i = 1
+union all
+select stream_id, sequence, i, case when s + n > 500 then now + (s + n - 500) * 1000000000 // 500 else now end, case when s + n > 500 then now + (s + n - 500) * 1000000000 // 500 else b end, case when s + n > 500 then n else s + n end
+from (select x.stream_id, x.sequence, x.i, x.n, greatest(x.t, r.clock) as now, case when greatest(x.t, r.clock) - r.began >= 1000000000 then greatest(x.t, r.clock) else r.began end as b,
+case when greatest(x.t, r.clock) - r.began >= 1000000000 then 0 else r.sent end as s from r join x on x.stream_id = r.stream_id and x.i = r.i + 1))
+select stream_id, sequence, clock as departure from r""")
 def rate_limit_bytes(spark, sf):
     e = events(spark, sf).withColumn("pts", F.col("sequence") * 1_000_000)
     return timing.rate_limit_bytes(e, 500).select("stream_id", "sequence", "departure")
@@ -693,6 +702,18 @@ def tag_merge(spark, sf):
     return e.select("event_id", merged["title"].alias("title"), F.map_contains_key(merged, "lang").alias("has_lang"), merged["artist"].alias("artist"))
 
 
+@query("""select event_id, mode, case when mode = 'keep' then 'old' else 'new' || event_id end as title, case when mode <> 'replace' then case when event_id % 2 = 0 then 'e' else 'x' end end as artist,
+case when mode <> 'replace_matching' and user_id % 3 = 0 then 'en' end as lang from events, (select unnest(['replace', 'append', 'keep', 'replace_matching']) as mode)""")
+def tag_merge_modes(spark, sf):
+    old = F.create_map(F.lit("title"), F.lit("old"), F.lit("artist"), F.when(F.col("event_id") % 2 == 0, "e").otherwise("x"))
+    title = (F.lit("title"), F.concat(F.lit("new"), "event_id"))
+    new = F.when(F.col("user_id") % 3 == 0, F.create_map(*title, F.lit("lang"), F.lit("en"))).otherwise(F.create_map(*title))
+    modes = ("replace", "append", "keep", "replace_matching")
+    merged = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), tags.merge(old, new, m).alias("tags")) for m in modes)))
+    found = table(spark, sf, "events").select("event_id", merged.alias("m"))
+    return found.select("event_id", "m.mode", *(F.try_element_at("m.tags", F.lit(k)).alias(k) for k in ("title", "artist", "lang")))
+
+
 @query("""select p_partkey, cast(p_size * 16 as bigint) * 9 as rgb, p_size * 3 * 3 + 2 * cast(ceil(p_size * 3 / 2.0) * ceil(3 / 2.0) as bigint) as i420, cast(ceil(p_size * 3 / 64.0) * 64 as bigint) as stride, cast(round(greatest(least(p_retailprice / 20, 90), -90) / 90 * 2147483647) as bigint) as lat from part""")
 def media_functions(spark, sf):
     w = F.col("p_size") * 3
@@ -784,9 +805,19 @@ def rtp_clock(spark, sf):
     return events(spark, sf).select("sequence", ticks.alias("ticks"), rtp.timestamp_to_clock(ticks).alias("ns"), rtp.next_seq(seq).alias("following"))
 
 
-@query("select event_id as sequence, '060E2B34' || printf('%02X', strlen(props)) || hex(props) as hex from events where strlen(props) < 128")
+#: The BER length of ``n`` in SQL.
+BER = "case when n < 128 then printf('%02X', n) when n < 256 then printf('81%02X', n) when n < 65536 then printf('82%04X', n) when n < 16777216 then printf('83%06X', n) else printf('84%08X', n) end"
+
+
+@query(f"select sequence, '060E2B34' || {BER} || hex(props) as hex from (select event_id as sequence, props, strlen(props) as n from events)")
 def klv_packets(spark, sf):
-    e = events(spark, sf).where(F.octet_length("payload") < 128).select("sequence", "payload")
+    e = events(spark, sf).select("sequence", "payload")
+    return kernels.klv_packets(e, bytes.fromhex("060E2B34")).select("sequence", F.hex("payload").alias("hex"))
+
+
+@query(f"select sequence, '060E2B34' || {BER} || hex(text) as hex from (select doc_id as sequence, text, strlen(text) as n from documents)")
+def klv_long_packets(spark, sf):
+    e = schema.from_documents(table(spark, sf, "documents")).select("sequence", "payload")
     return kernels.klv_packets(e, bytes.fromhex("060E2B34")).select("sequence", F.hex("payload").alias("hex"))
 
 

@@ -365,8 +365,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Where documents are dropped: shingles of five words, as many differing bits as can be searched exactly at scale,
 #: six fingerprints searched, and a seventh that names documents. Two texts with a Jaccard similarity of 0.8 differ in
 #: 9.7 of 64 bits on average, so one fingerprint brings a third of such pairs within eight bits, and six more than nine
-#: tenths. Unlike texts differ in 32 bits on average: with ``DROP_FAR`` in the seventh as well, among ten billion
-#: documents about one pair in 10 ** 14 is linked by chance.
+#: tenths. Unlike texts differ in 32 bits on average: with ``DROP_FAR`` in the seventh as well, a pair
+#: of them is linked by chance with a probability of about 5e-13.
 DROP_SHINGLE, DROP_BITS, DROP_FURTHER, DROP_FAR = 5, 8, 6, 18
 
 

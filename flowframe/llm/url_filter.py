@@ -21,30 +21,32 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: Most rules that become one expression; and most labelled urls, since they are learnt from in one row.
-MOST_RULES, MOST_LABELLED = 1000, 5000
+#: Rules that become one expression; more of them, or rules in a table, are joined. Results are the same.
+MOST_IN_EXPRESSION = 1000
+#: Most labelled urls, since they are learnt from in one row.
+MOST_LABELLED = 5000
 SIZES, BUCKETS = (3, 4), 2048
 EPOCHS, RATE, DECAY = 150, 4.0, 1e-3
 
 #: A small labelled table, written for this filter: urls to block and urls to allow.
 BLOCK = """
-http://cheap-pills.example.org/buy/1 https://www.online-pills.test/order https://pills-shop.test/discount
-http://best-casino.test/play https://www.casino-online.test/win https://casino-win.test/bonus http://royalcasino.test/slots
-https://free-bets.test/odds http://www.bets-today.test/free https://sports-betting.test/bet http://betting-tips.test/
-https://adult-x.test/video http://adult-videos.test/xxx https://www.xxx-adult.test/ http://hot-adult-chat.test/cam
-http://spam-farm.test/link https://www.link-farm.test/spam http://spam-links.test/farm https://spammer.test/out
-https://ads-track.test/click http://ads-server.test/banner https://track-ads.test/pixel http://adtracker.test/ads?id=1
-http://viagra-pills.test/cheap https://cheap-meds.test/pills http://payday-loans.test/cash https://free-porn.test/porn
-http://www.porn-x.test/video https://poker-win.test/casino http://lottery-win.test/free https://free-win-money.test/
+https://www.online-pills.test/order https://pills-shop.test/discount http://viagra-store.test/cheap https://buy-meds-online.test/rx
+http://best-casino.test/play https://www.casino-online.test/win http://royalcasino.test/slots https://poker-room.test/jackpot
+http://www.bets-today.test/free https://sports-betting.test/bet http://betting-tips.test/ https://bet365-bonus.test/odds
+http://adult-videos.test/xxx https://www.xxx-cams.test/ http://hot-adult-chat.test/cam https://free-porn.test/porn
+https://www.link-farm.test/out http://spammer.test/mail https://bulk-spam.test/list http://seo-backlinks.test/buy
+http://ads-server.test/banner http://adtracker.test/ads?id=1 https://clicktrack.test/pixel https://popunder-ads.test/click
+http://payday-loans.test/cash https://fast-loan.test/apply http://lottery-jackpot.test/free https://free-money.test/win
+http://www.porn-tube.test/video https://sexy-girls.test/live http://weight-loss-pills.test/ https://replica-watches.test/sale
 """
 ALLOW = """
 http://news.example.test/world/2020 https://www.library.test/books/12 https://blog.garden.test/roses http://docs.python.test/3/
 https://wiki.history.test/article/rome http://www.weather.test/today https://museum.test/collection/5 https://shop.test/item/4
 http://university.test/courses https://m.recipes.test/bread.html https://www.theatre.test/tickets http://forum.test/thread/99
-https://blog.thering.test/en/482 http://tionsh.test/de/20 https://ththan.test/fr/65.html http://www.therou.test/es/245#top
-https://m.ththre.test/en/633 http://therer.test/de/943 https://blog.ththon.test/en/142 https://www.thernd.test/fr/510
-https://ththsh.test/en/89/ http://m.ththti.test/de/963?page=2 https://therin.test/en/854/ http://www.ththes.test/es/533
-https://theran.test/en/25 https://research.test/papers/7 http://city.test/council https://trains.test/timetable
+https://blog.harbour.test/en/482 http://brickworks.test/de/20 https://orchard.test/fr/65.html http://www.mountain.test/es/245#top
+https://m.cathedral.test/en/633 http://kitchen.test/de/943 https://blog.quilting.test/en/142 https://www.bicycle.test/fr/510
+https://lighthouse.test/en/89/ http://m.pottery.test/de/963?page=2 https://village.test/en/854/ http://www.aquarium.test/es/533
+https://research.test/papers/7 http://city.test/council https://trains.test/timetable https://parliament.test/bills/18
 http://www.health.test/advice https://science.test/physics http://law.test/cases/3 https://music.test/albums
 https://adventure.test/travel http://address-book.test/ https://www.between.test/lines http://alphabet.test/letters
 https://education.test/schools http://nation.test/politics https://www.station.test/radio http://fiction.test/novels
@@ -71,12 +73,9 @@ def path(url: Column) -> Column:
 
 
 def deciding_rule(host_: Column, path_: Column, rules) -> tuple[Column, Column]:
-    """(rule, its verdict) of the longest rule that fits, null if none does."""
-    rules = sorted(rules, key=lambda r: (-len(r[0]), r[0]))
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
+    """(rule, its verdict) of the longest rule that fits, null if none does, as one expression."""
     rule = verdict = None
-    for text, says in rules:
+    for text, says in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         of_host, slash, rest = text.partition("/")
         fits = ((host_ == of_host) | host_.endswith("." + of_host)) & path_.startswith(slash + rest)
         rule = F.when(fits, text) if rule is None else rule.when(fits, text)
@@ -85,6 +84,39 @@ def deciding_rule(host_: Column, path_: Column, rules) -> tuple[Column, Column]:
     return (none, none) if rule is None else (rule, verdict)
 
 
+def join_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """``df`` (with host and path) and the deciding ``rule`` and ``verdict`` out of a table (rule, verdict) of any size.
+
+    A rule that fits is a suffix of the host, of as many labels as a rule's host has at most, followed by a prefix
+    of the path, as long as a rule's path; so each url is joined by these texts, and a minimum by the url's digest,
+    combined before the shuffle, keeps the longest. Only the lengths of rules' paths come to the driver. Of rules
+    that stand twice the least verdict counts; null rules fit nothing.
+    """
+    once = rules.where("rule is not null").groupBy("rule").agg(F.min("verdict").alias("verdict"))
+    of_host = F.substring_index("rule", "/", 1)
+    shape = once.agg(F.max(F.size(F.split(of_host, r"\."))).alias("labels"), F.collect_set(F.length("rule") - F.length(of_host)).alias("lengths")).first()
+    url = F.unhex(F.sha2(F.concat("host", "path"), 256))
+    packed = df.select(F.struct(*(F.col(c) for c in df.columns if c not in ("rule", "verdict"))).alias("row"), url.alias("url"))
+    labels, path_ = F.split(F.col("row.host"), r"\."), F.col("row.path")
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.lit(shape["labels"] or 1), F.size(labels))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    fitting = F.filter(F.lit(shape["lengths"]).cast("array<int>"), lambda n: n <= F.length(path_))
+    prefixes = F.transform(fitting, lambda n: F.substring(path_, F.lit(1), n))
+    tried = packed.select("url", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("url", "suffix", F.explode("prefixes").alias("prefix"))
+    fits = tried.select("url", F.concat("suffix", "prefix").alias("rule")).join(once, "rule")
+    best = fits.groupBy("url").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "verdict")).alias("best"))
+    return packed.join(best, "url", "left").select("row.*", "best.rule", "best.verdict")
+
+
+def with_rules(df: DataFrame, rules) -> DataFrame:
+    """``df`` (with host and path) and the deciding ``rule`` and its ``verdict``; of pairs that stand twice the first counts."""
+    if isinstance(rules, DataFrame):
+        return join_rules(df, rules)
+    if len(rules) > MOST_IN_EXPRESSION:
+        return join_rules(df, df.sparkSession.createDataFrame(list(dict(reversed(list(rules))).items()), "rule string, verdict string"))
+    rule, verdict = deciding_rule(F.col("host"), F.col("path"), rules)
+    return df.withColumns({"rule": rule, "verdict": verdict})
+
+
 def gram_buckets(host_: Column, path_: Column) -> Column:
     """The buckets of all character n-grams of host and path, each marked by where it comes from."""
     def grams(mark: str, text: Column, n: int) -> Column:
@@ -148,12 +180,14 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 
 
 def filter_urls(df: DataFrame, weights: list[float], rules=RULES, url: str = "url") -> DataFrame:
-    """``df`` with host, path, rule, verdict (allow or block) and ``p_block``, the model's probability."""
+    """``df`` with host, path, rule, verdict (allow or block) and ``p_block``, the model's probability.
+
+    ``rules`` are pairs (rule, verdict), or a table of them of any size.
+    """
     parts = df.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
-    rule, says = deciding_rule(F.col("host"), F.col("path"), rules)
-    z = logit(gram_buckets(F.col("host"), F.col("path")), F.lit(weights))
-    scored = parts.withColumn("p_block", probability(z))
-    return scored.withColumns({"rule": rule, "verdict": F.coalesce(says, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))})
+    scored = parts.withColumn("p_block", probability(logit(gram_buckets(F.col("host"), F.col("path")), F.lit(weights))))
+    of_model = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
+    return with_rules(scored, rules).withColumn("verdict", F.coalesce("verdict", of_model))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_against_numpy(spark):
     assert ((p >= 0.5) == (y == 1)).all()
 
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id int, url string, verdict string")
-    found = {r["page_id"]: r for r in U.filter_urls(df, weights).collect()}
+    found, joined = {r["page_id"]: r for r in U.filter_urls(df, weights).collect()}, {}
     p = 1 / (1 + np.exp(-(features(URLS) @ w + c)))
     for i, u in enumerate(URLS):
         host, path = parts(u)
@@ -58,10 +58,34 @@ def test_against_numpy(spark):
         rule, verdict = max(fits)[1:] if fits else (None, "block" if p[i] >= 0.5 else "allow")
         assert (found[i]["host"], found[i]["path"], found[i]["rule"], found[i]["verdict"]) == (host, path, rule, verdict), u
         assert abs(found[i]["p_block"] - p[i]) < 1e-8
-    assert found[14]["verdict"] == "block" and found[15]["verdict"] == "allow"
+        joined[i] = (rule, verdict)
+    table = spark.createDataFrame([*U.RULES, ("com/", "block"), (None, "block")], "rule string, verdict string")
+    for rules in (table, [*U.RULES, ("com/", "block"), *((f"no{i}.test/{'p' * (i % 50)}", "block") for i in range(U.MOST_IN_EXPRESSION))]):
+        out = U.filter_urls(df, weights, rules)
+        assert {r["page_id"]: (r["rule"], r["verdict"]) for r in out.collect()} == joined
+        assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().optimizedPlan().toString())
+    assert {r["rule"] for r in U.filter_urls(df, weights, table.where("false")).collect()} == {None}
     assert U.filter_urls(df.where("false"), weights).count() == 0
 
 
+#: Urls for no other use than this test; none of their hosts is in the labelled table.
+UNSEEN_BLOCK = """
+https://megaslots-casino.invalid/spin http://discountpills24.invalid/buy https://xxxpornhd.invalid/video/9 http://adserver7.invalid/banner
+https://winfreebets.invalid/odds http://instant-payday-cash.invalid/loan https://www.online-betting-bonus.invalid/ http://adultcamgirls.invalid/chat
+"""
+UNSEEN_ALLOW = """
+https://www.botany.invalid/flora/12 http://springfield-library.invalid/catalogue https://parish-records.invalid/1871 http://observatory.invalid/en/saturn
+https://m.bakery.invalid/sourdough http://www.chess-club.invalid/results https://geology.invalid/papers/3 http://townhall.invalid/de/minutes
+"""
+
+
+def test_unseen_hosts(spark):
+    urls = UNSEEN_BLOCK.split() + UNSEEN_ALLOW.split()
+    judged = U.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), U.train(U.labelled_urls(spark))).collect()
+    right = [(r["verdict"] == "block") == (r["url"] in UNSEEN_BLOCK.split()) for r in judged]
+    assert sum(right) >= 14, [r["url"] for r, ok in zip(judged, right) if not ok]
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "http://a.org/")], "page_id int, url string")
     plan = U.filter_urls(df, [0.0] * (U.BUCKETS + 1))._jdf.queryExecution().executedPlan().toString()

@@ -34,14 +34,15 @@ def features(urls):
 
 
 def test_against_numpy(spark):
-    block, allow = U.BLOCK.split(), U.ALLOW.split()
+    block, allow = U.BLOCK, U.ALLOW
     x, y = features(block + allow), np.array([1.0] * len(block) + [0.0] * len(allow))
-    w, c = np.zeros(U.BUCKETS), 0.0
+    w, c = np.zeros(U.BUCKETS), np.log((len(block) + 1) / (len(allow) + 1))
     for _ in range(U.EPOCHS):
         e = 1 / (1 + np.exp(-(x @ w + c))) - y
-        w, c = w * (1 - U.RATE * U.DECAY) - U.RATE * (x.T @ e) / len(y), c - e.mean()
+        w = w * (1 - U.RATE * U.DECAY) - U.RATE * (x.T @ e) / len(y)
     weights = U.train(U.labelled_urls(spark))
     assert np.allclose(weights, [*w, c], atol=1e-8)
+    assert U.train(U.labelled_urls(spark).where("false")) == [0.0] * (U.BUCKETS + 1)
     p = 1 / (1 + np.exp(-(x @ w + c)))
     assert ((p >= 0.5) == (y == 1)).all()
 

@@ -26,7 +26,7 @@ def seconds(ns: Column) -> Column:
 
 def saturating_sub(a: Column, b: Column) -> Column:
     """``a - b``, but never below 0."""
-    return F.greatest(F.lit(0).cast("long"), a - b)
+    return F.when((a - b).isNotNull(), F.greatest(F.lit(0).cast("long"), a - b))
 
 
 def saturating_add(a: Column, b: Column) -> Column:
@@ -43,6 +43,16 @@ def checked_sub(a: Column, b: Column) -> Column:
     return F.when(a >= b, a - b)
 
 
+def saturating_mul(a: Column, by: int) -> Column:
+    """``a`` times a whole number, at most ``MAX``."""
+    return F.coalesce(F.try_multiply(a, F.lit(by).cast("long")), F.when(a.isNotNull(), F.lit(MAX)))
+
+
+def checked_div(a: Column, by: int) -> Column:
+    """Whole part of ``a`` over a whole number, null for 0."""
+    return floor_div(a, by) if by else F.when(F.lit(False), a)
+
+
 def abs_diff(a: Column, b: Column) -> Column:
     return F.abs(a - b)
 

@@ -31,9 +31,14 @@ def plane_size(width_bytes: Column, height: Column, alignment: int) -> Column:
     return padded_stride(width_bytes, alignment) * height
 
 
+def clamped(x: Column, low: float, high: float) -> Column:
+    """``x`` from ``low`` to ``high``; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
+
+
 def scaled(x: Column, most: float, steps: int) -> Column:
     """``x`` clamped to -most..most as a whole number of ``steps`` either side, rounded half away from zero."""
-    return F.round(F.greatest(F.least(x, F.lit(float(most))), F.lit(-float(most))) / most * steps).cast("long")
+    return F.round(clamped(x, -most, most) / most * steps).cast("long")
 
 
 def latitude(degrees: Column) -> Column:
@@ -42,3 +47,21 @@ def latitude(degrees: Column) -> Column:
 
 def longitude(degrees: Column) -> Column:
     return scaled(degrees, 180.0, 2147483647)
+
+
+def altitude(metres: Column) -> Column:
+    """-900 to 19,000 metres in 65,535 steps."""
+    return F.round((clamped(metres, -900.0, 19000.0) + 900) / 19900 * 65535).cast("int")
+
+
+def heading(degrees: Column) -> Column:
+    """0 to 360 degrees in 65,535 steps."""
+    return F.round(clamped(degrees, 0.0, 360.0) / 360 * 65535).cast("int")
+
+
+def pitch(degrees: Column) -> Column:
+    return scaled(degrees, 90.0, 32767).cast("int")
+
+
+def roll(degrees: Column) -> Column:
+    return scaled(degrees, 90.0, 32767).cast("int")

@@ -6,6 +6,9 @@ matches, the matching is sequential along time and runs in the ordered scan of e
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,38 +64,89 @@ def tolerance_pairs(left: DataFrame, right: DataFrame, time: str, tolerance: int
 
 
 def _greedy(tolerance: int, nearest: bool):
-    """Two sides in order of time: left rows wait until no better right row can come, and consume what they match."""
+    """Two sides in order of time: left rows wait until no better right row can come, and consume what they match.
+
+    Right rows lie in lists by time; ``after`` and ``before`` point past those taken, with the paths shortened as they
+    are walked, so that a row costs a binary search. What no later left row can reach goes when it is half of all.
+    """
 
     def make():
-        lefts: list[tuple[int, int]] = []
-        rights: list[tuple[int, int]] = []
+        lefts: deque[tuple[int, int]] = deque()
+        times: list[int] = []
+        numbers: list[int] = []
+        after: list[int] = [0]
+        before: list[int] = [0]
         counts = [0, 0]
 
+        def end_of(links: list[int], i: int) -> int:
+            end = i
+            while links[end] != end:
+                end = links[end]
+            while links[i] != end:
+                links[i], i = end, links[i]
+            return end
+
+        def add(at: int, number: int) -> None:
+            # place k of the right rows is k + 1 in ``before``, whose 0 stands for none
+            times.append(at)
+            numbers.append(number)
+            after.append(len(times))
+            before.append(len(times))
+
+        def first_from(i: int) -> int:
+            return end_of(after, i)
+
+        def taken(k: int) -> int:
+            after[k], before[k + 1] = k + 1, k
+            return numbers[k]
+
+        def best(at: int) -> int | None:
+            k = first_from(bisect_left(times, at - tolerance))
+            if k == len(times) or times[k] > at + tolerance:
+                return None
+            if not nearest:
+                return k
+            right = first_from(bisect_left(times, at))
+            left = end_of(before, bisect_left(times, at)) - 1
+            if left < 0 or times[left] < at - tolerance:
+                return right
+            if right == len(times) or at - times[left] <= times[right] - at:
+                return first_from(bisect_left(times, times[left]))
+            return right
+
+        def forget(edge: int) -> None:
+            cut = bisect_left(times, edge)
+            if 2 * cut <= len(times) or cut < 64:
+                return
+            kept = [(times[k], numbers[k]) for k in range(cut, len(times)) if after[k] == k]
+            for x in (times, numbers):
+                x.clear()
+            after[:], before[:] = [0], [0]
+            for at, number in kept:
+                add(at, number)
+
         def settle(now: int | None) -> list[tuple[int, int]]:
             pairs = []
-            while lefts:
-                at, number = lefts[0]
-                if now is not None and now <= at + tolerance:
-                    break
-                fits = [r for r in rights if abs(r[0] - at) <= tolerance]
-                if fits:
-                    best = min(fits, key=lambda r: abs(r[0] - at)) if nearest else fits[0]
-                    rights.remove(best)
-                    pairs.append((number, best[1]))
-                lefts.pop(0)
-            edge = (lefts[0][0] if lefts else now if now is not None else None)
-            while rights and edge is not None and rights[0][0] < edge - tolerance:
-                rights.pop(0)
+            while lefts and (now is None or now > lefts[0][0] + tolerance):
+                at, number = lefts.popleft()
+                k = best(at)
+                if k is not None:
+                    pairs.append((number, taken(k)))
+            edge = lefts[0][0] if lefts else now
+            if edge is not None:
+                forget(edge - tolerance)
             return pairs
 
         def step(at: int, side: int, last: bool) -> tuple:
             pairs = settle(at)
-            (rights if side else lefts).append((at, counts[side]))
-            number = counts[side]
+            if side:
+                add(at, counts[1])
+            else:
+                lefts.append((at, counts[0]))
             counts[side] += 1
             if last:
                 pairs += settle(None)
-            return (number, [{"l": x, "r": y} for x, y in pairs])
+            return ([{"l": x, "r": y} for x, y in pairs],)
 
         return step
 
@@ -100,18 +154,35 @@ def _greedy(tolerance: int, nearest: bool):
 
 
 def _matched(left: DataFrame, right: DataFrame, time: str, by, order_by, tolerance: int, nearest: bool) -> DataFrame:
-    both = _sided(left, right, time, by)
-    left_order, right_order = F.col("left")[order_by[0]], F.col("right")[order_by[1]]
+    """The scan sees times only and tells places within a key; the rows join by these, which windows count alike.
+
+    Rows without a time match nothing.
+    """
     keys = list(by)
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    sort = (F.col("_t"), F.col("_side"), left_order, right_order)
-    marked = both.withColumn("_last", F.lead("_t").over(w.orderBy(*sort)).isNull())
-    scanned = annotate(marked, _greedy(tolerance, nearest), [F.col("_t"), F.col("_side"), F.col("_last")], "_n bigint, _pairs array<struct<l:bigint,r:bigint>>", keys, sort)
-    pairs = scanned.select(*keys, F.explode("_pairs").alias("p")).select(*keys, F.col("p.l").alias("_l"), F.col("p.r").alias("_r"))
-    a = scanned.where("_side = 0").select(*keys, F.col("_n").alias("_l"), "left")
-    b = scanned.where("_side = 1").select(*keys, F.col("_n").alias("_r"), "right")
-    joined = pairs.join(a, [*keys, "_l"]).join(b, [*keys, "_r"])
-    return joined.select(*keys, "left", "right")
+    packed = [f"_k{i}" for i in range(len(keys))]
+
+    def placed(df: DataFrame, order: str, name: str) -> DataFrame:
+        rows = df.where(F.col(time).isNotNull()).select(*(F.col(k).alias(p) for k, p in zip(keys, packed)), F.col(time).cast("long").alias("_t"), F.col(order).alias("_o"), F.struct(*df.columns).alias(name))
+        w = W.partitionBy(*(packed or [F.lit(0)])).orderBy("_t", "_o")
+        return rows.withColumn("_n", F.row_number().over(w).cast("long") - 1)
+
+    a, b = placed(left, order_by[0], "left"), placed(right, order_by[1], "right")
+    both = a.select(*packed, "_t", "_n", F.lit(0).alias("_side")).unionByName(b.select(*packed, "_t", "_n", F.lit(1).alias("_side")))
+    sort = ("_t", "_side", "_n")
+    w = W.partitionBy(*(packed or [F.lit(0)])).orderBy(*sort)
+    marked = both.withColumn("_last", F.lead("_t").over(w).isNull())
+    scanned = annotate(marked, _greedy(tolerance, nearest), [F.col("_t"), F.col("_side"), F.col("_last")], "_pairs array<struct<l:bigint,r:bigint>>", packed, sort)
+    pairs = scanned.select(*packed, F.explode("_pairs").alias("_p")).select(*packed, "_p.l", "_p.r")
+
+    def same(x: DataFrame, y: DataFrame, place: str):
+        on = y["_n"] == x[place]
+        for p in packed:
+            on = on & x[p].eqNullSafe(y[p])
+        return on
+
+    joined = pairs.join(a, same(pairs, a, "l")).select(*(pairs[p] for p in packed), "r", "left")
+    joined = joined.join(b, same(joined, b, "r")).select(*(joined[p] for p in packed), "left", "right")
+    return joined.select(*(F.col(p).alias(k) for k, p in zip(keys, packed)), "left", "right")
 
 
 def tolerance(left: DataFrame, right: DataFrame, time: str, within: int = TOLERANCE, by=(), order_by=("sequence", "sequence")) -> DataFrame:

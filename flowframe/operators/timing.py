@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,35 +110,58 @@ def rate_limit_bytes(df: DataFrame, per_second: int, time: str = "pts", partitio
     return annotate(df, _byte_rate(per_second), [F.col(time), F.octet_length("payload")], "departure bigint", partition_by, order_by)
 
 
-def _queue(most: int, service: int, leaky: str):
+def _queue(most: int, service: int, leaky: str, most_bytes: int | None):
     def make():
-        waiting: list[tuple[int, int]] = []
-        free_at, number = None, -1
+        waiting: deque[tuple[int, int, int]] = deque()
+        held, free_at, number = 0, None, -1
+
+        def hand_on(now: int) -> None:
+            nonlocal held, free_at
+            came, _, n = waiting.popleft()
+            held -= n
+            free_at = max(came, now if free_at is None else free_at) + service
+
+        def full() -> bool:
+            return len(waiting) >= most or (most_bytes is not None and held >= most_bytes)
 
-        def step(at: int) -> tuple:
-            nonlocal free_at, number
+        def step(at: int, n: int | None) -> tuple:
+            nonlocal held, number
             number += 1
+            n = n or 0
             while waiting and (free_at is None or free_at <= at):
-                begin = max(waiting.pop(0)[0], free_at if free_at is not None else at)
-                free_at = begin + service
-            if len(waiting) >= most:
+                hand_on(at)
+            evicted: list[int] = []
+            now = at
+            while waiting and full():
                 if leaky == "upstream":
-                    return (len(waiting), "dropped", None)
-                dropped = waiting.pop(0)[1]
-                waiting.append((at, number))
-                return (len(waiting), "queued", dropped)
-            waiting.append((at, number))
-            return (len(waiting), "queued", None)
+                    return (len(waiting), "dropped", None, [], None)
+                if leaky == "none":
+                    now = max(now, free_at)
+                    hand_on(now)
+                    continue
+                _, gone, size = waiting.popleft()
+                held -= size
+                evicted.append(gone)
+            waiting.append((now, number, n))
+            held += n
+            return (len(waiting), "queued", evicted[-1] if evicted else None, evicted, now)
 
         return step
 
     return make
 
 
-def queue(df: DataFrame, most: int, service: int, leaky: str = "upstream", time: str = "pts", partition_by=STREAM, order_by=ORDER) -> DataFrame:
+def queue(
+    df: DataFrame, most: int, service: int, leaky: str = "upstream", time: str = "pts", partition_by=STREAM, order_by=ORDER, most_bytes: int | None = None
+) -> DataFrame:
     """A simulated bounded queue that hands on a row each ``service``: its ``depth`` after each arrival, and what is
-    dropped when it is full: the new row (``leaky`` upstream) or the oldest one (downstream; ``evicted`` is its place)."""
-    return annotate(df, _queue(most, service, leaky), [F.col(time)], "depth int, outcome string, evicted bigint", partition_by, order_by)
+    dropped when it is full: the new row (``leaky`` upstream) or the oldest ones (downstream; ``all_evicted`` are their
+    places, ``evicted`` the last of them). With ``leaky`` none the row waits for space: ``entered`` is when it gets in.
+
+    It is full at ``most`` rows or, if given, ``most_bytes`` of payloads; an empty queue takes any row.
+    """
+    outputs = "depth int, outcome string, evicted bigint, all_evicted array<bigint>, entered bigint"
+    return annotate(df, _queue(most, service, leaky, most_bytes), [F.col(time), F.octet_length("payload")], outputs, partition_by, order_by)
 
 
 def hysteresis(df: DataFrame, level: str, capacity: int, high: float = 0.8, low: float = 0.2, partition_by=STREAM, order_by=ORDER) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from flowframe import schema
 from flowframe.functions import caps, clock, tags
+from flowframe.functions import media as sizes
 from flowframe.operators import filters, flow, media, meta, payload, rtp, segment, temporal, timing, typed
 from flowframe.sources import generators
 
@@ -164,6 +165,11 @@ def test_timing(spark):
     assert values(timing.delay(df, 4).orderBy("sequence"), "departure") == [4, 8, 12, 16, 34]
     held = timing.queue(buffers(spark, [(i, 0) for i in range(5)], "sequence bigint, pts bigint"), 2, 100)
     assert [r["outcome"] for r in held.orderBy("sequence").collect()].count("dropped") == 2
+    full = buffers(spark, [("abcd", 0, 0), ("ef", 1, 0), ("gh", 2, 0), ("ijk", 3, 0), ("l", 4, 0)], "payload string, sequence bigint, pts bigint")
+    by_bytes = timing.queue(full, 10, 100, "downstream", most_bytes=4).orderBy("sequence").collect()
+    assert [(r["depth"], r["all_evicted"]) for r in by_bytes] == [(1, []), (1, []), (2, []), (2, [1]), (2, [2])]
+    waits = timing.queue(full, 1, 100, "none").orderBy("sequence").collect()
+    assert [(r["outcome"], r["entered"]) for r in waits] == [("queued", t) for t in (0, 0, 100, 200, 300)]
     sized = buffers(spark, [("x" * 600, 0), ("y" * 600, 1)]).withColumn("pts", F.lit(0).cast("bigint"))
     assert values(timing.rate_limit_bytes(sized, 1000).orderBy("sequence"), "departure") == [0, 200_000_000]
 
@@ -181,6 +187,20 @@ def test_rtp(spark):
     assert (info["expected"], info["received"], info["lost"]) == (6, 7, 0)
 
 
+def test_clock_scalars_and_attitude(spark):
+    ns, none = F.lit(7).cast("bigint"), F.lit(None).cast("bigint")
+    row = spark.range(1).select(
+        clock.saturating_mul(ns, 3), clock.saturating_mul(ns, clock.MAX), clock.saturating_mul(none, 3), clock.checked_div(ns, 2), clock.checked_div(ns, 0), clock.checked_div(none, 2), clock.saturating_sub(none, ns)
+    )
+    assert tuple(row.first()) == (21, clock.MAX, None, 3, None, None, None)
+    degrees = spark.createDataFrame([(-1000.0,), (0.0,), (45.0,), (20000.0,), (None,)], "x double")
+    found = degrees.select(sizes.altitude(F.col("x")), sizes.heading(F.col("x")), sizes.pitch(F.col("x")), sizes.roll(F.col("x")), sizes.latitude(F.col("x")).isNull()).collect()
+    # 900 / 19,900, 945 / 19,900 of 65,535; 45 / 360 of 65,535; 45 / 90 of 32,767
+    assert [tuple(r) for r in found] == [
+        (0, 0, -32767, -32767, False), (2964, 0, 0, 0, False), (3112, 8192, 16384, 16384, False), (65535, 65535, 32767, 32767, False), (None, None, None, None, True)
+    ]
+
+
 def test_clock_caps_tags(spark):
     row = spark.range(1).select(clock.display(F.lit(1_500_000_000).cast("bigint")), clock.saturating_sub(F.lit(1), F.lit(2)), clock.checked_sub(F.lit(1), F.lit(2))).first()
     assert tuple(row) == ("1.500s", 0, None)

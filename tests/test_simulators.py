@@ -27,6 +27,36 @@ def test_greedy_matching(spark):
         assert sorted((r["left"]["sequence"], r["right"]["sequence"]) for r in found) == sorted(expected)
 
 
+def plain_matches(lefts, rights, tolerance, nearest):
+    free, expected = list(rights), []
+    for n, t in enumerate(lefts):
+        fits = [(u, k) for u, k in free if abs(u - t) <= tolerance]
+        if fits:
+            best = min(fits, key=lambda r: abs(r[0] - t)) if nearest else fits[0]
+            free.remove(best)
+            expected.append((n, best[1]))
+    return expected
+
+
+def test_greedy_steps():
+    rng = random.Random(4)
+    for case in range(60):
+        n, span, tolerance = rng.choice((0, 1, 30, 400)), rng.choice((5, 300, 4000)), rng.choice((0, 3, 40))
+        lefts, rights = (sorted(rng.randrange(span) for _ in range(rng.choice((0, n, 2 * n)))) for _ in "lr")
+        rows = sorted([(t, 0) for t in lefts] + [(t, 1) for t in rights])
+        for nearest in (False, True):
+            step = temporal._greedy(tolerance, nearest)()
+            found = [p for i, (t, side) in enumerate(rows) for p in step(t, side, i == len(rows) - 1)[0]]
+            assert [(p["l"], p["r"]) for p in found] == plain_matches(lefts, [(t, k) for k, t in enumerate(rights)], tolerance, nearest), (case, nearest)
+
+
+def test_greedy_scans_once(spark):
+    left, right = (spark.createDataFrame([(None, 1, t, i) for i, t in enumerate((5, 9, None))], "k int, _n int, pts bigint, sequence bigint") for _ in "lr")
+    out = temporal.nearest(left, right, "pts", 1, ["k"])
+    assert sorted((r["left"]["pts"], r["right"]["pts"]) for r in out.collect()) == [(5, 5), (9, 9)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_throttle_many_streams(spark):
     rng = random.Random(5)
     rows = [(s, i, t) for s in range(5) for i, t in enumerate(sorted(rng.randrange(1000) for _ in range(80)))]

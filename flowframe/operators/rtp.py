@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowframe.plans.scan import annotate
+from flowframe.plans.scan import annotate, annotate_spread
 from flowframe.schema import ORDER, STREAM, floor_div
 
 
@@ -28,6 +32,121 @@ def is_next_seq(seq: Column, last: Column) -> Column:
     return seq == next_seq(last)
 
 
+class Lift:
+    """What the numbers of a range of packets, of ``bits`` bits, make of any extended highest number before them.
+
+    A number less than half the circle ahead becomes the highest. So the highest afterwards is a function of the one
+    before that never falls and adds a whole circle where the other adds one, and is kept as pieces over one circle:
+    piece i begins at ``lo[i]``; there it is ``low[i]``, and stays that (``flat``) or goes up with the argument.
+    """
+
+    def __init__(self, bits: int) -> None:
+        self.circle = 1 << bits
+        self.first: int | None = None
+        self.lo, self.low, self.flat = [0], [0], [False]
+
+    def add(self, numbers: np.ndarray) -> None:
+        if self.first is None:
+            self.first = int(numbers[0])
+        for number in _ends_of_runs(numbers, self.circle):
+            self._step(number)
+
+    def _step(self, number: int) -> None:
+        target = number + ((self.low[0] - number) // self.circle + 1) * self.circle
+        for b in (target, target + self.circle):
+            # values strictly between a and b go to b
+            a = b - self.circle // 2
+            i = bisect_right(self.low, a)
+            if i and not self.flat[i - 1] and self._top(i - 1) > a:
+                self._split(i - 1, a + 1)
+            j = bisect_left(self.low, b)
+            if j > i and not self.flat[j - 1] and self._top(j - 1) >= b:
+                self._split(j - 1, b)
+            if j > i:
+                # a constant that follows with the same value is the same piece
+                k = j + 1 if j < len(self.low) and self.flat[j] and self.low[j] == b else j
+                self.lo[i:k], self.low[i:k], self.flat[i:k] = [self.lo[i]], [b], [True]
+
+    def _top(self, i: int) -> int:
+        return (self.lo[i + 1] if i + 1 < len(self.lo) else self.circle) - 1
+
+    def _split(self, i: int, at: int) -> None:
+        self.lo.insert(i + 1, at)
+        self.low.insert(i + 1, at)
+        self.flat.insert(i + 1, False)
+
+    def after(self, highest: int | None) -> int:
+        """The extended highest number after the packets; ``None``: they are the stream's first."""
+        if highest is None:
+            highest = self.first
+        at = highest % self.circle
+        i = bisect_right(self.lo, at) - 1
+        return highest - at + (self.low[i] if self.flat[i] else at)
+
+
+def _ends_of_runs(numbers: np.ndarray, circle: int) -> list[int]:
+    """The numbers without those inside stretches that go up by less than half the circle in all: of such a stretch the
+    first and the last do the same."""
+    ahead = (numbers[1:] - numbers[:-1]) & (circle - 1)
+    stretch = np.cumsum(ahead) // max(circle // 4, 1)
+    cut = (ahead >= circle // 4) | (np.diff(stretch, prepend=0) != 0)
+    keep = np.ones(len(numbers), dtype=bool)
+    keep[1:-1] = cut[:-1] | cut[1:]
+    return numbers[keep].tolist()
+
+
+class Extended:
+    """The number with its wraps; state: the extended highest number so far. Null numbers stay null and change nothing."""
+
+    def __init__(self, bits: int, name: str) -> None:
+        self.bits, self.circle, self.outputs = bits, 1 << bits, f"{name} bigint"
+
+    def _numbers(self, columns: list) -> tuple[np.ndarray, np.ndarray]:
+        there = columns[0].is_valid().to_numpy(zero_copy_only=False)
+        return there, columns[0].drop_null().to_numpy() & (self.circle - 1)
+
+    def summarise(self, columns: list, summary: Lift | None) -> Lift | None:
+        numbers = self._numbers(columns)[1]
+        if len(numbers):
+            summary = summary or Lift(self.bits)
+            summary.add(numbers)
+        return summary
+
+    def carry(self, state: int | None, summary: Lift | None) -> int | None:
+        return summary.after(state) if summary else state
+
+    def run(self, columns: list, state: int | None) -> tuple[list, int | None]:
+        there, numbers = self._numbers(columns)
+        if not len(numbers):
+            return [pa.nulls(len(there), pa.int64())], state
+        extended, state = self._extend(numbers, int(numbers[0]) if state is None else state)
+        # behind the first number but before any wrap
+        extended = np.where(extended < 0, extended + self.circle, extended)
+        out = np.zeros(len(there), dtype=np.int64)
+        out[there] = extended
+        return [pa.array(out, mask=~there)], state
+
+    def _extend(self, numbers: np.ndarray, highest: int) -> tuple[np.ndarray, int]:
+        half, last = self.circle // 2, self.circle - 1
+        if len(numbers) > 16:
+            # each number nearest to the one before it, which is right where all are within half a circle of the highest
+            steps = ((np.diff(numbers, prepend=highest & last) + half) & last) - half
+            near = highest + np.cumsum(steps)
+            most = np.maximum(np.maximum.accumulate(near), highest)
+            apart = near - np.concatenate(([highest], most[:-1]))
+            if (apart >= -half).all() and (apart < half).all():
+                return near, int(most[-1])
+        found = []
+        for number in numbers.tolist():
+            ahead = (number - highest) & last
+            if ahead < half:
+                highest += ahead
+                found.append(highest)
+            else:
+                found.append(highest + ahead - self.circle)
+        return np.array(found, dtype=np.int64), highest
+
+
 def _extend():
     highest, cycles = None, 0
 
@@ -54,6 +173,14 @@ def extend_sequence(df: DataFrame, seq: str = "seq", partition_by=STREAM, order_
     return annotate(df, _extend, [F.col(seq)], "ext_seq bigint", partition_by, order_by)
 
 
+def extend_timestamp(df: DataFrame, ts: str = "rtp_ts", partition_by=STREAM, order_by=ORDER) -> DataFrame:
+    """``ext_ts``: the 32-bit media time ``ts`` with its number of wraps, as receivers unwrap it, in order of arrival.
+
+    Streams of one clock whose first packets may come after a wrap are extended together, without ``partition_by``.
+    """
+    return annotate_spread(df, Extended(32, "ext_ts"), [F.col(ts).cast("long")], partition_by, order_by)
+
+
 def extend_sequence_in_order(df: DataFrame, seq: str = "seq", partition_by=STREAM, order_by=ORDER) -> DataFrame:
     """``ext_seq`` for streams without reordering over a wrap, by a window: a fall of more than half the range is a wrap."""
     w = W.partitionBy(*partition_by).orderBy(*order_by)
@@ -63,8 +190,6 @@ def extend_sequence_in_order(df: DataFrame, seq: str = "seq", partition_by=STREA
     return marked.withColumn("ext_seq", cycles * 65536 + F.col(seq)).drop("_wrap")
 
 
-
-
 def reorder(df: DataFrame, ext_seq: str = "ext_seq", drop_late: bool = False, window: int = 512, partition_by=STREAM, order_by=ORDER) -> DataFrame:
     """What a jitter buffer lets through: the first of each number, in order of number, with ``lost_before`` (numbers
     missing since the one before) and ``reordered`` (it came after a higher number).
@@ -140,12 +265,12 @@ def parse_header(df: DataFrame, packet: str = "payload") -> DataFrame:
 
 
 def build_packet(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """``packet``: version 2, the fields of struct ``rtp``, then the payload."""
+    """``packet``: version 2, the fields of struct ``rtp``, then the payload. Numbers too long for their field wrap."""
 
     def raw(x: Column, digits: int) -> Column:
-        return F.lpad(F.hex(x.cast("long")), digits, "0")
+        return F.lpad(F.hex(x.cast("long").bitwiseAND((1 << 4 * digits) - 1)), digits, "0")
 
     r = F.col("rtp")
-    second = r["pt"] + F.when(r["marker"], 128).otherwise(0)
+    second = r["pt"].bitwiseAND(127) + F.when(r["marker"], 128).otherwise(0)
     header = F.unhex(F.concat(F.lit("80"), raw(second, 2), raw(r["seq"], 4), raw(r["ts"], 8), raw(r["ssrc"], 8)))
     return df.withColumn("packet", F.concat(header, F.col(payload)))

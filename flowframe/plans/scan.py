@@ -7,9 +7,13 @@ row (kept or not, its batch, its departure) is added as columns, and ordinary Da
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,6 +68,127 @@ def _scan(make: Stepper, n_inputs: int, added: T.StructType):
     return run
 
 
+class Carried(Protocol):
+    """A scan that can begin anywhere in a stream, since a summary of a range of rows says what they make of any state.
+
+    Columns are Arrow arrays, one for each input, of rows of one stream in order; ``None`` is the state before a stream's
+    first row and the summary of no rows. States are small, summaries bounded.
+    """
+
+    outputs: str
+
+    def summarise(self, columns: list[pa.Array], summary: Any) -> Any:
+        """The summary of the rows behind ``summary`` and of these."""
+
+    def carry(self, state: Any, summary: Any) -> Any:
+        """The state after the summary's rows, from that before them."""
+
+    def run(self, columns: list[pa.Array], state: Any) -> tuple[list, Any]:
+        """What the scan says of the rows, an array for each output, and the state after them."""
+
+
+def annotate_spread(df: DataFrame, scan: Carried, inputs: list[Column], partition_by=("stream_id",), order_by=("sequence",)) -> DataFrame:
+    """As :func:`annotate`, for streams that may hold a large share of all rows, or all: several tasks share a stream.
+
+    Rows are dealt by ranges of (stream, order) and written as a table in the shared folder with one summary for each
+    range; the summaries, taken in order one at a time, give the state before each range, and from there each range is
+    scanned by a task of its own.
+    """
+    spark = df.sparkSession
+    runtime.ship(spark)
+    keys, order = [F.col(c) if isinstance(c, str) else c for c in partition_by], [F.col(c) if isinstance(c, str) else c for c in order_by]
+    columns = [F.struct(*(F.col(c) for c in df.columns)).alias("row"), *(k.alias(f"k{i}") for i, k in enumerate(keys)), *(c.alias(f"i{i}") for i, c in enumerate(inputs))]
+    names = [*(f"k{i}" for i in range(len(keys))), *(f"i{i}" for i in range(len(inputs)))]
+    packed = df.select(*columns, *(o.alias(f"o{i}") for i, o in enumerate(order)))
+    sorts = [*(f"k{i}" for i in range(len(keys))), *(f"o{i}" for i in range(len(order)))]
+    ranged = packed.repartitionByRange(*sorts).sortWithinPartitions(*sorts).select("row", *names, F.spark_partition_id().alias("_part"))
+    row = packed.schema["row"].dataType
+    kept = T.StructType([T.StructField("row", row), T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_summary", T.BinaryType())])
+    table, _ = runtime.write_table(ranged.mapInArrow(_summaries(scan, len(keys), len(inputs)), kept), "spread")
+
+    before, carried = {}, None
+    # one row for each range partition, fetched one after the other
+    for part, summary in table.where("_summary is not null").select("_part", "_summary").orderBy("_part").toLocalIterator():
+        before[part] = carried
+        first, last = pickle.loads(summary)
+        key, found = last or first
+        state = carried[1] if carried and not last and carried[0] == key else None
+        carried = key, scan.carry(state, found)
+
+    back = table.where("_summary is null").select("row.*", "_part", "_local").select(*columns, "_part", "_local")
+    dealt = back.repartitionById(max(before, default=0) + 1, "_part").sortWithinPartitions("_part", "_local")
+    added = T.StructType.fromDDL(scan.outputs)
+    scanned = dealt.mapInArrow(_resume(scan, before, len(keys), len(inputs), added), T.StructType([T.StructField("row", row), *added.fields]))
+    return scanned.select("row.*", *added.fieldNames())
+
+
+def _runs(batch: pa.RecordBatch, n_keys: int, n_inputs: int) -> Iterator[tuple[tuple, list[pa.Array]]]:
+    """The key and the inputs of each stream in a batch sorted by stream."""
+    keys, inputs = ([batch.column(f"{c}{i}") for i in range(n)] for c, n in (("k", n_keys), ("i", n_inputs)))
+    changed = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+    for k in keys:
+        if pa.types.is_nested(k.type):
+            values = k.to_pylist()
+            changed |= np.array([a != b for a, b in zip(values, values[1:])], dtype=bool)
+            continue
+        differ = pc.fill_null(pc.not_equal(k[:-1], k[1:]), False)
+        changed |= pc.or_(differ, pc.xor(k[:-1].is_null(), k[1:].is_null())).to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield tuple(k[a].as_py() for k in keys), [c.slice(a, b - a) for c in inputs]
+
+
+def _summaries(scan: Carried, n_keys: int, n_inputs: int):
+    """The rows with their places in their range, then the summaries of the range's first stream and, if another, its last."""
+    names = ["row", "_part", "_local", "_summary"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local, first, last = 0, None, None
+        for batch in batches:
+            n, kind = batch.num_rows, batch.column("row").type
+            for key, columns in _runs(batch, n_keys, n_inputs):
+                if last is None or key != last[0]:
+                    last = [key, None]
+                    first = first or last
+                last[1] = scan.summarise(columns, last[1])
+            part = batch.column("_part")
+            yield pa.RecordBatch.from_arrays([batch.column("row"), part, pa.array(np.arange(local, local + n)), pa.nulls(n, pa.binary())], names=names)
+            local += n
+        if last:
+            found = pickle.dumps((first, None if last is first else last))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), part[:1], pa.nulls(1, pa.int64()), pa.array([found], pa.binary())], names=names)
+
+    return run
+
+
+def _resume(scan: Carried, before: dict, n_keys: int, n_inputs: int, added: T.StructType):
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
+    names = ["row", *added.fieldNames()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, key, state = None, None, None
+        for whole in batches:
+            parts = whole.column("_part").to_numpy()
+            edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), whole.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                batch = whole.slice(a, b - a)
+                if parts[a] != at:
+                    at = int(parts[a])
+                    key, state = before[at] or (None, None)
+                found = []
+                for own, columns in _runs(batch, n_keys, n_inputs):
+                    key, state = own, state if own == key else None
+                    out, state = scan.run(columns, state)
+                    found.append(out)
+                out = [pa.concat_arrays([pa.array(x, kind) for x in column]) for column, kind in zip(zip(*found), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), *out], names=names)
+
+    return run
+
+
 def with_index(df: DataFrame, order_by, name: str = "index") -> DataFrame:
     """``df`` with each row's place in the whole order, from 0, without bringing all rows to one task.
 

@@ -636,7 +636,9 @@ def rtp_header(spark, sf):
     e = events(spark, sf)
     header = F.struct((F.col("sequence") * 37 % 65536).cast("int").alias("seq"), (F.col("sequence") * 3000).alias("ts"), F.col("stream_id").cast("long").alias("ssrc"), F.lit(96).alias("pt"), F.lit(True).alias("marker"))
     back = rtp.parse_header(rtp.build_packet(e.withColumn("rtp", header)).withColumn("payload", F.col("packet")))
-    return back.select("sequence", F.col("rtp.seq").alias("seq"), F.col("rtp.ts").alias("rts"), F.col("rtp.ssrc").alias("ssrc"), F.col("payload").cast("string").alias("payload"))
+    fields = back.select("sequence", F.col("rtp.seq").alias("seq"), F.col("rtp.ts").alias("ts"), F.col("rtp.ssrc").alias("ssrc"), F.col("payload").cast("string").alias("payload"))
+    # the header has 32 bits of the time, of a clock that all senders share
+    return rtp.extend_timestamp(fields, "ts", partition_by=()).select("sequence", "seq", F.col("ext_ts").alias("rts"), "ssrc", "payload")
 
 
 # --- segments

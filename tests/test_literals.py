@@ -7,6 +7,7 @@ from flowframe import schema
 from flowframe.functions import caps, clock, tags
 from flowframe.functions import media as sizes
 from flowframe.operators import filters, flow, media, meta, payload, rtp, segment, temporal, timing, typed
+from flowframe.queries import QUERIES
 from flowframe.sources import generators
 
 MS = 1_000_000
@@ -187,6 +188,19 @@ def test_rtp(spark):
     assert (info["expected"], info["received"], info["lost"]) == (6, 7, 0)
 
 
+def test_rtp_header_wraps(spark, tmp_path):
+    rows = [(65536 + 7, (1 << 32) + 3000, -1, 96, True), (7, 3000, 5, 127, False)]
+    fields = spark.createDataFrame([(r, b"ab") for r in rows], "rtp struct<seq:int,ts:bigint,ssrc:bigint,pt:int,marker:boolean>, payload binary")
+    packets = rtp.build_packet(fields).select(F.col("packet").alias("payload"))
+    back = rtp.parse_header(packets).orderBy("rtp.ssrc").collect()
+    assert [(tuple(r["rtp"]), bytes(r["payload"])) for r in back] == [((7, 3000, 5, 127, False), b"ab"), ((7, 3000, (1 << 32) - 1, 96, True), b"ab")]
+
+    # two wraps of the time; the query's SQL says event_id * 3000
+    spark.range(0, 4_000_000, 400_000).selectExpr("id as event_id", "timestamp'2024-01-01' as ts", "id % 3 as user_id", "'view' as event_type", "1.0 as value", "'{}' as props").write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["rtp_header"](spark, str(tmp_path)).collect()
+    assert len(found) == 10 and all(r["rts"] == r["sequence"] * 3000 for r in found)
+
+
 def test_clock_scalars_and_attitude(spark):
     ns, none = F.lit(7).cast("bigint"), F.lit(None).cast("bigint")
     row = spark.range(1).select(

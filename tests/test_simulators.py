@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from flowframe import schema
-from flowframe.operators import temporal, timing
-from flowframe.plans.scan import annotate, stream_index, with_index
+from flowframe.operators import rtp, temporal, timing
+from flowframe.plans.scan import annotate, annotate_spread, stream_index, with_index
 
 
 def frame(spark, rows, columns):
@@ -99,3 +103,84 @@ def test_stream_index_spread(spark):
     df = spark.createDataFrame(rows, "stream_id int, sequence bigint").repartition(5)
     plain = {tuple(r) for r in stream_index(df, ["stream_id"], ["sequence"]).collect()}
     assert {tuple(r) for r in stream_index(df, ["stream_id"], ["sequence"], spread=True).collect()} == plain
+
+
+def plain_extended(numbers, bits):
+    circle, highest, out = 1 << bits, None, []
+    for x in numbers:
+        if x is None:
+            out.append(None)
+            continue
+        highest = x if highest is None else highest
+        ahead = (x - highest) % circle
+        highest += ahead if ahead < circle // 2 else 0
+        out.append(highest - (highest - x) % circle)
+        out[-1] += circle if out[-1] < 0 else 0
+    return out
+
+
+def numbers(rng, n, bits):
+    """Numbers in order, disordered, going back, or jumping by half a circle."""
+    circle, x, out = 1 << bits, rng.randrange(1 << bits), []
+    steps = rng.choice((range(max(2, circle // 8)), range(-max(1, circle // 16), max(2, circle // 8)), range(-2, 1), (0, 1, circle // 2 - 1, circle // 2, circle // 2 + 1), range(circle)))
+    for _ in range(n):
+        x = (x + rng.choice(steps)) % circle
+        out.append(x if rng.random() < 0.95 else None)
+    return out
+
+
+def test_extension_from_summaries():
+    rng = random.Random(8)
+    for case in range(800):
+        bits, n = rng.choice((2, 3, 4, 6, 16, 32)), rng.choice((1, 5, 60, 300))
+        values = numbers(rng, n, bits)
+        cuts = sorted({0, n, *(rng.randrange(n + 1) for _ in range(rng.randrange(8)))})
+        scan, state, found = rtp.Extended(bits, "x"), None, []
+        for a, b in zip(cuts, cuts[1:]):
+            middle, summary, inside = rng.randrange(a, b), None, state
+            for c, d in ((a, middle), (middle, b)):
+                block = [pa.array(values[c:d], pa.int64())]
+                summary = scan.summarise(block, summary)
+                out, inside = scan.run(block, inside)
+                found += out[0].to_pylist()
+            state = scan.carry(state, summary)
+            assert state == inside, case
+        assert found == plain_extended(values, bits), case
+
+
+def test_lift_for_every_state():
+    rng = random.Random(9)
+    for _ in range(500):
+        bits = rng.choice((1, 2, 3, 4, 5))
+        values = [rng.randrange(1 << bits) for _ in range(rng.randrange(1, 8))]
+        lift = rtp.Lift(bits)
+        lift.add(np.array(values))
+        for start in range(3 << bits):
+            highest = start
+            for x in values:
+                ahead = (x - highest) % (1 << bits)
+                highest += ahead if ahead < 1 << bits - 1 else 0
+            assert lift.after(start) == highest
+
+
+def spread_rows(spark, f):
+    """What ``f`` gives, and in how many partitions rows of stream 1 are; small partitions are left as they are."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        rows = f().withColumn("_at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(name)
+    return rows, len({r["_at"] for r in rows if r["stream_id"] == 1})
+
+
+def test_annotate_spread(spark):
+    rng = random.Random(10)
+    streams = {s: numbers(rng, n, 32) for s, n in ((None, 3), (0, 2), (1, 4000), (2, 1), (3, 500))}
+    rows = [(s, i, x) for s, values in streams.items() for i, x in enumerate(values)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "stream_id int, sequence bigint, n bigint").repartition(7)
+    found, tasks = spread_rows(spark, lambda: annotate_spread(df, rtp.Extended(32, "x"), [F.col("n")]))
+    expected = {(s, i, x) for s, values in streams.items() for i, x in enumerate(plain_extended(values, 32))}
+    assert len(found) == len(rows) and {(r["stream_id"], r["sequence"], r["x"]) for r in found} == expected
+    assert tasks > 1
+    assert annotate_spread(df.where("sequence < 0"), rtp.Extended(32, "x"), [F.col("n")]).collect() == []

@@ -6,6 +6,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,30 +148,9 @@ class Extended:
         return np.array(found, dtype=np.int64), highest
 
 
-def _extend():
-    highest, cycles = None, 0
-
-    def step(seq: int) -> tuple:
-        nonlocal highest, cycles
-        if highest is None:
-            highest = seq
-            return (seq,)
-        ahead = (seq - highest) & 0xFFFF
-        if 0 < ahead < 0x8000:
-            if seq < highest:
-                cycles += 1
-            highest = seq
-            return ((cycles << 16) | seq,)
-        # behind: before the wrap if it is numerically above the highest
-        own = cycles - 1 if seq > highest and cycles else cycles
-        return ((own << 16) | seq,)
-
-    return step
-
-
 def extend_sequence(df: DataFrame, seq: str = "seq", partition_by=STREAM, order_by=ORDER) -> DataFrame:
-    """``ext_seq``: the 16-bit ``seq`` with its number of wraps, in order of arrival."""
-    return annotate(df, _extend, [F.col(seq)], "ext_seq bigint", partition_by, order_by)
+    """``ext_seq``: the 16-bit ``seq`` with its number of wraps, in order of arrival; several tasks share a long stream."""
+    return annotate_spread(df, Extended(16, "ext_seq"), [F.col(seq).cast("long")], partition_by, order_by)
 
 
 def extend_timestamp(df: DataFrame, ts: str = "rtp_ts", partition_by=STREAM, order_by=ORDER) -> DataFrame:
@@ -181,13 +161,40 @@ def extend_timestamp(df: DataFrame, ts: str = "rtp_ts", partition_by=STREAM, ord
     return annotate_spread(df, Extended(32, "ext_ts"), [F.col(ts).cast("long")], partition_by, order_by)
 
 
+class Falls:
+    """The number with its wraps where a fall of more than half the range is one; state: the last number, the wraps so far."""
+
+    outputs = "ext_seq bigint"
+
+    def _steps(self, columns: list, last: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
+        there = columns[0].is_valid().to_numpy(zero_copy_only=False)
+        # a null is no fall, to it or from it
+        numbers = pc.fill_null(columns[0], -1).to_numpy()
+        before = np.concatenate(([-1 if last is None else last], numbers[:-1]))
+        return numbers, (before - numbers > 0x8000) & there, int(numbers[-1]) if there[-1] else None
+
+    def summarise(self, columns: list, summary: tuple | None) -> tuple:
+        first, last, wraps = summary or (columns[0][0].as_py(), None, 0)
+        _, falls, last = self._steps(columns, last)
+        return first, last, wraps + int(falls.sum())
+
+    def carry(self, state: tuple | None, summary: tuple | None) -> tuple | None:
+        if not state or not summary:
+            return summary[1:] if summary else state
+        (before, wraps), (first, last, more) = state, summary
+        fall = before is not None and first is not None and before - first > 0x8000
+        return last, wraps + more + fall
+
+    def run(self, columns: list, state: tuple | None) -> tuple[list, tuple]:
+        last, wraps = state or (None, 0)
+        numbers, falls, last = self._steps(columns, last)
+        cycles = wraps + np.cumsum(falls)
+        return [pa.array(cycles * 65536 + numbers, mask=columns[0].is_null().to_numpy(zero_copy_only=False))], (last, int(cycles[-1]))
+
+
 def extend_sequence_in_order(df: DataFrame, seq: str = "seq", partition_by=STREAM, order_by=ORDER) -> DataFrame:
-    """``ext_seq`` for streams without reordering over a wrap, by a window: a fall of more than half the range is a wrap."""
-    w = W.partitionBy(*partition_by).orderBy(*order_by)
-    fall = F.lag(seq).over(w) - F.col(seq) > 0x8000
-    marked = df.withColumn("_wrap", F.coalesce(fall, F.lit(False)).cast("long"))
-    cycles = F.sum("_wrap").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return marked.withColumn("ext_seq", cycles * 65536 + F.col(seq)).drop("_wrap")
+    """``ext_seq`` for streams without reordering over a wrap: a fall of more than half the range is a wrap."""
+    return annotate_spread(df, Falls(), [F.col(seq).cast("long")], partition_by, order_by)
 
 
 def reorder(df: DataFrame, ext_seq: str = "ext_seq", drop_late: bool = False, window: int = 512, partition_by=STREAM, order_by=ORDER) -> DataFrame:

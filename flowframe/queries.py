@@ -590,13 +590,13 @@ PACKETS = E + """, k as (select *, sequence + (sequence % 5) * 3 as arrival from
 @query(f"with {E} select sequence, sequence * 37 as ext_seq from e")
 def rtp_ext_seq(spark, sf):
     e = events(spark, sf).withColumns({"stream_id": F.lit(0), "seq": (F.col("sequence") * 37 % 65536).cast("int")})
-    return rtp.extend_sequence(e).select("sequence", "ext_seq")
+    return rtp.extend_sequence(e.select("stream_id", "sequence", "seq")).select("sequence", "ext_seq")
 
 
 @query(f"with {E} select sequence, sequence * 37 as ext_seq from e")
 def rtp_ext_seq_window(spark, sf):
     e = events(spark, sf).withColumns({"stream_id": F.lit(0), "seq": (F.col("sequence") * 37 % 65536).cast("int")})
-    return rtp.extend_sequence_in_order(e).select("sequence", "ext_seq")
+    return rtp.extend_sequence_in_order(e.select("stream_id", "sequence", "seq")).select("sequence", "ext_seq")
 
 
 @query(f"""with {PACKETS}, h as (select *, max(sequence) over (order by arrival, sequence, flags rows between unbounded preceding and 1 preceding) as high from k),

@@ -184,3 +184,24 @@ def test_annotate_spread(spark):
     assert len(found) == len(rows) and {(r["stream_id"], r["sequence"], r["x"]) for r in found} == expected
     assert tasks > 1
     assert annotate_spread(df.where("sequence < 0"), rtp.Extended(32, "x"), [F.col("n")]).collect() == []
+
+
+def test_long_stream_of_numbers_is_shared(spark):
+    rng = random.Random(11)
+    streams = {1: numbers(rng, 6000, 16), 2: numbers(rng, 30, 16), None: numbers(rng, 7, 16)}
+    rows = [(s, i, x) for s, values in streams.items() for i, x in enumerate(values)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "stream_id int, sequence bigint, seq int").repartition(5)
+
+    def falls(values):
+        out, last, cycles = [], None, 0
+        for x in values:
+            cycles += None not in (last, x) and last - x > 0x8000
+            out.append(None if x is None else cycles * 65536 + x)
+            last = x
+        return out
+
+    for extend, plain in ((rtp.extend_sequence, lambda v: plain_extended(v, 16)), (rtp.extend_sequence_in_order, falls)):
+        found, tasks = spread_rows(spark, lambda: extend(df))
+        expected = {(s, i, x) for s, values in streams.items() for i, x in enumerate(plain(values))}
+        assert len(found) == len(rows) and {(r["stream_id"], r["sequence"], r["ext_seq"]) for r in found} == expected
+        assert tasks > 1

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowframe.plans.scan import annotate, annotate_spread
+from flowframe.plans.scan import annotate, annotate_spread, spread_before
 from flowframe.schema import ORDER, STREAM, floor_div
 
 
@@ -201,17 +201,17 @@ def reorder(df: DataFrame, ext_seq: str = "ext_seq", drop_late: bool = False, wi
     """What a jitter buffer lets through: the first of each number, in order of number, with ``lost_before`` (numbers
     missing since the one before) and ``reordered`` (it came after a higher number).
 
-    A packet more than ``window`` numbers behind the highest so far is ``late``; with ``drop_late`` it goes.
+    A packet more than ``window`` numbers behind the highest so far is ``late``; with ``drop_late`` it goes. Several
+    tasks share a long stream, in order of arrival and then in order of number.
     """
-    w = W.partitionBy(*partition_by)
-    so_far = F.max(ext_seq).over(w.orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1))
-    marked = df.withColumn("_high", so_far).withColumn("reordered", F.coalesce(F.col(ext_seq) < F.col("_high"), F.lit(False)))
+    marked = spread_before(df, ext_seq, "_high", partition_by, order_by, highest=True)
+    marked = marked.withColumn("reordered", F.coalesce(F.col(ext_seq) < F.col("_high"), F.lit(False)))
     marked = marked.withColumn("late", F.coalesce(F.col("_high") - F.col(ext_seq) > window, F.lit(False))).drop("_high")
     if drop_late:
         marked = marked.where(~F.col("late"))
     first = marked.withColumn("_nth", F.row_number().over(W.partitionBy(*partition_by, ext_seq).orderBy(*order_by))).where("_nth = 1").drop("_nth")
-    before = F.lag(ext_seq).over(w.orderBy(ext_seq))
-    return first.withColumn("lost_before", F.coalesce(F.col(ext_seq) - before - 1, F.lit(0)))
+    placed = spread_before(first, ext_seq, "_before", partition_by, (ext_seq,))
+    return placed.withColumn("lost_before", F.coalesce(F.col(ext_seq) - F.col("_before") - 1, F.lit(0))).drop("_before")
 
 
 def loss_info(df: DataFrame, ext_seq: str = "ext_seq", partition_by=STREAM, order_by=ORDER) -> DataFrame:

@@ -223,3 +223,35 @@ def stream_index(df: DataFrame, partition_by, order_by, name: str = "index", spr
     keyed = first.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(partition_by)), "_first")
     joined = placed.join(keyed, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(partition_by)])
     return joined.withColumn(name, F.col("_place") - F.col("_first")).select(*df.columns, name)
+
+
+#: Rows of a block: a power of two.
+BLOCK_BITS = 16
+
+
+def spread_before(df: DataFrame, value: str, name: str, partition_by=("stream_id",), order_by=("sequence",), highest: bool = False) -> DataFrame:
+    """``df`` with the ``value`` of the row before in the stream, or with ``highest`` the greatest of all rows before.
+
+    As a window by stream, for streams that may hold a large share of all rows, or all. Ranges of (stream, order) are
+    kept as a table in the shared folder and cut into blocks of 65,536 rows; windows are by block, and what a block
+    takes from those before it comes from one row for each block and stream.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in partition_by]
+    ranged = df.repartitionByRange(*keys, *order_by).sortWithinPartitions(*keys, *order_by)
+    # the partition's number, then the row's place in it
+    table, _ = runtime.write_table(ranged.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "blocks")
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    ends = table.groupBy("_block", *named).agg((F.max(value) if highest else F.max_by(value, F.struct(*order_by))).alias("_end"))
+    inside = W.partitionBy("_block", *keys).orderBy(*order_by)
+    across = W.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_block")
+    carried = F.max("_end").over(across.rowsBetween(W.unboundedPreceding, -1)) if highest else F.lag("_end").over(across)
+    carries = ends.withColumn("_carried", carried).where("_carried is not null").withColumnRenamed("_block", "_b").drop("_end")
+    local = F.max(value).over(inside.rowsBetween(W.unboundedPreceding, -1)) if highest else F.lag(value).over(inside)
+    begins = F.row_number().over(inside) == 1
+    same = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        same &= k.eqNullSafe(F.col(f"_k{i}"))
+    # at most one row for each block, since only its first stream goes on from another
+    joined = table.withColumns({"_local": local, "_begins": begins}).join(F.broadcast(carries), same, "left")
+    found = F.greatest("_local", "_carried") if highest else F.when(F.col("_begins"), F.col("_carried")).otherwise(F.col("_local"))
+    return joined.select(*df.columns, found.alias(name))

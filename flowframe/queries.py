@@ -603,7 +603,8 @@ def rtp_ext_seq_window(spark, sf):
 f as (select *, row_number() over (partition by sequence order by arrival, flags) as nth from h)
 select sequence as ext, coalesce(sequence < high, false) as reordered, coalesce(sequence - lag(sequence) over (order by sequence) - 1, 0) as lost_before from f where nth = 1""")
 def jitter_reorder(spark, sf):
-    out = rtp.reorder(packets(spark, sf), "ext", order_by=("arrival", "sequence", "flags"))
+    e = packets(spark, sf).select("stream_id", "arrival", "sequence", "flags", "ext")
+    out = rtp.reorder(e, "ext", order_by=("arrival", "sequence", "flags"))
     return out.select("ext", "reordered", "lost_before")
 
 

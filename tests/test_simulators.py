@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowframe import schema
 from flowframe.operators import rtp, temporal, timing
+from flowframe.plans import scan
 from flowframe.plans.scan import annotate, annotate_spread, stream_index, with_index
 
 
@@ -135,15 +136,15 @@ def test_extension_from_summaries():
         bits, n = rng.choice((2, 3, 4, 6, 16, 32)), rng.choice((1, 5, 60, 300))
         values = numbers(rng, n, bits)
         cuts = sorted({0, n, *(rng.randrange(n + 1) for _ in range(rng.randrange(8)))})
-        scan, state, found = rtp.Extended(bits, "x"), None, []
+        extended, state, found = rtp.Extended(bits, "x"), None, []
         for a, b in zip(cuts, cuts[1:]):
             middle, summary, inside = rng.randrange(a, b), None, state
             for c, d in ((a, middle), (middle, b)):
                 block = [pa.array(values[c:d], pa.int64())]
-                summary = scan.summarise(block, summary)
-                out, inside = scan.run(block, inside)
+                summary = extended.summarise(block, summary)
+                out, inside = extended.run(block, inside)
                 found += out[0].to_pylist()
-            state = scan.carry(state, summary)
+            state = extended.carry(state, summary)
             assert state == inside, case
         assert found == plain_extended(values, bits), case
 
@@ -205,3 +206,28 @@ def test_long_stream_of_numbers_is_shared(spark):
         expected = {(s, i, x) for s, values in streams.items() for i, x in enumerate(plain(values))}
         assert len(found) == len(rows) and {(r["stream_id"], r["sequence"], r["ext_seq"]) for r in found} == expected
         assert tasks > 1
+
+
+def test_long_stream_is_reordered_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK_BITS", 5)
+    rng = random.Random(12)
+    streams = {s: [None if rng.random() < 0.01 else i * 2 + rng.randrange(-40, 40) for i in range(n)] for s, n in ((1, 5000), (2, 40), (None, 9))}
+    rows = [(s, i, x) for s, values in streams.items() for i, x in enumerate(values)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "stream_id int, sequence bigint, ext_seq bigint").repartition(5)
+    for drop_late in (False, True):
+        expected = set()
+        for s, values in streams.items():
+            high, seen, kept = None, set(), []
+            for i, x in enumerate(values):
+                late = None not in (high, x) and high - x > 30
+                if x not in seen and not (late and drop_late):
+                    seen.add(x)
+                    kept.append((x, i, None not in (high, x) and x < high, late))
+                high = x if high is None else high if x is None else max(high, x)
+            before = None
+            for x, i, reordered, late in sorted(kept, key=lambda r: (r[0] is not None, r[0])):
+                expected.add((s, i, x, reordered, late, 0 if None in (x, before) else x - before - 1))
+                before = x
+        found, tasks = spread_rows(spark, lambda: rtp.reorder(df, drop_late=drop_late, window=30))
+        assert {(r["stream_id"], r["sequence"], r["ext_seq"], r["reordered"], r["late"], r["lost_before"]) for r in found} == expected
+        assert len(found) == len(expected) and tasks > 1

@@ -72,7 +72,7 @@ class Carried(Protocol):
     """A scan that can begin anywhere in a stream, since a summary of a range of rows says what they make of any state.
 
     Columns are Arrow arrays, one for each input, of rows of one stream in order; ``None`` is the state before a stream's
-    first row and the summary of no rows. States are small, summaries bounded.
+    first row and the summary of no rows. States are small; summaries are to be small beside their rows.
     """
 
     outputs: str
